@@ -219,14 +219,24 @@ TITLE_GRAM = 4
 MIN_GRAMS = 8
 
 
+#: Titles are cut into pieces of this many characters before grams are taken, because
+#: finding a character position in UTF-8 text costs time proportional to the position.
+_PIECE = 256
+
+
 def key_grams(key: Column) -> Column:
     """Distinct character grams of a title key with its spaces removed."""
 
+    def piece_grams(piece: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(piece) - (TITLE_GRAM - 1))
+        return F.transform(starts, lambda i: F.substring(piece, i, TITLE_GRAM))
+
     def grams(text: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - (TITLE_GRAM - 1))
+        starts = F.sequence(F.lit(1), F.length(text) - (TITLE_GRAM - 1), F.lit(_PIECE))
+        pieces = F.transform(starts, lambda i: F.substring(text, i, _PIECE + TITLE_GRAM - 1))
         return F.when(
             F.length(text) >= TITLE_GRAM,
-            F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, TITLE_GRAM))),
+            F.array_distinct(F.flatten(F.transform(pieces, piece_grams))),
         ).otherwise(F.array().cast("array<string>"))
 
     return let(F.regexp_replace(key, f"[{SPACE}]+", ""), grams)
