@@ -29,7 +29,7 @@ MAX_HTML = 2 * 1024 * 1024
 MAX_TEXT = 6000
 
 # Private-use marks around link text; they never leave this module.
-_OPEN, _CLOSE = "", ""
+_OPEN, _CLOSE = "\ue000", "\ue001"
 
 
 def _main_region(html: Column) -> Column:
@@ -83,7 +83,7 @@ def html_to_text(html: Column) -> Column:
         return trim_space(F.regexp_replace(line, " {2,}", " "))
 
     def finish(all_lines: Column) -> Column:
-        tidy = F.transform(all_lines, lambda x: squeeze(F.regexp_replace(x, r"[\t\r ]", " ")))
+        tidy = F.transform(all_lines, lambda x: squeeze(F.regexp_replace(x, r"[\t\r\u00a0]", " ")))
         prose = F.filter(tidy, lambda x: ~_mostly_links(x))
         bare = F.transform(prose, lambda x: squeeze(F.regexp_replace(x, f"[{_OPEN}{_CLOSE}]", "")))
         kept = F.filter(bare, lambda x: F.length(x) >= MIN_LINE)

@@ -22,7 +22,7 @@ MARKDOWN_LINK = r"!?\[([^\]]*)\]\([^)]*\)"
 BARE_URL = r"(?i)\b(?:[a-z][a-z0-9+.-]*://|www\.)\S+"
 BARE_DOMAIN_PATH = r"(?i)\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/\S*"
 CONTROL = r"[\u0000-\u001f\u007f]"
-INVISIBLE = r"[​-‏  ‪-‮⁦-⁩﻿]"
+INVISIBLE = r"[\u200b-\u200f\u2028\u2029\u202a-\u202e\u2066-\u2069\ufeff]"
 LEADING_LABEL = r"(?i)^\s*(?:摘要|概括|总结|要点|summary|tl;?dr)\s*[:：、-]\s*"
 LEADING_BULLET = r"^\s*(?:[-*•·]|\d+[.)、])\s*"
 MAX_TAKEAWAYS = 3
