@@ -370,16 +370,16 @@ facts AS (SELECT id, title, source, item_pos, {sql_title_key('title')} AS title_
   FROM docs LEFT JOIN doc_sources ON name = source),
 hist AS (SELECT substr(sha256(text), 1, 16) AS id, trim(regexp_extract(text, '^[^.!?\\n]*')) AS title FROM benchmark),
 hfacts AS (SELECT id, title, {sql_title_key('title')} AS title_key, coalesce({sql_numbers('title')}, '') AS numbers FROM hist)"""
-_GRAM_LIST = f"""list_distinct(list_transform(range(1, greatest(length(regexp_replace(title_key, '[{SQL_SPACE}]+', '', 'g')) - 2, 1)),
-   lambda i: substr(regexp_replace(title_key, '[{SQL_SPACE}]+', '', 'g'), i, 4)))"""
+_JOINED = f"regexp_replace(title_key, '[{SQL_SPACE}]+', '', 'g') AS joined"
+_GRAM_LIST = """list_distinct(list_transform(range(1, greatest(length(joined) - 2, 1)), lambda i: substr(joined, i, 4)))"""
 PAIRS_SQL = f"""{FACTS_SQL},
 nodes AS (SELECT title_key, numbers, min(ord) AS node FROM facts GROUP BY 1, 2),
-grams AS (SELECT node, numbers, title_key, {_GRAM_LIST} AS grams FROM nodes),
+grams AS (SELECT node, numbers, title_key, {_GRAM_LIST} AS grams FROM (SELECT *, {_JOINED} FROM nodes)),
 posts AS (SELECT node, numbers, len(grams) AS n, unnest(grams) AS gram FROM grams WHERE len(grams) >= 8),
 near AS (SELECT a.node AS a_node, b.node AS b_node, 2 * count(*) / (a.n + b.n) AS score
   FROM posts a JOIN posts b ON a.gram = b.gram AND a.numbers = b.numbers AND a.node < b.node
   GROUP BY a.node, b.node, a.n, b.n HAVING 2 * count(*) / (a.n + b.n) >= {THRESHOLD}),
-hgrams AS (SELECT DISTINCT title_key, numbers, {_GRAM_LIST} AS grams FROM hfacts),
+hgrams AS (SELECT title_key, numbers, {_GRAM_LIST} AS grams FROM (SELECT DISTINCT title_key, numbers, {_JOINED} FROM hfacts)),
 hposts AS (SELECT title_key, numbers, len(grams) AS n, unnest(grams) AS gram FROM hgrams WHERE len(grams) >= 8),
 hnear AS (SELECT DISTINCT node FROM (SELECT p.node FROM posts p JOIN hposts h ON p.gram = h.gram AND p.numbers = h.numbers
   GROUP BY p.node, h.title_key, p.n, h.n HAVING 2 * count(*) / (p.n + h.n) >= {THRESHOLD}))"""
