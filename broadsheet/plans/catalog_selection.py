@@ -48,7 +48,8 @@ def sql_value(v) -> str:
 def sql_rows(name: str, rows: list[dict], columns: list[str]) -> str:
     """Configuration rows as a common table expression."""
     body = ", ".join("(" + ", ".join(sql_value(r.get(c)) for c in columns) + ")" for r in rows)
-    return f"{name}({', '.join(columns)}) AS (VALUES {body})"
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    return f"{name}({quoted}) AS (VALUES {body})"
 
 
 EVENTS_SQL = """
@@ -491,9 +492,9 @@ def drop_counts(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.drop_counts(labelled).drop("run_id")
 
 
-COUNTS_SQL = f"""{_DEDUPE_WALK}
+COUNTS_SQL = f"""{_DEDUPE_WALK}, verdicts AS (SELECT item_pos, verdict FROM walk JOIN it ON it.ord = walk.ord)
 SELECT count(*) FILTER (verdict = 'within') AS dropped_within_run, count(*) FILTER (verdict = 'seen') AS dropped_as_seen,
- count(*) FILTER (verdict = 'kept') AS kept FROM walk WHERE ord > 0"""
+ count(*) FILTER (verdict = 'kept') AS kept FROM verdicts"""
 
 
 def survivors(spark: SparkSession, sf: str) -> DataFrame:

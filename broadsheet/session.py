@@ -6,11 +6,17 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+import broadsheet
+
+# Functions for Python workers travel with their code, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(broadsheet)
+
 #: Settings every job relies on. Broadcast decisions stay with the optimizer, which
 #: checks the size of a side before it ships it; skewed joins are split at run time.
 SETTINGS = {

@@ -45,15 +45,20 @@ REPOSITORY_SCHEMA = (
 _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
-def with_landing_error(landing: DataFrame) -> DataFrame:
-    """Add ``error`` for bad statuses and bodies above the size cap."""
-    size = utf16_length(F.col("body"))
+def with_landing_error(landing: DataFrame, max_body: int = MAX_BODY) -> DataFrame:
+    """Add ``error`` for bad statuses and bodies above the size cap.
+
+    A text has at most as many UTF-16 units as UTF-8 bytes, so only bodies with more bytes
+    than the cap are measured.
+    """
+    size = F.when(F.octet_length("body") > max_body, utf16_length(F.col("body")))
     ok = F.col("status").between(200, 299)
-    too_large = F.format_string("response too large: %d chars > %d", size, F.lit(MAX_BODY))
-    return landing.withColumn(
+    sized = landing.withColumn("_size", size)
+    too_large = F.format_string("response too large: %d chars > %d", "_size", F.lit(max_body))
+    return sized.withColumn(
         "error",
-        F.when(~ok, F.format_string("HTTP %d", "status")).when(size > MAX_BODY, too_large),
-    )
+        F.when(~ok, F.format_string("HTTP %d", "status")).when(F.col("_size") > max_body, too_large),
+    ).drop("_size")
 
 
 def _feed_link(entry: Column) -> Column:
