@@ -75,7 +75,7 @@ def top_reasons(failures: DataFrame, keys: list[str], keep: int = 3) -> DataFram
     counted = failures.groupBy(*keys, "message").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos")
     )
-    return top_k(counted, keys, [F.desc("n"), F.asc("first_pos")], keep, ["message"])
+    return top_k(counted, keys, [F.desc("n"), F.asc("first_pos")], keep)
 
 
 def reason_warnings(reasons: DataFrame, prefix: str) -> DataFrame:

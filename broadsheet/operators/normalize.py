@@ -51,7 +51,6 @@ def first_per_source(items: DataFrame, limits: DataFrame, max_limit: int) -> Dat
         ["run_id", "source"],
         [F.asc("item_pos")],
         max_limit,
-        ["item_pos"],
         rank="arrival",
     )
     return capped.where(F.col("arrival") <= F.col("fetch_limit")).drop("fetch_limit")

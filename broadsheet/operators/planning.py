@@ -141,7 +141,6 @@ def allocate_budget(candidates: DataFrame, budget: Budget) -> DataFrame:
         ["run_id", "reserved_chars"],
         [F.asc("rank_in_section"), F.asc("section_pos")],
         max(budget.max_items, 1),
-        ["rank_in_section", "section_pos"],
     ).drop("rank")
     taken = possible.groupBy("run_id").applyInPandas(
         _spend(budget.max_items, budget.max_total_chars),

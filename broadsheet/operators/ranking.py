@@ -25,65 +25,71 @@ def mid_rank(df: DataFrame, keys: list[str], score: str = "score", cuts: int = C
 
     Ranking needs the order within a group, and one group may hold most of the rows. The
     rows are therefore ranked inside score ranges: approximate quantiles of all scores cut
-    the axis into about equal ranges, every cut value is a range of its own (so a heavily
-    tied value is alone and needs no ordering and can be salted), and a small table of
-    counts per group and range supplies what lies below. Rows are shuffled once.
+    the axis into about equal ranges, every cut value is a range of its own, and a small
+    table of counts per group and range supplies what lies below. A value so frequent that
+    it is several quantiles at once needs no ordering at all and is spread over salts. Rows
+    are shuffled once.
     """
     part = [*keys, "_range", "_salt"]
     steps = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
-    points = df.agg(F.array_distinct(F.percentile_approx(score, steps)).alias("p"))
+    points = df.agg(F.percentile_approx(score, steps).alias("p")).select(
+        F.struct(
+            F.array_distinct("p").alias("cuts"),
+            F.filter("p", lambda x, i: F.get("p", i - 1) == x).alias("heavy"),
+        ).alias("p")
+    )
     halves = F.array(*[F.lit(2**i) for i in reversed(range(cuts.bit_length()))])
 
-    def place(at: Column) -> Column:
-        # Binary search: how many cut points lie strictly below the score.
+    def place(points: Column) -> Column:
+        """Three times the cuts below the score, plus 1 on a cut, plus 2 on a heavy one."""
+        at, value = points["cuts"], F.col(score)
+        # Binary search for the number of cuts strictly below.
         below_score = F.aggregate(
             halves,
             F.lit(0),
             lambda found, step: F.when(
-                F.try_element_at(at, found + step) < F.col(score), found + step
+                F.try_element_at(at, found + step) < value, found + step
             ).otherwise(found),
         )
+        kind = F.when(F.array_contains(points["heavy"], value), 2)
         return let(
             below_score,
-            lambda n: F.struct(
-                F.coalesce(F.try_element_at(at, n + 1) == F.col(score), F.lit(False)).alias("on_cut"),
-                (2 * n).alias("range"),
-            ),
+            lambda n: 3 * n + F.when(F.try_element_at(at, n + 1) == value, F.coalesce(kind, F.lit(1))).otherwise(0),
         )
 
     placed = (
-        df.withColumn("_cuts", points.select("p").scalar())
-        .withColumn("_at", F.when(F.col(score).isNotNull(), let(F.col("_cuts"), place)))
-        .withColumn("_on_cut", F.col("_at.on_cut"))
+        df.withColumn("_points", points.select("p").scalar())
         .withColumn(
-            "_range", F.coalesce(F.col("_at.range") + F.col("_on_cut").cast("int"), F.lit(-1))
+            "_range",
+            F.when(F.col(score).isNotNull(), let(F.col("_points"), place)).otherwise(F.lit(-1)),
         )
-        .drop("_at", "_cuts")
+        .drop("_points")
     )
-    alone = F.coalesce(F.col("_on_cut"), F.lit(True))
-    spread = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    rows = placed.withColumn("_salt", F.when(alone, spread).otherwise(F.lit(0)))
+    salted = F.pmod("_range", F.lit(3)) == 2
+    spread_over = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    rows = placed.withColumn("_salt", F.when(salted, spread_over).otherwise(F.lit(0)))
 
     counts = placed.groupBy(*keys, "_range").agg(F.count(score).alias("_n"))
     below = Window.partitionBy(*keys).orderBy("_range")
-    salts = F.when((F.col("_range") + 2) % 2 == 1, F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salts = F.when(salted, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     bases = (
         counts.withColumn("_base", F.sum("_n").over(below) - F.col("_n"))
         .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
-        .withColumn("_salt", F.explode(F.coalesce(salts, F.array(F.lit(0)))))
+        .withColumn("_salt", F.explode(salts))
     )
     joined = rows.join(bases, part)
     inside = Window.partitionBy(*part).orderBy(score)
-    lower = F.when(F.col("_on_cut"), F.col("_base")).otherwise(
+    single = F.pmod("_range", F.lit(3)) > 0
+    lower = F.when(single, F.col("_base")).otherwise(
         F.col("_base") + F.rank().over(inside) - 1
     )
-    ties = F.when(F.col("_on_cut"), F.col("_n")).otherwise(
+    ties = F.when(single, F.col("_n")).otherwise(
         F.count(F.lit(1)).over(Window.partitionBy(*part, score))
     )
     share = (lower + ties / 2) / F.col("_total")
     return joined.withColumn(
         "percentile", F.when(F.col(score).isNotNull(), share).otherwise(F.lit(UNSCORED))
-    ).drop("_range", "_salt", "_on_cut", "_n", "_base", "_total")
+    ).drop("_range", "_salt", "_n", "_base", "_total")
 
 
 def recency(at: Column, now: Column, lookback_hours: Column) -> Column:
@@ -124,7 +130,7 @@ def quota_lineup(ranked: DataFrame, keys: list[str], max_limit: int) -> DataFram
     their best item. That is one sort key per row, so no loop is needed.
     """
     order = total_order()
-    per_source = top_k(ranked, [*keys, "source"], order, max_limit, ["id"], rank="_nth")
+    per_source = top_k(ranked, [*keys, "source"], order, max_limit, rank="_nth")
     per_source = per_source.where(F.col("_nth") <= F.col("limit"))
     section = Window.partitionBy(*keys)
     source = Window.partitionBy(*keys, "source").orderBy("_nth")

@@ -205,7 +205,6 @@ def digest_entries(items: DataFrame, max_items: int, max_chars: int) -> DataFram
         ["run_id"],
         [F.asc("section_pos"), F.asc("rank_in_section")],
         max_items,
-        ["id"],
         rank="entry",
     )
     body = F.coalesce(effective_body(), F.lit(""))

@@ -10,21 +10,16 @@ SALTS = 32
 
 
 def top_k(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    k: int,
-    spread: list[str],
-    rank: str = "rank",
+    df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank"
 ) -> DataFrame:
     """The first ``k`` rows of each group with their 1-based ``rank``.
 
-    A row among the first ``k`` of its group is among the first ``k`` of any part of it,
-    so each group is first cut inside ``SALTS`` parts chosen by a hash of ``spread``. The
-    optimizer also limits groups before each shuffle, so the last step sees at most
-    ``SALTS * k`` rows per group however large the group is.
+    A row among the first ``k`` of its group is among the first ``k`` of any part of it, so
+    a group is cut in steps: inside each task before the first shuffle (the optimizer does
+    this for a limited row number), inside ``SALTS`` bundles of tasks, then as a whole. The
+    last step sees at most ``SALTS * k`` rows per group however large the group is.
     """
-    parts = df.withColumn("_part", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+    parts = df.withColumn("_part", F.spark_partition_id() % SALTS)
     local = Window.partitionBy(*keys, "_part").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     return (

@@ -33,7 +33,7 @@ def weekly_review(
     """The best stored scores of the window per section; nothing is scored again."""
     order = [F.desc("rank_score"), F.desc("published_at"), F.asc("id")]
     return top_k(
-        weekly_items(archive, end, days, sections), ["section"], order, limit, ["id"]
+        weekly_items(archive, end, days, sections), ["section"], order, limit
     )
 
 

@@ -46,7 +46,6 @@ def archived_rows(spark: SparkSession, sf: str) -> DataFrame:
         ["run_id", "section"],
         [F.desc("rank_score"), F.asc("item_pos")],
         PER_SECTION,
-        ["item_pos"],
     )
     return best.withColumn("rank_in_section", F.col("rank") - 1)
 
@@ -308,7 +307,7 @@ def stream_issues(spark: SparkSession, sf: str) -> DataFrame:
                 "rank_score": F.unix_seconds("published_at").cast("double"),
             }
         )
-        best = top_k(rows, ["run_id"], [F.desc("published_at"), F.asc("id")], 25, ["id"])
+        best = top_k(rows, ["run_id"], [F.desc("published_at"), F.asc("id")], 25)
         runs = best.select("run_id").distinct().select(
             "run_id",
             F.col("run_id").alias("date"),

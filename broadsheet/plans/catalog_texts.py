@@ -123,7 +123,7 @@ c AS (
 
 def canonical_urls(spark: SparkSession, sf: str) -> DataFrame:
     url = F.col("url")
-    return tables.table(spark, sf, "pages").select(
+    return tables.text_table(spark, sf, "pages").select(
         "page_id",
         ur.canonical_url(url).alias("canonical"),
         ur.item_id(url).alias("item_id"),
@@ -138,7 +138,7 @@ SELECT page_id, canonical, substr(sha256(canonical), 1, 16) AS item_id,
 
 def fetchable_urls(spark: SparkSession, sf: str) -> DataFrame:
     """The predicate over every page URL and over addresses derived from page ids."""
-    pages = tables.table(spark, sf, "pages")
+    pages = tables.text_table(spark, sf, "pages")
 
     def octet(shift: int) -> Column:
         return F.pmod(F.floor(F.col("page_id") * 2654435761 / shift), F.lit(256))
@@ -186,7 +186,7 @@ FROM s"""
 
 
 def plain_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.table(spark, sf, "pages").select(
+    return tables.text_table(spark, sf, "pages").select(
         "page_id", tx.strip_html(F.col("html")).alias("plain")
     )
 
@@ -195,7 +195,7 @@ PLAIN_PAGES_SQL = f"SELECT page_id, {sql_strip_html('html')} AS plain FROM pages
 
 
 def decoded_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.table(spark, sf, "pages").select(
+    return tables.text_table(spark, sf, "pages").select(
         "page_id", tx.decode_entities(F.col("html")).alias("decoded")
     )
 
@@ -249,7 +249,7 @@ SELECT item_pos AS doc_id, nullif({sql_truncate('t', 300)}, '') AS excerpt FROM
 
 def normalized_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as raw entries: the page title, the url, the whole page as description."""
-    entries = tables.table(spark, sf, "pages").select(
+    entries = tables.text_table(spark, sf, "pages").select(
         F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"),
         "url",
         F.lit("pages").alias("source"),
@@ -320,7 +320,7 @@ LOCAL_DATES_SQL = """SELECT strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS local_
 
 def languages_and_tokens(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
-    return tables.table(spark, sf, "documents").select(
+    return tables.text_table(spark, sf, "documents").select(
         "doc_id",
         tx.title_language(text).alias("language"),
         tx.token_estimate(text).cast("bigint").alias("tokens"),
@@ -336,7 +336,7 @@ FROM (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '\p{L}')) A
 
 
 def article_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.table(spark, sf, "pages").select(
+    return tables.text_table(spark, sf, "pages").select(
         "page_id", extraction.html_to_text(F.col("html")).alias("article")
     )
 
@@ -375,7 +375,7 @@ SELECT page_id, {sql_trim(f"array_to_string(list_filter(list_transform(lines, la
 
 
 def accepted_articles(spark: SparkSession, sf: str) -> DataFrame:
-    pages = tables.table(spark, sf, "pages").select(
+    pages = tables.text_table(spark, sf, "pages").select(
         "page_id",
         "url",
         F.when(F.col("page_id") % 11 == 0, 404).otherwise(200).alias("status"),
@@ -412,7 +412,7 @@ def _with_secrets(text: Column, key: Column) -> Column:
 
 
 def redacted(spark: SparkSession, sf: str) -> DataFrame:
-    docs = tables.table(spark, sf, "documents").select(
+    docs = tables.text_table(spark, sf, "documents").select(
         "doc_id",
         F.struct(
             _with_secrets(F.col("text"), F.col("doc_id").cast("string")).alias("note"),
@@ -439,7 +439,7 @@ SELECT doc_id, regexp_replace(t7, '(?i)(\b[a-z][a-z0-9+.-]*://)[^/\s:@"'']+:[^/\
 
 def sanitized(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns dressed with a label, links and markup, then cleaned whole."""
-    turns = tables.table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    turns = tables.text_table(spark, sf, "conversations").where(F.col("role") == "assistant")
     raw = F.concat(
         F.lit("Summary: see [the docs](https://x.example/a) www.y.example/b <b>"),
         F.col("text"),
@@ -467,7 +467,7 @@ SELECT conv_id, turn, {sql_sanitize('raw')} AS clean FROM r"""
 
 def parsed_responses(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns as plain JSON, fenced JSON, JSON in prose, prose and arrays."""
-    turns = tables.table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    turns = tables.text_table(spark, sf, "conversations").where(F.col("role") == "assistant")
     lines = F.split("text", "\n")
     body = F.to_json(F.struct(F.col("text").alias("summary"), lines.alias("takeaways")))
     blank = F.to_json(F.struct(F.lit("").alias("summary"), lines.alias("takeaways")))
@@ -499,7 +499,7 @@ SELECT conv_id, turn, CASE WHEN form = 2 THEN takes[1] ELSE nullif(clean, '') EN
 
 
 def parsed_digests(spark: SparkSession, sf: str) -> DataFrame:
-    turns = tables.table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    turns = tables.text_table(spark, sf, "conversations").where(F.col("role") == "assistant")
     form = F.col("turn") % 3
     raw = (
         F.when(form == 0, F.to_json(F.struct(F.col("text").alias("digest"))))

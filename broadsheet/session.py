@@ -101,3 +101,13 @@ def dimension(spark: SparkSession, rows: list[dict], schema: T.StructType) -> Da
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy work on a scan of few splits.
+
+    A scan that already has a task per core, as any large one does, is left alone; only a
+    small input in one file is dealt out to the idle cores.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.session import spread
+
 COLUMNS = {
     "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
     "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
@@ -25,6 +27,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows are costly to process, on all cores however few files it has."""
+    return spread(table(spark, folder, name))
+
+
 def lead_sentence(text: Column) -> Column:
     """What stands before the first sentence end or line break: a document's headline."""
     return F.trim(F.regexp_extract(text, r"^[^.!?\n]*", 0))
@@ -32,7 +39,7 @@ def lead_sentence(text: Column) -> Column:
 
 def event_items(spark: SparkSession, folder: str) -> DataFrame:
     """Scored items: one source per event type, the value as score."""
-    return table(spark, folder, "events").select(
+    return text_table(spark, folder, "events").select(
         F.col("event_id").cast("string").alias("id"),
         F.concat_ws(" ", "event_type", F.lit("by"), "user_id").alias("title"),
         F.concat(F.lit("https://events.example.com/"), "event_id").alias("url"),
@@ -46,7 +53,7 @@ def event_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_items(spark: SparkSession, folder: str) -> DataFrame:
     """Unscored items: the lead sentence as title, equal texts share an id."""
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents").select(
         F.substring(F.sha2("text", 256), 1, 16).alias("id"),
         lead_sentence(F.col("text")).alias("title"),
         F.col("source"),
