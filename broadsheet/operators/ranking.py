@@ -149,6 +149,23 @@ def quota_lineup(ranked: DataFrame, keys: list[str], max_limit: int) -> DataFram
     ).drop("_nth", "_overall", "_best", "_seat")
 
 
+def section_lineups(candidates: DataFrame, keys: list[str], max_limit: int) -> DataFrame:
+    """Score and pick on narrow rows, then fetch the texts of the few that were chosen.
+
+    The candidates are written once, since percentiles read them three times and they are
+    far fewer than the items. Only what ranking needs is shuffled; the picks are written
+    too, so that the join back sees their real, small size and leaves the texts in place.
+    Ids are unique within ``keys``.
+    """
+    whole = materialize(candidates, "candidates")
+    needed = ["id", "source", "score", "published_at", "now", "lookback_hours", "weight"]
+    narrow = whole.select(*keys, *needed, "limit", "min_per_source")
+    picks = quota_lineup(rank_scores(narrow, keys), keys, max_limit).select(
+        *keys, "id", "percentile", "rank_score", "rank_in_section"
+    )
+    return whole.join(materialize(picks, "picks"), [*keys, "id"])
+
+
 def section_waves(sections: list[dict]) -> list[list[dict]]:
     """Group sections so that sections of one wave share no source.
 
@@ -175,8 +192,8 @@ def exclusive_lineups(
 ) -> DataFrame:
     """Line-ups in declared order; an item chosen once is gone for later sections.
 
-    Chosen ids leave before the next section's percentiles are taken. Each wave writes its
-    line-up, at most the sections' limits per run, which the next wave anti-joins.
+    Chosen ids leave before the next section's percentiles are taken: each wave anti-joins
+    the line-ups written so far, at most the sections' limits per run.
     """
     spark = items.sparkSession
     enabled = [s for s in sections if s.get("enabled", True)]
@@ -184,14 +201,11 @@ def exclusive_lineups(
     facts = source_facts(spark, sources)
     keys = [*run_keys, "section"]
     done: list[DataFrame] = []
-    waves = section_waves(enabled)
-    for wave in waves:
+    for wave in section_waves(enabled):
         left = items
         for earlier in done:
             left = left.join(earlier.select(*run_keys, "id"), [*run_keys, "id"], "left_anti")
-        candidates = section_candidates(left, wave, facts)
-        lineup = quota_lineup(rank_scores(candidates, keys), keys, max_limit)
-        done.append(materialize(lineup, "lineup") if len(waves) > 1 else lineup)
+        done.append(section_lineups(section_candidates(left, wave, facts), keys, max_limit))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -306,14 +306,14 @@ RECENCY_SQL = f"""WITH {EVENTS_SQL} SELECT id, floor(greatest(0.0::DOUBLE, least
 
 
 def _first_wave(spark: SparkSession, sf: str) -> DataFrame:
-    candidates = filters.section_candidates(
+    return filters.section_candidates(
         daily_runs(spark, sf), SECTIONS[:2], filters.source_facts(spark, SOURCES)
     )
-    return ranking.rank_scores(candidates, ["run_id", "section"])
 
 
 def rank_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return _first_wave(spark, sf).select("run_id", "section", "id", "rank_score")
+    ranked = ranking.rank_scores(_first_wave(spark, sf), ["run_id", "section"])
+    return ranked.select("run_id", "section", "id", "rank_score")
 
 
 _RANKED = f"""WITH {EVENTS_SQL}, {SOURCES_SQL}, {SECTIONS_SQL}, {DAILY_SQL}, {candidates_sql('runs', "id IN ('market', 'traffic')")}, {ranked_sql()}"""
@@ -321,7 +321,7 @@ RANK_SQL = f"{_RANKED} SELECT run_id, section, id, rank_score FROM ranked"
 
 
 def daily_lineups(spark: SparkSession, sf: str) -> DataFrame:
-    lineup = ranking.quota_lineup(_first_wave(spark, sf), ["run_id", "section"], 20)
+    lineup = ranking.section_lineups(_first_wave(spark, sf), ["run_id", "section"], 20)
     return lineup.select(
         "run_id", "section", F.col("rank_in_section").cast("bigint").alias("rank_in_section"), "id", "source", "rank_score"
     )
