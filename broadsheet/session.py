@@ -31,6 +31,9 @@ SETTINGS = {
 }
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def build_session(
     master: str | None = None,
     app: str = "broadsheet",
@@ -58,15 +61,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     Only a local session may fall back to a folder of its own; on a cluster a local
     folder would be unreadable to the other machines, so that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
+        "spark.checkpoint.dir"
+    )
     if root:
         return root.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="broadsheet-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="broadsheet-")
+    return _LOCAL_ROOTS[context.applicationId]
 
 
 def work_path(spark: SparkSession, label: str) -> str:
