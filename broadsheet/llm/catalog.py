@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import pieces
+from broadsheet.llm import decontaminate, pieces
 
 QUERIES = {
+    "op6_decontamination": (decontaminate.query, decontaminate.ORACLE_SQL),
     "op3_sentencepiece": (pieces.query, None),
 }
