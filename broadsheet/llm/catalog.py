@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import decontaminate, pieces
+from broadsheet.llm import decontaminate, pieces, secrets
 
 QUERIES = {
+    "op1_secrets": (secrets.query, None),
     "op6_decontamination": (decontaminate.query, decontaminate.ORACLE_SQL),
     "op3_sentencepiece": (pieces.query, None),
 }
