@@ -161,10 +161,14 @@ def _joined(spans) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))))
 
 
+def _count(field: str, value: str) -> Column:
+    return F.size(F.filter("found", lambda f: f[field] == value)).cast("long")
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """Per document: base counts, digest of the base spans, all spans and the live ones."""
     found = secrets(docs.select("doc_id", "source", "text"))
-    counts = [F.size(F.filter("found", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [_count("kind", k).alias(f"n_{k}") for k in KINDS]
     base = F.filter("found", lambda f: f["base"])
     live = F.filter("found", lambda f: f["verdict"] == "live")
     return found.select(
@@ -173,7 +177,7 @@ def digests(docs: DataFrame) -> DataFrame:
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("found")).alias("spans"),
         _joined(live).alias("live_spans"),
-        F.size(F.filter("found", lambda f: f["verdict"] == "example")).cast("long").alias("n_example"),
+        _count("verdict", "example").alias("n_example"),
     )
 
 
