@@ -1,0 +1,39 @@
+"""Connected components of an edge table in rounds of joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from broadsheet.session import materialize
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
+    return row[0], row[1] or 0
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) for every node of the edges (u, v): the label is the least node reachable.
+
+    Each round hangs a node's larger neighbours, then its smaller ones, below the least of
+    them, until every node hangs below its label; long paths halve, so rounds grow with the
+    logarithm of the size. A node meets its neighbours only through their least one, which
+    is found with partial aggregates, so a node with many edges needs no task of its own.
+    """
+    edges = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = _state(edges)
+    while before[0]:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.distinct(), "large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        after = _state(edges)
+        if after == before:
+            break
+        before = after
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
