@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import decontaminate, multiset, neardup, pieces, secrets
+from broadsheet.llm import decontaminate, lm, multiset, neardup, pieces, secrets
 
 QUERIES = {
     "op1_secrets": (secrets.query, None),
+    "op4_kneser_ney": (lm.query, None),
     "op6_decontamination": (decontaminate.query, decontaminate.ORACLE_SQL),
     "op7_setsketch_neardup": (neardup.query, neardup.ORACLE_SQL),
     "op10_multiset_hash": (multiset.query, None),
