@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import decontaminate, lm, multiset, neardup, pieces, secrets, toxicity
+from broadsheet.llm import decontaminate, language, lm, multiset, neardup, pieces, secrets, toxicity
 
 QUERIES = {
     "op1_secrets": (secrets.query, None),
     "op4_kneser_ney": (lm.query, None),
     "op6_decontamination": (decontaminate.query, decontaminate.ORACLE_SQL),
     "op7_setsketch_neardup": (neardup.query, neardup.ORACLE_SQL),
+    "op8_language_fusion": (language.query, None),
     "op9_positive_unlabelled": (toxicity.query, None),
     "op10_multiset_hash": (multiset.query, None),
     "op3_sentencepiece": (pieces.query, None),
