@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import decontaminate, language, lm, multiset, neardup, pieces, secrets, toxicity
+from broadsheet.llm import decontaminate, language, licences, lm, multiset, neardup, pieces, secrets, toxicity, urls
 
 QUERIES = {
     "op1_secrets": (secrets.query, None),
+    "op2_url_trees": (urls.query, None),
+    "op5_licence_digests": (licences.query, licences.ORACLE_SQL),
     "op4_kneser_ney": (lm.query, None),
     "op6_decontamination": (decontaminate.query, decontaminate.ORACLE_SQL),
     "op7_setsketch_neardup": (neardup.query, neardup.ORACLE_SQL),
