@@ -10,9 +10,11 @@
    buckets and leaves them. Rounds go on while they find links in more than ``FRUITFUL`` of
    their pairs.
 4. What is left of buckets that still hold several components is compared whole, in blocks
-   of sketches inside tasks: only pairs of different components that the sketches leave open
-   come out, each from the first band it shares. They are verified, too, so no pair that
-   shares a bucket is left untested, while a large group of copies never becomes pairs.
+   inside tasks: by the parity of the shingles in each of 4,096 places, which bounds the
+   number of different shingles from below, and by the sketches. Only pairs of different
+   components that both leave open come out, each from the first band it shares. They are
+   verified, too, so no pair that shares a bucket is left untested, while a large group of
+   copies never becomes pairs.
 
 Nothing but counts reaches the driver; every round reads tables from the shared folder.
 
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.llm.graphs import components
-from broadsheet.llm.setsketch import REGISTERS, bands, may_reach, registers, shingle_sets
+from broadsheet.llm.setsketch import REGISTERS, bands, may_reach, parity, registers, shingle_sets
 from broadsheet.llm.words import SPACES, word_hashes
 from broadsheet.session import materialize
 from broadsheet.sources.tables import table
@@ -72,10 +74,11 @@ def _sets(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(*word_hashes(batch.column(1), SPACES), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
+            columns = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "shingles", "parity"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text)).mapInArrow(run, f"id {kind}, shingles binary")
+    return docs.select(F.col(key).alias("id"), F.col(text)).mapInArrow(run, f"id {kind}, shingles binary, parity binary")
 
 
 def _sides(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -118,10 +121,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _sides(pairs, sets).select("a", "b", "a_shingles", "b_shingles").mapInArrow(run, pairs.select("a", "b").schema)
+    return _sides(pairs, sets.select("id", "shingles")).select("a", "b", "a_shingles", "b_shingles").mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _in_blocks(crossed: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def _in_blocks(crossed: DataFrame, classes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs of different labels that share a bucket and that their sketches leave open."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -130,17 +133,21 @@ def _in_blocks(crossed: DataFrame, classes: DataFrame, least: float) -> DataFram
         first, other, band = rows.column("one")[0].as_py(), rows.column("two")[0].as_py(), rows.column("band")[0].as_py()
         sketches = _rows(rows.column("sketch").combine_chunks())
         keys = bands(sketches).view(np.int64)
+        odd = np.frombuffer(b"".join(rows.column("parity").to_pylist()), np.uint64).reshape(len(ids), -1)
         place = int(np.flatnonzero(keys[0] == band)[0])
         # The rows of the most frequent label need not start a comparison.
         names, counts = np.unique(labels, return_counts=True)
         a, b = [], []
-        for i in np.flatnonzero((labels != names[counts.argmax()])):
+        rare = labels != names[counts.argmax()]
+        for i in np.flatnonzero(rare):
             with_ = side == (other if side[i] == first else first)
             # Two rows off the frequent label meet from the smaller id only.
-            rare = labels != names[counts.argmax()]
             with_ &= (labels != labels[i]) & (~rare | (ids > ids[i]))
-            with_ &= np.minimum(sizes, sizes[i]) >= np.maximum(sizes, sizes[i]) * (least - 1e-9)
             j = np.flatnonzero(with_)
+            j = j[np.minimum(sizes[j], sizes[i]) >= np.maximum(sizes[j], sizes[i]) * (least - 1e-9)]
+            # Sets differ in at least as many shingles as their parities do in bits.
+            apart = np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1)
+            j = j[apart <= (1 - least) / (1 + least) * (sizes[j] + sizes[i]) + 1e-9]
             j = j[~(keys[j, :place] == keys[i, :place]).any(axis=1)]
             if len(j):
                 same = np.broadcast_to(sketches[i], (len(j), REGISTERS))
@@ -156,7 +163,7 @@ def _in_blocks(crossed: DataFrame, classes: DataFrame, least: float) -> DataFram
     placed = crossed.join(counts, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     others = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("one"), F.greatest("block", o).alias("two"))))
     met = placed.withColumn("_pair", others).select("band", "id", "label", "block", "_pair.*")
-    met = met.join(classes.select("id", "n_shingles", "sketch"), "id")
+    met = met.join(classes.select("id", "n_shingles", "sketch"), "id").join(sets.select("id", "parity"), "id")
     return met.groupBy("band", "one", "two").applyInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -218,7 +225,7 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 80, key: str = "doc_id
         buckets = crossed.filter(F.col("id") != F.col("pivot.id")).select("band", "id")
         if new <= FRUITFUL * tested:
             crossed = materialize(_crossed(buckets, labels).drop("pivot"), "crossed")
-            links = links_of(materialize(_in_blocks(crossed, classes, least), "pairs"))
+            links = links_of(materialize(_in_blocks(crossed, classes, sets, least), "pairs"))
             if not links.isEmpty():
                 labels = _relabelled(labels, links)
             break

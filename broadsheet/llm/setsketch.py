@@ -13,6 +13,7 @@ from broadsheet.llm.words import BASE, mix, runs
 
 REGISTERS = 128
 BANDS = 32
+PLACES = 4096
 #: Distance and number of the scale's powers, and the rate of the exponential values.
 STEP = 1.001
 TOP = (1 << 16) - 1
@@ -69,6 +70,12 @@ def bands(sketches: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """Whether the number of elements at each of PLACES places is odd, packed. The parities of
+    two sets differ in at most as many bits as the sets do in elements."""
+    return np.packbits(np.bincount((values % np.uint64(PLACES)).astype(np.int64), minlength=PLACES) & 1)
+
+
 def _power(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-np.clip(x, 1e-12, 1) * (STEP - 1) / STEP) / np.log(STEP)
 
