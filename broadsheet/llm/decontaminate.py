@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet.llm.fmindex import FMIndex
-from broadsheet.llm.words import SYMBOLS, word_hashes
+from broadsheet.llm.words import SYMBOLS, sliced, word_hashes
 from broadsheet.sources.tables import table
 
 WINDOW = 10
@@ -180,7 +180,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_te
 
         def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
             held, bytes_held = [], 0
-            for batch in batches:
+            for batch in sliced(batches, text):
                 held.append(batch)
                 bytes_held += batch.column(text).nbytes
                 if bytes_held > 6 * SHARD:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.llm.words import LETTERS as BYTES
-from broadsheet.llm.words import SYMBOLS, buffers, mix
+from broadsheet.llm.words import SYMBOLS, buffers, mix, sliced
 from broadsheet.session import materialize
 from broadsheet.sources.tables import table
 
@@ -91,7 +91,7 @@ def fitted(texts: DataFrame, language: str = "lang", text: str = "text", key: st
     chosen = texts.filter(F.pmod(F.xxhash64(key, F.lit(8)), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             names, which = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_inverse=True)
             counts = np.zeros((len(names), FEATURES), np.int64)
             for row, place in _runs(batch.column(1)):
@@ -122,7 +122,7 @@ def text_evidence(docs: DataFrame, model: TextModel, text: str = "text") -> Data
     kept = [c for c in docs.columns if c not in (text, "_text", "_runs")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text):
             scores, number = shared.value.score(batch.column(text))
             ends = pa.array(np.arange(len(scores) + 1, dtype=np.int32) * scores.shape[1])
             lists = pa.ListArray.from_arrays(ends, pa.array(scores.reshape(-1)))
@@ -205,7 +205,7 @@ def markup_text(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stated = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""", re.I)
-        for batch in batches:
+        for batch in sliced(batches, html):
             raw = [v or "" for v in batch.column(html).to_pylist()]
             found = [stated.search(v) for v in raw]
             texts, names = [_HIDDEN.sub(" ", v) for v in raw], [m[1].lower() if m else None for m in found]

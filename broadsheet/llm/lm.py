@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.llm.arrays import Run, Sorted, write
-from broadsheet.llm.words import SPACES, mix, word_hashes
+from broadsheet.llm.words import SPACES, mix, sliced, word_hashes
 from broadsheet.session import work_path
 from broadsheet.sources.tables import table
 
@@ -105,7 +105,7 @@ def _count_words(docs: DataFrame, text: str, folder: str) -> Vocabulary:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["word", "n"])
 
-        for b in batches:
+        for b in sliced(batches, 0):
             held.append(_tokens(b.column(0))[0])
             n += len(held[-1])
             if n > BUFFER:
@@ -156,7 +156,7 @@ def _count_pairs(docs: DataFrame, text: str, folder: str, words: Vocabulary) ->
                 names=["shard", "pairs", "counts"],
             )
 
-        for b in batches:
+        for b in sliced(batches, 0):
             hashes, rows = _tokens(b.column(0))
             first, second = _pairs(known.numbers(hashes), rows, known.size)
             held.append(first << 32 | second)
@@ -298,7 +298,7 @@ def scored(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*model.value)
-        for b in batches:
+        for b in sliced(batches, text):
             n, seen, base, score = known.score(b.column(text))
             values = [pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(np.full(len(n), total), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *values], names=[*kept, *added])

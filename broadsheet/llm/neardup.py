@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm.graphs import components
 from broadsheet.llm.setsketch import REGISTERS, bands, may_reach, parity, registers, shingle_sets
-from broadsheet.llm.words import SPACES, word_hashes
+from broadsheet.llm.words import SPACES, sliced, word_hashes
 from broadsheet.session import materialize
 from broadsheet.sources.tables import table
 
@@ -52,7 +52,7 @@ def sketched(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     """(id, n_shingles, digest, sketch, bands) of each row; digest is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             sets = shingle_sets(*word_hashes(batch.column(1), SPACES), size)
             sketches = registers(sets)
             yield pa.RecordBatch.from_arrays(
@@ -72,7 +72,7 @@ def sketched(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
 
 def _sets(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             sets = shingle_sets(*word_hashes(batch.column(1), SPACES), size)
             columns = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s).tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "shingles", "parity"])

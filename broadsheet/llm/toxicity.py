@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.llm.words import LETTERS as BYTES
-from broadsheet.llm.words import buffers, mix
+from broadsheet.llm.words import buffers, mix, sliced
 from broadsheet.sources.tables import table
 
 LETTERS = 5
@@ -71,7 +71,7 @@ def _features_of(rows: DataFrame, text: str) -> list[np.ndarray]:
     """The features of a bounded number of texts, a list a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 0):
             row, place = features(batch.column(0))
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
             lists = [place[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
@@ -145,7 +145,7 @@ def scored(docs: DataFrame, positives: DataFrame, learnable: Column, prior: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         theta, start = model.value
         wanted = theta != 0
-        for batch in batches:
+        for batch in sliced(batches, text):
             row, place = features(batch.column(text), wanted)
             logit = np.bincount(row, theta[place], batch.num_rows) + start
             score = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))

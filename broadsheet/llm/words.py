@@ -7,6 +7,8 @@ meet with a chance of about 2^-64 a pair.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -63,6 +65,18 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[starts[0] : starts[-1]], starts - starts[0]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], text: str | int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``size`` bytes of text each, which bounds
+    what a task holds at a time; a longer text is a run of its own."""
+    for batch in batches:
+        ends = buffers(batch.column(text))[1]
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def word_hashes(column: pa.Array, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each row where its words begin (n + 1 places)."""
     data, rows = buffers(column)
