@@ -7,7 +7,7 @@ merge trees along the common border accepts or refuses it, shorter pieces follow
 field of failed places keeps the search linear.
 
 The vocabulary is the model's (32,000 pieces): it is read once and broadcast. Texts are cut
-where no piece can lie, as before word marks and stops, and the codes of a task's words are
+where no piece can lie, as before word marks and stops, and the codes of a worker's words are
 remembered up to ``MEMORY`` entries.
 
 Nulls and empty texts have no ids and decode to the empty text. Every row gives one row;
@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from broadsheet.llm.words import sliced
 from broadsheet.sources.tables import table
 
 MARK = "▁"
-#: Words and pairs a task remembers before it starts afresh.
+#: Words and pairs a worker remembers before it starts afresh.
 MEMORY = 300_000
 
 
@@ -60,6 +61,16 @@ class Pieces:
                 del self.id[word]
         self.letters = {w for w in self.id if len(w) == 1}
         self.openers = self._openers()
+        self._coder: Coder | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_coder": None}
+
+    def coder(self) -> Coder:
+        """The coder of this process: what it remembers serves all tasks of a worker."""
+        if self._coder is None:
+            self._coder = Coder(self)
+        return self._coder
 
     def _openers(self) -> set[str]:
         """Letters that no piece holds behind another kind of letter: a piece may begin at
@@ -95,7 +106,7 @@ class Pieces:
 
 
 class Coder:
-    """Encodes and decodes with a model's pieces; one per task."""
+    """Encodes and decodes with a model's pieces."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -152,7 +163,10 @@ class Coder:
 
     def _word(self, word: str) -> list[int]:
         if self.pieces.letters.issuperset(word):
-            return [self.pieces.id[p] for p in self._search(word)]
+            parts = [p for _, p in self.find.iter_long(word)]
+            if not all(map(self.fits.get, zip(parts, parts[1:]))):
+                parts = self._search(word)
+            return [self.pieces.id[p] for p in parts]
         out: list[int] = []
         for known, text in self._known(word):
             out += [self.pieces.id[p] for p in self._search(text)] if known else self._spelled(text)
@@ -227,8 +241,8 @@ def coded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     pieces = docs.sparkSession.sparkContext.broadcast(Pieces(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(pieces.value)
-        for batch in batches:
+        coder = pieces.value.coder()
+        for batch in sliced(batches, text):
             ids, ends, texts = [], [0], []
             for value in batch.column(text):
                 code = coder.encode(value.as_py())

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from broadsheet.llm.words import sliced
 from broadsheet.session import materialize
 from broadsheet.sources.tables import table
 
@@ -83,7 +84,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.string()), ("alive", pa.bool_()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text):
             found = pa.array([candidates(v.as_py()) for v in batch.column(text)], kind)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], names=[*kept, "found"])
 
