@@ -101,12 +101,14 @@ def _numeric_reference(name: Column) -> Column:
     """``#8212`` or ``#x2014`` to its character; null when it names no character."""
     is_hex = F.lower(F.substring(name, 2, 1)) == "x"
     digits = F.regexp_replace(name, r"(?i)^#x?0*", "")
+    leading = F.regexp_extract(name, "^#0*([0-9]*)", 1)
     code = F.when(
         is_hex & (F.length(digits) <= 6),
         F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("int"),
     ).when(
-        ~is_hex & digits.rlike(r"^[0-9]{0,7}$"),
-        F.conv(F.concat(F.lit("0"), digits), 10, 10).cast("int"),
+        # Letters behind the digits are read over.
+        ~is_hex & name.rlike("^#[0-9]") & (F.length(leading) <= 7),
+        F.conv(F.concat(F.lit("0"), leading), 10, 10).cast("int"),
     )
 
     def as_text(cp: Column) -> Column:
@@ -125,7 +127,7 @@ def decode_entities(text: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
     def decoded(reference: Column) -> Column:
-        name = F.substring(reference, 2, 1 << 20)
+        name = F.substr(reference, F.lit(2))
         name = F.rtrim(F.regexp_replace(name, ";$", ""))
         return F.coalesce(
             F.try_element_at(table, name),

@@ -65,7 +65,7 @@ def _clean_query(query: Column) -> Column:
         return F.coalesce(F.try_url_decode(text), text)
 
     pairs = F.transform(
-        F.filter(F.split(F.substring(query, 2, 1 << 20), "&"), lambda p: p != ""),
+        F.filter(F.split(F.substr(query, F.lit(2)), "&"), lambda p: p != ""),
         lambda p: F.struct(
             decoded(F.regexp_extract(p, r"(?s)^([^=]*)", 1)).alias("k"),
             decoded(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("v"),
@@ -75,6 +75,80 @@ def _clean_query(query: Column) -> Column:
     return F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
 
 
+def _v4_part(part: Column) -> Column:
+    """A decimal, octal or hexadecimal part of an address; null when it is no number."""
+    bare = F.regexp_replace(part, "^0x0*|^0+", "")
+
+    def number(base: int, longest: int) -> Column:
+        # A longer number is beyond every address; it would overflow the conversion.
+        return F.when(F.length(bare) > longest, F.lit(1 << 40)).otherwise(
+            F.conv(F.concat(F.lit("0"), bare), base, 10).cast("bigint")
+        )
+
+    return (
+        F.when(part.rlike("^0x[0-9a-f]*$"), number(16, 8))
+        .when(part.rlike("^0[0-7]*$"), number(8, 11))
+        .when(part.rlike("^[1-9][0-9]*$"), number(10, 10))
+    )
+
+
+def _plain_v4(host: Column) -> Column:
+    """Every spelling of an IPv4 address as a dotted quad; null when it is a wrong one.
+
+    One to four parts, the last filling the bytes that are left; a stop at the end is
+    allowed. Hosts whose last part is no number are names and stay.
+    """
+
+    def read(parts: Column) -> Column:
+        n = F.size(parts)
+        last = F.element_at(parts, -1)
+        front = F.slice(parts, 1, F.greatest(n - 1, F.lit(0)))
+        right = (n <= 4) & F.forall(front, lambda p: p <= 255) & (last < F.pow(F.lit(256.0), 5 - n))
+        whole = last + F.aggregate(
+            F.zip_with(front, F.slice(F.array(*(F.lit(1 << s) for s in (24, 16, 8))), 1, F.greatest(n - 1, F.lit(0))), lambda p, w: p * w),
+            F.lit(0).cast("bigint"),
+            lambda a, b: a + b,
+        )
+        quad = F.concat_ws(".", *(F.shiftright(whole, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)))
+        return F.when(F.coalesce(right, F.lit(False)) & F.forall(parts, lambda p: p.isNotNull()), quad)
+
+    parts = F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), _v4_part)
+    numeric = host.rlike(r"(^|\.)(\d+|0x[0-9a-f]*)\.?$")
+    return F.when(numeric, let(parts, read)).otherwise(host)
+
+
+def _groups_v6(host: Column) -> Column:
+    """The eight groups of a bracketed IPv6 address as numbers; null when it is a wrong one."""
+    inner = F.regexp_replace(host, r"^\[|\]$", "")
+    tail = F.regexp_extract(inner, r"(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    octets = F.transform(F.split(tail, r"\."), lambda p: p.try_cast("int"))
+    pair = let(
+        octets,
+        lambda o: F.concat_ws(
+            ":",
+            F.lower(F.hex(F.shiftleft(o[0], 8) + o[1])),
+            F.lower(F.hex(F.shiftleft(o[2], 8) + o[3])),
+        ),
+    )
+    plain = F.when(tail != "", F.concat(F.regexp_replace(inner, r"\d{1,3}(?:\.\d{1,3}){3}$", ""), pair)).otherwise(inner)
+
+    def groups(text: Column) -> Column:
+        return F.filter(F.split(text, ":"), lambda g: g != "")
+
+    def read(halves: Column) -> Column:
+        left, right = groups(halves[0]), F.when(F.size(halves) == 2, groups(halves[1])).otherwise(F.array().cast("array<string>"))
+        gap = F.when(F.size(halves) == 2, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right))).otherwise(F.array().cast("array<string>"))
+        return let(
+            F.concat(left, gap, right),
+            lambda g: F.when(
+                (F.size(halves) <= 2) & (F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")),
+                F.transform(g, lambda x: F.conv(x, 16, 10).cast("int")),
+            ),
+        )
+
+    return let(F.split(plain, "::", 3), read)
+
+
 def _parts(url: Column) -> Column:
     """Scheme, host, port, path and query of a trimmed URL; a null host means unparseable."""
     web = url.rlike(r"(?i)^(?:https?|ftp|wss?):")
@@ -91,7 +165,7 @@ def _parts(url: Column) -> Column:
     host = F.lower(F.regexp_extract(authority, _AUTHORITY, 1))
     return F.struct(
         F.lower(piece(1)).alias("scheme"),
-        F.when(web & (host != ""), host)
+        F.when(web & (host != ""), F.when(host.startswith("["), F.when(_groups_v6(host).isNotNull(), host)).otherwise(_plain_v4(host)))
         .when(~web & other, host)
         .alias("host"),
         F.regexp_extract(authority, _AUTHORITY, 2).alias("port"),
@@ -164,25 +238,22 @@ def _dotted_private(host: Column) -> Column:
 
 
 def _private_v6(host: Column) -> Column:
-    inner = F.regexp_replace(host, r"^\[|\]$", "")
-    dotted = F.regexp_extract(inner, r"^::ffff:(\d+(?:\.\d+){3})$", 1)
-    high = F.conv(F.concat(F.lit("0"), F.regexp_extract(inner, r"^::ffff:([0-9a-f]{1,4}):[0-9a-f]{1,4}$", 1)), 16, 10)
-    low = F.conv(F.concat(F.lit("0"), F.regexp_extract(inner, r"^::ffff:[0-9a-f]{1,4}:([0-9a-f]{1,4})$", 1)), 16, 10)
-    hex_octets = let(
-        F.array(high.cast("int"), low.cast("int")),
-        lambda w: F.array(
-            F.shiftright(w[0], 8),
-            w[0].bitwiseAND(F.lit(255)),
-            F.shiftright(w[1], 8),
-            w[1].bitwiseAND(F.lit(255)),
-        ),
-    )
-    return (
-        F.when(inner.isin("::", "::1"), True)
-        .when(dotted != "", _dotted_private(dotted))
-        .when(inner.rlike(r"^::ffff:[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), _private_v4(hex_octets))
-        .otherwise(inner.rlike(r"^f[cd][0-9a-f]{2}:|^fe[89ab][0-9a-f]:"))
-    )
+    """Unspecified, loopback, unique local, link-local, or a mapped private IPv4 address."""
+
+    def judge(g: Column) -> Column:
+        zeros = F.forall(F.slice(g, 1, 5), lambda x: x == 0)
+        high, low = g[6], g[7]
+        mapped = F.array(
+            F.shiftright(high, 8), high.bitwiseAND(F.lit(255)), F.shiftright(low, 8), low.bitwiseAND(F.lit(255))
+        )
+        return (
+            (zeros & (g[5] == 0) & (high == 0) & (low <= 1))
+            | (zeros & (g[5] == 0xFFFF) & _private_v4(mapped))
+            | (g[0].bitwiseAND(F.lit(0xFE00)) == 0xFC00)
+            | (g[0].bitwiseAND(F.lit(0xFFC0)) == 0xFE80)
+        )
+
+    return F.coalesce(let(_groups_v6(host), judge), F.lit(True))
 
 
 def is_fetchable(url: Column) -> Column:

@@ -7,7 +7,7 @@ Dropped items block nobody, so neither distinct rows nor connected components wi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +27,14 @@ _RANKS = T.StructType(
 
 
 def with_trust_key(items: DataFrame, sources: list[dict]) -> DataFrame:
-    """Add ``trust``: one number that sorts by weight, declared source, payload position.
-
-    Sources are ranked in the configuration, so the key needs no sort of the items. A
-    source nobody declared weighs 1 and comes after the declared ones of that weight.
+    """Add ``trust``: a number of its own for each row, in the order in which rows are believed:
+    by weight, declared source, source name, body, payload position and id.
+
+    Sources are ranked in the configuration; a source nobody declared weighs 1 and comes
+    after the declared ones of that weight. ``body_pos`` orders the bodies of a source and
+    counts as 0 where there is none. The rows are sorted by ranges and numbered in the order
+    of their ranges, so no task sees more than its range, and rows that agree in everything
+    still differ in their number. The numbered rows are written once.
     """
     spark = items.sparkSession
     order = sorted(
@@ -39,12 +43,21 @@ def with_trust_key(items: DataFrame, sources: list[dict]) -> DataFrame:
     )
     ranks = [{"source": name, "source_rank": r} for r, (_, _, name) in enumerate(order) if name]
     unknown = next(r for r, (_, _, name) in enumerate(order) if name is None)
-    rank = F.coalesce("source_rank", F.lit(unknown)).cast("bigint")
-    return (
+    body = F.col("body_pos") if "body_pos" in items.columns else F.lit(0)
+    keys = ["source_rank", "source", "_body", "item_pos", "id"]
+    ranked = (
         items.join(dimension(spark, ranks, _RANKS), "source", "left")
-        .withColumn("trust", F.shiftleft(rank, 40) + F.col("item_pos"))
-        .drop("source_rank")
+        .withColumns({"source_rank": F.coalesce("source_rank", F.lit(unknown)), "_body": body})
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("trust", F.monotonically_increasing_id())
     )
+    return materialize(ranked.drop("_body"), "trusted")
+
+
+def _title_or_own(title_key: Column, id_: Column) -> Column:
+    """The title key; an untitled row has a key of its own, which no title equals."""
+    return F.when(title_key == "", F.concat(F.lit("\x00"), id_)).otherwise(title_key)
 
 
 def with_title_facts(items: DataFrame) -> DataFrame:
@@ -65,16 +78,17 @@ def published_exactly(items: DataFrame, history: DataFrame) -> DataFrame:
     """
     ids = history.select("id").distinct().withColumn("_id_seen", F.lit(True))
     titles = (
-        history.select("title_key")
-        .where(F.col("title_key") != "")
+        history.select(F.col("title_key").alias("_own"))
+        .where(F.col("_own") != "")
         .distinct()
         .withColumn("_title_seen", F.lit(True))
     )
     return (
-        items.join(ids, "id", "left")
-        .join(titles, "title_key", "left")
+        items.withColumn("_own", _title_or_own(F.col("title_key"), F.col("id")))
+        .join(ids, "id", "left")
+        .join(titles, "_own", "left")
         .withColumn("seen", F.col("_id_seen").isNotNull() | F.col("_title_seen").isNotNull())
-        .drop("_id_seen", "_title_seen")
+        .drop("_id_seen", "_title_seen", "_own")
     )
 
 
@@ -337,7 +351,7 @@ def label_drops(
     keys = kept.select("trust", F.lit(True).alias("_kept"))
     ids = kept.select("id", F.col("trust").alias("_id_trust"))
     titles = kept.where(F.col("title_key") != "").select(
-        "title_key", F.col("trust").alias("_title_trust")
+        F.col("title_key").alias("_own"), F.col("trust").alias("_title_trust")
     )
     exact = F.coalesce(F.col("_id_trust") < F.col("trust"), F.lit(False)) | F.coalesce(
         F.col("_title_trust") < F.col("trust"), F.lit(False)
@@ -350,11 +364,12 @@ def label_drops(
         .otherwise("within")
     )
     return (
-        flagged.join(keys, "trust", "left")
+        flagged.withColumn("_own", _title_or_own(F.col("title_key"), F.col("id")))
+        .join(keys, "trust", "left")
         .join(ids, "id", "left")
-        .join(titles, "title_key", "left")
+        .join(titles, "_own", "left")
         .withColumn("cause", cause)
-        .drop("_kept", "_id_trust", "_title_trust", "seen", "near_seen")
+        .drop("_kept", "_id_trust", "_title_trust", "_own", "seen", "near_seen")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet.schema import SECTION, SOURCE
-from broadsheet.session import dimension
+from broadsheet.session import dimension, let
 
 FACTS = T.StructType(
     [
@@ -18,14 +18,21 @@ FACTS = T.StructType(
 )
 
 
+def _haystack(title: Column, excerpt: Column) -> Column:
+    return F.lower(F.concat(title, F.lit("\n"), F.coalesce(excerpt, F.lit(""))))
+
+
 def matches_keyword(title: Column, excerpt: Column, keyword: Column) -> Column:
     """Literal, case-insensitive substring of the title and excerpt."""
-    text = F.concat(title, F.lit("\n"), F.coalesce(excerpt, F.lit("")))
-    return F.contains(F.lower(text), F.lower(keyword))
+    return F.contains(_haystack(title, excerpt), F.lower(keyword))
 
 
 def matches_any(title: Column, excerpt: Column, keywords: Column) -> Column:
-    return F.exists(keywords, lambda k: matches_keyword(title, excerpt, k))
+    """Any keyword; the text is lowered once for all of them."""
+    return let(
+        _haystack(title, excerpt),
+        lambda text: F.exists(keywords, lambda k: F.contains(text, F.lower(k))),
+    )
 
 
 def within_window(at: Column, now: Column, lookback_hours: Column) -> Column:

@@ -44,13 +44,15 @@ def normalize(
     )
 
 
-def first_per_source(items: DataFrame, limits: DataFrame, max_limit: int) -> DataFrame:
-    """The first ``fetch_limit`` items of each source in payload order."""
+def first_per_source(items: DataFrame, limits: DataFrame) -> DataFrame:
+    """The first ``fetch_limit`` items of each source in payload order; ``limits`` is
+    configuration, one row a source."""
+    most = limits.agg(F.max("fetch_limit")).first()[0] or 0
     capped = top_k(
         items.join(limits.select("source", "fetch_limit"), "source"),
         ["run_id", "source"],
         [F.asc("item_pos")],
-        max_limit,
+        most,
         rank="arrival",
     )
     return capped.where(F.col("arrival") <= F.col("fetch_limit")).drop("fetch_limit")

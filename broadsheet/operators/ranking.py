@@ -119,18 +119,19 @@ def total_order() -> list[Column]:
     return [F.desc("rank_score"), F.desc("published_at"), F.asc("id")]
 
 
-def quota_lineup(ranked: DataFrame, keys: list[str], max_limit: int) -> DataFrame:
+def quota_lineup(ranked: DataFrame, keys: list[str], rows: DataFrame | None = None) -> DataFrame:
     """Pick each section's line-up: reserved seats per source first, then by rank.
 
-    Needs ``limit`` and ``min_per_source``; ``max_limit`` is the largest limit in use. A
-    source can never place an item below its own ``limit``-th, so each source is first cut
+    Needs ``limit`` and ``min_per_source``. The largest limit in use is read from ``rows``,
+    a written table of the same rows if there is one, so no row's own limit is cut. A source can never place an item below its own ``limit``-th, so each source is first cut
     to that many; what remains per section is bounded by the configuration.
 
     Seats are dealt in rounds: the r-th item of every source, sources in the order of
     their best item. That is one sort key per row, so no loop is needed.
     """
     order = total_order()
-    per_source = top_k(ranked, [*keys, "source"], order, max_limit, rank="_nth")
+    most = (ranked if rows is None else rows).agg(F.max("limit")).first()[0] or 0
+    per_source = top_k(ranked, [*keys, "source"], order, most, rank="_nth")
     per_source = per_source.where(F.col("_nth") <= F.col("limit"))
     section = Window.partitionBy(*keys)
     source = Window.partitionBy(*keys, "source").orderBy("_nth")
@@ -149,7 +150,7 @@ def quota_lineup(ranked: DataFrame, keys: list[str], max_limit: int) -> DataFram
     ).drop("_nth", "_overall", "_best", "_seat")
 
 
-def section_lineups(candidates: DataFrame, keys: list[str], max_limit: int) -> DataFrame:
+def section_lineups(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Score and pick on narrow rows, then fetch the texts of the few that were chosen.
 
     The candidates are written once, since percentiles read them three times and they are
@@ -160,7 +161,7 @@ def section_lineups(candidates: DataFrame, keys: list[str], max_limit: int) -> D
     whole = materialize(candidates, "candidates")
     needed = ["id", "source", "score", "published_at", "now", "lookback_hours", "weight"]
     narrow = whole.select(*keys, *needed, "limit", "min_per_source")
-    picks = quota_lineup(rank_scores(narrow, keys), keys, max_limit).select(
+    picks = quota_lineup(rank_scores(narrow, keys), keys, narrow).select(
         *keys, "id", "percentile", "rank_score", "rank_in_section"
     )
     return whole.join(materialize(picks, "picks"), [*keys, "id"])
@@ -197,7 +198,6 @@ def exclusive_lineups(
     """
     spark = items.sparkSession
     enabled = [s for s in sections if s.get("enabled", True)]
-    max_limit = max((s["limit"] for s in enabled), default=0)
     facts = source_facts(spark, sources)
     keys = [*run_keys, "section"]
     done: list[DataFrame] = []
@@ -205,7 +205,7 @@ def exclusive_lineups(
         left = items
         for earlier in done:
             left = left.join(earlier.select(*run_keys, "id"), [*run_keys, "id"], "left_anti")
-        done.append(section_lineups(section_candidates(left, wave, facts), keys, max_limit))
+        done.append(section_lineups(section_candidates(left, wave, facts), keys))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

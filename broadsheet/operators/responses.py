@@ -147,8 +147,10 @@ def parse_digest(raw: Column, max_chars: int) -> Column:
     """``digest``, else ``summary``, else the prose; empty when JSON has neither."""
 
     def read(value: Column) -> Column:
+        digest = F.try_variant_get(value, "$.digest", "variant")
+        # An explicit null is a variant of its own, not a missing value.
         present = F.coalesce(
-            F.try_variant_get(value, "$.digest", "variant"),
+            F.when(~F.is_variant_null(digest), digest),
             F.try_variant_get(value, "$.summary", "variant"),
         )
         text = F.when(

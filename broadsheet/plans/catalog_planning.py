@@ -128,7 +128,7 @@ FROM walk w JOIN costed c ON c.run_id = w.run_id AND c.turn = w.turn WHERE w.dec
 
 def _summaries(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns as summaries of the documents with the same number."""
-    turns = tables.text_table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    turns = tables.table(spark, sf, "conversations").where(F.col("role") == "assistant")
     at = F.col("conv_id") * 2 + F.col("turn") % 2
     one = turns.groupBy(at.alias("doc")).agg(F.min_by("text", "turn").alias("summary"))
     return one.select(
@@ -206,7 +206,7 @@ def _blocks(spark: SparkSession, sf: str) -> DataFrame:
         }
     )
     day = F.lit("2024-01-31")
-    number = F.substring("run_id", 5, 20).cast("int")
+    number = F.substr("run_id", F.lit(5)).cast("int")
     issues = lineup(spark, sf).select("run_id").distinct().withColumns(
         {
             "title": F.lit("Daily *news*"),
@@ -274,7 +274,7 @@ SELECT run_id, audience, body FROM d JOIN a ON a.signature = d.signature"""
 
 
 def packed(spark: SparkSession, sf: str) -> DataFrame:
-    docs = tables.text_table(spark, sf, "documents")
+    docs = tables.table(spark, sf, "documents")
     chunks = documents.pack_blocks(F.split("text", "\n"), 400, "chars")
     return docs.select("doc_id", F.posexplode(chunks).alias("n", "chunk")).withColumn("n", F.col("n").cast("bigint"))
 
@@ -296,7 +296,7 @@ SELECT doc_id, unnest(range(0, len(chunks))) AS n, unnest(chunks) AS chunk FROM
 
 def packed_bytes(spark: SparkSession, sf: str) -> DataFrame:
     """Byte-bounded chunks, checked by their sizes and by losing no character."""
-    docs = tables.text_table(spark, sf, "documents")
+    docs = tables.table(spark, sf, "documents")
     chunks = documents.pack_blocks(documents.paragraphs(F.col("text")), 4096, "bytes")
     letters = F.length(F.regexp_replace(F.array_join("chunks", ""), r"\s", ""))
     return docs.withColumn("chunks", chunks).select(
@@ -321,7 +321,7 @@ def _landing(spark: SparkSession, sf: str, entry: Column, wrap) -> DataFrame:
     """Ten documents per landed body; every seventh body is cut off, every eleventh a 503."""
     body_no = F.floor(F.col("doc_id") / PER_BODY)
     grouped = (
-        tables.text_table(spark, sf, "documents")
+        tables.table(spark, sf, "documents")
         .withColumn("body_no", body_no)
         .withColumn("entry", entry)
         .groupBy("body_no")
@@ -436,7 +436,7 @@ REPOSITORY_SQL = _payload_sql(
 
 def size_guard(spark: SparkSession, sf: str) -> DataFrame:
     """Page bodies against a cap that some of them exceed."""
-    landed = tables.text_table(spark, sf, "pages").select(
+    landed = tables.table(spark, sf, "pages").select(
         "page_id", F.lit(200).alias("status"), F.col("html").alias("body")
     )
     return feeds.with_landing_error(landed, 6000).select("page_id", "error")

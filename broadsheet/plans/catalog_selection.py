@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from broadsheet.operators import dedupe, filters, health, normalize, ranking
 from broadsheet.plans.catalog_texts import DOCS_SQL, SQL_SPACE, sql_numbers, sql_title_key
@@ -225,8 +226,7 @@ PRUNED_SQL = "SELECT event_type AS source, count(*) AS n FROM events WHERE event
 
 def arrival_limit(spark: SparkSession, sf: str) -> DataFrame:
     limits = dimension(spark, SOURCES, SOURCE).withColumnRenamed("name", "source")
-    most = max(s["fetch_limit"] for s in SOURCES)
-    return normalize.first_per_source(events(spark, sf), limits, most).select(
+    return normalize.first_per_source(events(spark, sf), limits).select(
         "id", "source", F.col("arrival").cast("bigint").alias("arrival")
     )
 
@@ -305,23 +305,24 @@ RECENCY_SQL = f"""WITH {EVENTS_SQL} SELECT id, floor(greatest(0.0::DOUBLE, least
  0.0::DOUBLE AS no_window FROM ev"""
 
 
-def _first_wave(spark: SparkSession, sf: str) -> DataFrame:
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    enabled = [s for s in SECTIONS if s["enabled"]]
     return filters.section_candidates(
-        daily_runs(spark, sf), SECTIONS[:2], filters.source_facts(spark, SOURCES)
+        daily_runs(spark, sf), enabled, filters.source_facts(spark, SOURCES)
     )
 
 
 def rank_scores(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = ranking.rank_scores(_first_wave(spark, sf), ["run_id", "section"])
+    ranked = ranking.rank_scores(_candidates(spark, sf), ["run_id", "section"])
     return ranked.select("run_id", "section", "id", "rank_score")
 
 
-_RANKED = f"""WITH {EVENTS_SQL}, {SOURCES_SQL}, {SECTIONS_SQL}, {DAILY_SQL}, {candidates_sql('runs', "id IN ('market', 'traffic')")}, {ranked_sql()}"""
+_RANKED = f"""WITH {EVENTS_SQL}, {SOURCES_SQL}, {SECTIONS_SQL}, {DAILY_SQL}, {candidates_sql('runs', "enabled")}, {ranked_sql()}"""
 RANK_SQL = f"{_RANKED} SELECT run_id, section, id, rank_score FROM ranked"
 
 
 def daily_lineups(spark: SparkSession, sf: str) -> DataFrame:
-    lineup = ranking.section_lineups(_first_wave(spark, sf), ["run_id", "section"], 20)
+    lineup = ranking.section_lineups(_candidates(spark, sf), ["run_id", "section"])
     return lineup.select(
         "run_id", "section", F.col("rank_in_section").cast("bigint").alias("rank_in_section"), "id", "source", "rank_score"
     )
@@ -355,9 +356,16 @@ EXCLUSIVE_SQL = (
 )
 
 
+def placed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as items of many bodies: positions restart in every hundred."""
+    docs = tables.document_items(spark, sf).withColumnRenamed("item_pos", "doc_id")
+    return docs.withColumns(
+        {"run_id": F.lit("r"), "body_pos": F.floor(F.col("doc_id") / 100), "item_pos": F.col("doc_id") % 100}
+    )
+
+
 def doc_facts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = tables.document_items(spark, sf).withColumn("run_id", F.lit("r"))
-    return dedupe.with_title_facts(dedupe.with_trust_key(docs, DOC_SOURCES))
+    return dedupe.with_title_facts(dedupe.with_trust_key(placed_documents(spark, sf), DOC_SOURCES))
 
 
 def history(spark: SparkSession, sf: str) -> DataFrame:
@@ -367,7 +375,7 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
 _DOC_SOURCES_SQL = sql_rows("doc_sources", DOC_SOURCES, ["name", "source_pos", "weight"])
 FACTS_SQL = f"""{DOCS_SQL}, {_DOC_SOURCES_SQL},
 facts AS (SELECT id, title, source, item_pos, {sql_title_key('title')} AS title_key, coalesce({sql_numbers('title')}, '') AS numbers,
-  row_number() OVER (ORDER BY -coalesce(weight, 1.0), coalesce(source_pos, 15), item_pos) AS ord
+  row_number() OVER (ORDER BY -coalesce(weight, 1.0), coalesce(source_pos, 15), source, item_pos) AS ord
   FROM docs LEFT JOIN doc_sources ON name = source),
 hist AS (SELECT substr(sha256(text), 1, 16) AS id, trim(regexp_extract(text, '^[^.!?\\n]*')) AS title FROM benchmark),
 hfacts AS (SELECT id, title, {sql_title_key('title')} AS title_key, coalesce({sql_numbers('title')}, '') AS numbers FROM hist)"""
@@ -387,26 +395,34 @@ hnear AS (SELECT DISTINCT node FROM (SELECT p.node FROM posts p JOIN hposts h ON
 
 
 def trust_order(spark: SparkSession, sf: str) -> DataFrame:
-    docs = dedupe.with_trust_key(tables.document_items(spark, sf), DOC_SOURCES)
-    return docs.select(
-        F.col("item_pos").alias("doc_id"),
-        F.shiftright("trust", 40).cast("bigint").alias("source_rank"),
-        F.col("trust").bitwiseAND(F.lit((1 << 40) - 1)).alias("position"),
+    """Each source's rank, its first and last document by trust, and how many keys it has."""
+    docs = dedupe.with_trust_key(placed_documents(spark, sf), DOC_SOURCES)
+    numbered = docs.groupBy("source", "source_rank").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("trust").alias("n_trust"),
+        F.min_by("doc_id", "trust").alias("first_doc"),
+        F.max_by("doc_id", "trust").alias("last_doc"),
+        F.min("trust").alias("_first"),
     )
+    # One row a source: their number is that of the configuration and the feeds.
+    place = F.row_number().over(Window.orderBy("_first"))
+    return numbered.withColumn("place", place).drop("_first")
 
 
 TRUST_SQL = f"""WITH {DOCS_SQL}, {_DOC_SOURCES_SQL}, r AS (SELECT name, dense_rank() OVER (ORDER BY -weight, source_pos) - 1 AS source_rank
    FROM (SELECT * FROM doc_sources UNION ALL SELECT NULL, 15, 1.0))
-SELECT item_pos AS doc_id, coalesce(r.source_rank, (SELECT source_rank FROM r WHERE name IS NULL)) AS source_rank, item_pos AS position
-FROM docs LEFT JOIN r ON r.name = docs.source"""
+SELECT *, row_number() OVER (ORDER BY source_rank, source) AS place FROM (
+  SELECT source, coalesce(r.source_rank, (SELECT source_rank FROM r WHERE name IS NULL)) AS source_rank,
+    count(*) AS n, count(*) AS n_trust, min(item_pos) AS first_doc, max(item_pos) AS last_doc
+  FROM docs LEFT JOIN r ON r.name = docs.source GROUP BY ALL)"""
 
 
 def published(spark: SparkSession, sf: str) -> DataFrame:
     """Half of the documents (odd ids) as history of all of them."""
     facts = doc_facts(spark, sf)
-    old = facts.where(F.col("item_pos") % 2 == 1).select("id", "title_key")
-    new = facts.where(F.col("item_pos") % 2 == 0)
-    return dedupe.unseen(new, old).select(F.col("item_pos").alias("doc_id"), "id")
+    old = facts.where(F.col("doc_id") % 2 == 1).select("id", "title_key")
+    new = facts.where(F.col("doc_id") % 2 == 0)
+    return dedupe.unseen(new, old).select(F.col("doc_id"), "id")
 
 
 PUBLISHED_SQL = f"""WITH {FACTS_SQL}, old AS (SELECT * FROM facts WHERE item_pos % 2 = 1)
@@ -417,10 +433,10 @@ SELECT item_pos AS doc_id, id FROM facts WHERE item_pos % 2 = 0 AND id NOT IN (S
 def near_pairs(spark: SparkSession, sf: str) -> DataFrame:
     facts = materialize(doc_facts(spark, sf), "facts")
     pairs = dedupe.near_pairs(facts, THRESHOLD)
-    at = facts.select("trust", "item_pos")
+    at = facts.select("trust", "doc_id")
     return (
-        pairs.join(at.select(F.col("trust").alias("a_node"), F.col("item_pos").alias("first_doc")), "a_node")
-        .join(at.select(F.col("trust").alias("b_node"), F.col("item_pos").alias("second_doc")), "b_node")
+        pairs.join(at.select(F.col("trust").alias("a_node"), F.col("doc_id").alias("first_doc")), "a_node")
+        .join(at.select(F.col("trust").alias("b_node"), F.col("doc_id").alias("second_doc")), "b_node")
         .select("first_doc", "second_doc", "score")
     )
 
@@ -433,7 +449,7 @@ def near_history(spark: SparkSession, sf: str) -> DataFrame:
     facts = materialize(doc_facts(spark, sf), "facts")
     near = dedupe.near_published(facts, history(spark, sf), THRESHOLD)
     return facts.join(near, ["title_key", "numbers"], "left_semi").select(
-        F.col("item_pos").alias("doc_id"), "title_key"
+        F.col("doc_id"), "title_key"
     )
 
 
@@ -446,7 +462,7 @@ def _exact_only(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exact_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return _exact_only(spark, sf).select(F.col("item_pos").alias("doc_id"), "cause")
+    return _exact_only(spark, sf).select(F.col("doc_id"), "cause")
 
 
 # One step per item in trust order, against the ids and titles kept so far.
@@ -462,7 +478,7 @@ SELECT item_pos AS doc_id, CASE WHEN NOT w.kept THEN 'within' END AS cause FROM
 
 def drop_causes(spark: SparkSession, sf: str) -> DataFrame:
     labelled = dedupe.label_drops(doc_facts(spark, sf), history(spark, sf), THRESHOLD)
-    return labelled.select(F.col("item_pos").alias("doc_id"), "cause")
+    return labelled.select(F.col("doc_id"), "cause")
 
 
 # The kept items so far are carried as nodes, ids and titles; rules in the given order.
@@ -498,9 +514,9 @@ SELECT count(*) FILTER (verdict = 'within') AS dropped_within_run, count(*) FILT
 
 
 def survivors(spark: SparkSession, sf: str) -> DataFrame:
-    kept = dedupe.survivors(doc_facts(spark, sf), THRESHOLD)
-    mask = F.lit((1 << 40) - 1)
-    return kept.select(F.col("trust").bitwiseAND(mask).alias("doc_id"), "id", "title_key")
+    facts = doc_facts(spark, sf)
+    kept = dedupe.survivors(facts, THRESHOLD)
+    return kept.join(facts.select("trust", "doc_id"), "trust").select("doc_id", "id", "title_key")
 
 
 SURVIVORS_SQL = f"""{_DEDUPE_WALK.replace("i.seen THEN", "false THEN").replace("i.hn THEN", "false THEN")}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -31,9 +30,6 @@ SETTINGS = {
 }
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
 def build_session(
     master: str | None = None,
     app: str = "broadsheet",
@@ -58,8 +54,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own; on a cluster a local
-    folder would be unreadable to the other machines, so that is an error.
+    Without that setting a folder below the warehouse is used, which the session's tasks
+    share as well.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
@@ -67,11 +63,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     )
     if root:
         return root.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if context.applicationId not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="broadsheet-")
-    return _LOCAL_ROOTS[context.applicationId]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work/{context.applicationId}"
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -107,12 +99,3 @@ def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy work on a scan of few splits.
-
-    A scan that already has a task per core, as any large one does, is left alone; only a
-    small input in one file is dealt out to the idle cores.
-    """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df

@@ -33,9 +33,13 @@ def distinct_items(items: DataFrame) -> DataFrame:
 
 
 def source_freshness(items: DataFrame, every: str = "1 hour") -> DataFrame:
-    """Items and newest publish time per source and window; state ends with the horizon."""
+    """Items and newest publish time per source and window; state ends with the horizon.
+
+    Items dated in the future are dropped first, as in ``distinct_items``.
+    """
     return (
-        items.withWatermark("published_at", HORIZON)
+        items.where(F.col("published_at") <= F.current_timestamp())
+        .withWatermark("published_at", HORIZON)
         .groupBy(F.window("published_at", every).alias("w"), "source")
         .agg(F.count(F.lit(1)).alias("n_items"), F.max("published_at").alias("latest"))
         .select(F.col("w.start").alias("window_start"), "source", "n_items", "latest")

@@ -93,3 +93,21 @@ def test_trust_follows_weight_then_declaration_then_position(spark):
     sources = [{"name": "low", "weight": 0.5}, {"name": "top", "weight": 2.0}]
     rows = dedupe.with_trust_key(df, sources).orderBy("trust").collect()
     assert [r.id for r in rows] == ["w", "z", "y", "x"]
+
+
+def test_undeclared_sources_and_bodies_keep_one_row_each(spark):
+    rows = [(f"{s}{b}{p}", f"Title of {s} {b} {p}", s, b, p) for s in ("a", "b", "known") for b in (0, 1) for p in range(8)]
+    df = spark.createDataFrame(rows, "id string, title string, source string, body_pos int, item_pos long")
+    trusted = dedupe.with_trust_key(df, [{"name": "known", "weight": 2.0}])
+    got = trusted.orderBy("trust").collect()
+    assert len({r.trust for r in got}) == len(rows)
+    assert [r.id for r in got] == sorted((r[0] for r in rows), key=lambda i: (not i.startswith("known"), i))
+    labelled = dedupe.label_drops(trusted, None, 0.0)
+    assert labelled.count() == len(rows) and labelled.where("cause is not null").count() == 0
+
+
+def test_untitled_items_do_not_meet(spark):
+    df = spark.createDataFrame([(i, f"id{i}", "") for i in range(30)] + [(30, "id0", "")], "trust long, id string, title string")
+    old = dedupe.history_facts(spark.createDataFrame([("id5", ""), ("x", "")], "id string, title string"))
+    got = {r.trust: r.cause for r in dedupe.label_drops(df, old, 0.2).collect()}
+    assert got == {i: {5: "seen", 30: "within"}.get(i) for i in range(31)}

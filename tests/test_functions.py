@@ -114,3 +114,60 @@ def test_redaction_reaches_every_string(spark):
     df = spark.sql("select named_struct('a', array('k hunter22'), 'm', map('x', 'hunter22')) as row, 1 as n")
     out = redact.redact_rows(df, ["hunter22"]).first()
     assert out.row.a == ["k [REDACTED]"] and out.row.m == {"x": "[REDACTED]"} and out.n == 1
+
+
+def test_dates_as_feeds_write_them(evaluate):
+    from broadsheet.functions.times import published_at
+
+    run = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    texts = {
+        "Mon, 15 Jan 24 10:00:00 GMT": "2024-01-15 10:00:00",
+        "2024-01-15T10:00Z": "2024-01-15 10:00:00",
+        "Tue, 16 Jan 2024 9:05:00 +0000": "2024-01-16 09:05:00",
+        "15 January 2024 10:00:00 GMT": "2024-01-15 10:00:00",
+        "January 15, 2024 10:00:00": "2024-01-15 10:00:00",
+        "2024/01/15 10:00:00": "2024-01-15 10:00:00",
+        "Jan 15 2024": "2024-01-15 00:00:00",
+        "Mon Jan 15 2024 10:00:00 GMT+0000": "2024-01-15 10:00:00",
+        "Mon, 15 Jan 2024 10:00:00 EDT": "2024-01-15 14:00:00",
+        "15-Jan-99 10:00 PST": "1999-01-15 18:00:00",
+        "2024-01-15 10:00:00.123+02:00": "2024-01-15 08:00:00",
+        "Mon, 15 Jan 2024 10:00:00 XQZ": "2024-02-01 00:00:00",
+        "31 Feb 2024": "2024-02-01 00:00:00",
+        "soon": "2024-02-01 00:00:00",
+    }
+    got = evaluate(lambda t: F.date_format(published_at(t, run), "yyyy-MM-dd HH:mm:ss"), list(texts))
+    assert dict(zip(texts, got)) == texts
+
+
+def test_numbers_no_calendar_holds_fall_back(evaluate):
+    from broadsheet.functions.times import published_at_epoch
+
+    run = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    shown = lambda n: F.date_format(published_at_epoch(n, run), "yyyy-MM-dd")
+    values = [float("nan"), 1e20, 1e300, float("inf"), None, 1705312800.0, 1705312800000.0]
+    assert evaluate(shown, values, "double") == ["2024-02-01"] * 5 + ["2024-01-15"] * 2
+
+
+def test_host_spellings(evaluate):
+    from broadsheet.functions.urls import canonical_url, is_fetchable, item_id
+
+    private = "2130706433 127.1 0x7f000001 0177.0.0.1 127.0.0.1. 10.1 2852039166 [0:0:0:0:0:0:0:1] [0:0:0:0:0:ffff:7f00:1] [::ffff:10.0.0.1] [fe80::1] [::] [1::2::3] 256.1.1.1".split()
+    public = "134744072 8.8.8.8 8.8.2056 0x08080808 010.8.8.8 [2606:4700::1111] [::ffff:8.8.8.8] example.com 1.example.com".split()
+    assert evaluate(is_fetchable, [f"http://{h}/" for h in private + public]) == [False] * len(private) + [True] * len(public)
+    assert set(evaluate(canonical_url, [f"http://{h}/a" for h in public[:5]])) == {"8.8.8.8/a"}
+    long = "http://x.com/?q=" + "a" * 1_100_000
+    assert len(set(evaluate(item_id, [long + "1", long + "2"]))) == 2
+
+
+def test_letters_behind_a_numeric_reference(evaluate):
+    from broadsheet.functions.text import decode_entities
+
+    assert evaluate(decode_entities, ["&#65ab;", "&#x41;", "&#ab;", "&#065;"]) == ["A", "A", "&#ab;", "A"]
+
+
+def test_an_explicit_null_digest_gives_way(evaluate):
+    from broadsheet.operators.responses import parse_digest
+
+    texts = ['{"digest":null,"summary":"s"}', '{"digest":"d","summary":"s"}', '{"digest":7,"summary":"s"}', "prose"]
+    assert evaluate(lambda t: parse_digest(t, 100), texts) == ["s", "d", "", "prose"]

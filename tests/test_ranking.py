@@ -61,7 +61,7 @@ def test_line_up_equals_dealing(spark, limit, minimum):
     df = spark.createDataFrame(rows, "id string, source string, rank_score double").withColumns(
         {"run_id": F.lit("r"), "section": F.lit("s"), "published_at": F.lit(NOW), "limit": F.lit(limit), "min_per_source": F.lit(minimum)}
     )
-    got = ranking.quota_lineup(df, ["run_id", "section"], limit).orderBy("rank_in_section").collect()
+    got = ranking.quota_lineup(df, ["run_id", "section"]).orderBy("rank_in_section").collect()
     assert [r.id for r in got] == seats(rows, limit, minimum)
 
 
