@@ -9,8 +9,8 @@ and Srikant 2007; Xiao et al. 2008), with three points that keep it even at scal
 * Grams are ordered rare to frequent and only as many of the rarest are joined as any
   match must share, so the most frequent grams of a title never meet each other. Any fixed
   order is exact; the frequency list is a bounded top list, all other grams come before it.
-* A gram that is still in many titles is cut into blocks, and block pairs, not whole gram
-  groups, become the units of work.
+* A gram that more than a block of titles offers is cut into blocks, and block pairs, not
+  whole gram groups, become the units of work. All other postings stay single.
 * Survivors of the count on joined grams are few and are verified on the whole gram sets.
 """
 
@@ -41,21 +41,11 @@ def title_nodes(titles: DataFrame) -> DataFrame:
 
 
 def frequent_grams(nodes: DataFrame) -> DataFrame:
-    """One row: the most frequent grams, rarest of them first, and their counts."""
+    """One row: the most frequent grams, rarest of them first."""
     counts = nodes.select(F.explode("grams").alias("gram")).groupBy("gram").count()
     top = counts.orderBy(F.desc("count"), "gram").limit(TOP_GRAMS)
     ordered = top.agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("top"))
-    split = F.filter("top", lambda e: e["count"] > BLOCK)
-    full = F.size("top") >= TOP_GRAMS
-    return ordered.select(
-        F.struct(
-            F.transform("top", lambda e: e["gram"]).alias("grams"),
-            F.map_from_entries(
-                F.transform(split, lambda e: F.struct(e["gram"], e["count"]))
-            ).alias("large"),
-            F.when(full, F.element_at("top", 1)["count"]).otherwise(F.lit(1)).alias("rest"),
-        ).alias("frequent")
-    )
+    return ordered.select(F.transform("top", lambda e: e["gram"]).alias("frequent"))
 
 
 def _joined_grams(threshold: float) -> Column:
@@ -65,22 +55,9 @@ def _joined_grams(threshold: float) -> Column:
 
 
 def postings(nodes: DataFrame, frequent: DataFrame, threshold: float) -> DataFrame:
-    """(gram, node) rows of the rarest grams, with the number of blocks of the gram."""
-    common = F.array_intersect("frequent.grams", "grams")
-    rare = F.array_sort(F.array_except("grams", "frequent.grams"))
-
-    def blocks(count: Column) -> Column:
-        return F.greatest(F.ceil(count / BLOCK), F.lit(1)).cast("int")
-
+    """(gram, node) rows of the grams that each title offers, the most frequent ones last."""
     entries = F.concat(
-        F.transform(rare, lambda g: F.struct(g.alias("gram"), blocks(F.col("frequent.rest")).alias("blocks"))),
-        F.transform(
-            common,
-            lambda g: F.struct(
-                g.alias("gram"),
-                blocks(F.coalesce(F.try_element_at("frequent.large", g), F.lit(1))).alias("blocks"),
-            ),
-        ),
+        F.array_sort(F.array_except("grams", "frequent")), F.array_intersect("frequent", "grams")
     )
     return (
         nodes.withColumn("frequent", frequent.scalar())
@@ -90,9 +67,15 @@ def postings(nodes: DataFrame, frequent: DataFrame, threshold: float) -> DataFra
             "numbers",
             "n",
             (F.col("n") - F.col("joined")).alias("rest"),
-            F.explode(F.slice(entries, 1, F.col("joined"))).alias("entry"),
+            F.explode(F.slice(entries, 1, F.col("joined"))).alias("gram"),
         )
-        .select("node", "numbers", "n", "rest", "entry.gram", "entry.blocks")
+    )
+
+
+def _with_blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Postings with the number of blocks of their gram; all but the large ones have one."""
+    return rows.join(large, ["numbers", "gram"], "left").withColumn(
+        "blocks", F.coalesce("blocks", F.lit(1))
     )
 
 
@@ -116,8 +99,13 @@ def matching_pairs(left: DataFrame, right: DataFrame | None, threshold: float) -
     alone = right is None
     other = left if right is None else right
     frequent = frequent_grams(left if alone else left.unionByName(right))
-    a = _blocked(postings(left, frequent, threshold), "a", "a_block", "b_block")
-    b = _blocked(postings(other, frequent, threshold), "b", "b_block", "a_block")
+    mine, theirs = postings(left, frequent, threshold), postings(other, frequent, threshold)
+    offered = mine if alone else mine.unionByName(theirs)
+    # Only grams that really are in many titles are cut: their true number decides.
+    large = offered.groupBy("numbers", "gram").count().where(F.col("count") > BLOCK)
+    large = large.select("numbers", "gram", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    a = _blocked(_with_blocks(mine, large), "a", "a_block", "b_block")
+    b = _blocked(_with_blocks(theirs, large), "b", "b_block", "a_block")
     # Few postings can meet very often: spread one side over all tasks by the join key,
     # whichever join the sizes lead to.
     key = ["numbers", "gram", "a_block", "b_block"]

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from broadsheet.functions.times import age_seconds
 from broadsheet.operators.filters import section_candidates, source_facts
-from broadsheet.operators.topk import SALTS, top_k
+from broadsheet.operators.topk import top_k
 from broadsheet.session import let, materialize
 
 # score = weight x (0.6 x percentile + 0.4 x recency); 0.5 without a score.
@@ -16,33 +16,32 @@ SCORE_SHARE = 0.6
 RECENCY_SHARE = 0.4
 UNSCORED = 0.5
 
-#: Cut points used to spread the percentile of one large source over many tasks.
+#: Least number of score ranges of a percentile, and rows of a range before there are more.
 CUTS = 128
+RANGE_ROWS = 1_000_000
 
 
-def mid_rank(df: DataFrame, keys: list[str], score: str = "score", cuts: int = CUTS) -> DataFrame:
+def mid_rank(df: DataFrame, keys: list[str], score: str = "score", cuts: int | None = None) -> DataFrame:
     """Add ``percentile``: (strictly lower + half of ties) / scored rows, per group.
 
     Ranking needs the order within a group, and one group may hold most of the rows. The
     rows are therefore ranked inside score ranges: approximate quantiles of all scores cut
-    the axis into about equal ranges, every cut value is a range of its own, and a small
-    table of counts per group and range supplies what lies below. A value so frequent that
-    it is several quantiles at once needs no ordering at all and is spread over salts. Rows
-    are shuffled once.
+    the axis into about equal ranges, their number growing with the rows, and every cut
+    value is a range of its own. A small table of counts per group and range supplies what
+    lies below. Only rows strictly between two cuts are ordered; rows on a cut, as all rows
+    of a very frequent score are, take their place from the counts, and unscored rows need
+    nothing at all.
     """
-    part = [*keys, "_range", "_salt"]
+    if cuts is None:
+        cuts = max(CUTS, -(-df.count() // RANGE_ROWS))
     steps = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
-    points = df.agg(F.percentile_approx(score, steps).alias("p")).select(
-        F.struct(
-            F.array_distinct("p").alias("cuts"),
-            F.filter("p", lambda x, i: F.get("p", i - 1) == x).alias("heavy"),
-        ).alias("p")
-    )
+    accuracy = F.lit(max(10_000, 10 * cuts))
+    points = df.agg(F.array_distinct(F.percentile_approx(score, steps, accuracy)).alias("p"))
     halves = F.array(*[F.lit(2**i) for i in reversed(range(cuts.bit_length()))])
 
-    def place(points: Column) -> Column:
-        """Three times the cuts below the score, plus 1 on a cut, plus 2 on a heavy one."""
-        at, value = points["cuts"], F.col(score)
+    def place(at: Column) -> Column:
+        """Twice the number of cuts below the score, plus 1 on a cut."""
+        value = F.col(score)
         # Binary search for the number of cuts strictly below.
         below_score = F.aggregate(
             halves,
@@ -51,45 +50,35 @@ def mid_rank(df: DataFrame, keys: list[str], score: str = "score", cuts: int = C
                 F.try_element_at(at, found + step) < value, found + step
             ).otherwise(found),
         )
-        kind = F.when(F.array_contains(points["heavy"], value), 2)
         return let(
             below_score,
-            lambda n: 3 * n + F.when(F.try_element_at(at, n + 1) == value, F.coalesce(kind, F.lit(1))).otherwise(0),
+            lambda n: 2 * n + F.when(F.try_element_at(at, n + 1) == value, 1).otherwise(0),
         )
 
-    placed = (
-        df.withColumn("_points", points.select("p").scalar())
-        .withColumn(
-            "_range",
-            F.when(F.col(score).isNotNull(), let(F.col("_points"), place)).otherwise(F.lit(-1)),
-        )
+    scored = (
+        df.where(F.col(score).isNotNull())
+        .withColumn("_points", points.select("p").scalar())
+        .withColumn("_range", let(F.col("_points"), place))
         .drop("_points")
     )
-    salted = F.pmod("_range", F.lit(3)) == 2
-    spread_over = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    rows = placed.withColumn("_salt", F.when(salted, spread_over).otherwise(F.lit(0)))
-
-    counts = placed.groupBy(*keys, "_range").agg(F.count(score).alias("_n"))
+    counts = scored.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     below = Window.partitionBy(*keys).orderBy("_range")
-    salts = F.when(salted, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    bases = (
-        counts.withColumn("_base", F.sum("_n").over(below) - F.col("_n"))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
-        .withColumn("_salt", F.explode(salts))
+    bases = counts.withColumn("_base", F.sum("_n").over(below) - F.col("_n")).withColumn(
+        "_total", F.sum("_n").over(Window.partitionBy(*keys))
     )
-    joined = rows.join(bases, part)
+    joined = scored.join(bases, [*keys, "_range"])
+    part = [*keys, "_range"]
+    on_cut = F.pmod("_range", F.lit(2)) == 1
     inside = Window.partitionBy(*part).orderBy(score)
-    single = F.pmod("_range", F.lit(3)) > 0
-    lower = F.when(single, F.col("_base")).otherwise(
-        F.col("_base") + F.rank().over(inside) - 1
-    )
-    ties = F.when(single, F.col("_n")).otherwise(
-        F.count(F.lit(1)).over(Window.partitionBy(*part, score))
+    ordered = joined.where(~on_cut).withColumn(
+        "percentile",
+        (F.col("_base") + F.rank().over(inside) - 1 + F.count(F.lit(1)).over(Window.partitionBy(*part, score)) / 2)
+        / F.col("_total"),
     )
-    share = (lower + ties / 2) / F.col("_total")
-    return joined.withColumn(
-        "percentile", F.when(F.col(score).isNotNull(), share).otherwise(F.lit(UNSCORED))
-    ).drop("_range", "_salt", "_n", "_base", "_total")
+    level = joined.where(on_cut).withColumn("percentile", (F.col("_base") + F.col("_n") / 2) / F.col("_total"))
+    unscored = df.where(F.col(score).isNull()).withColumn("percentile", F.lit(UNSCORED))
+    out = [*df.columns, "percentile"]
+    return ordered.select(*out).unionByName(level.select(*out)).unionByName(unscored.select(*out))
 
 
 def recency(at: Column, now: Column, lookback_hours: Column) -> Column:
