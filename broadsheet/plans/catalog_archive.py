@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from broadsheet.operators import views
 from broadsheet.operators.topk import top_k
 from broadsheet.plans.catalog_selection import SECTIONS, SECTIONS_SQL
-from broadsheet.plans.issue import config_stamp
+from broadsheet.plans.daily import run_daily
+from broadsheet.plans.issue import Run, config_stamp
 from broadsheet.schema import SECTION
 from broadsheet.session import dimension, work_path
 from broadsheet.sources import archive, tables
@@ -329,7 +330,68 @@ STREAM_ISSUES_SQL = """SELECT strftime(ts, '%Y-%m-%d') AS date, 'batch-0' AS slo
  row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_type || '-' || user_id) - 1 AS pos, event_type || '-' || user_id AS id
 FROM events QUALIFY pos < 25"""
 
+#: Sources of the end-to-end run, a third of each type; the last one is never declared.
+DAILY_SOURCES = [
+    {"name": f"src{i}", "source_pos": i, "type": ("rss", "hackernews", "github")[i % 3], "weight": 1.0 + i % 2, "stale_after_days": 30, "fetch_limit": 400}
+    for i in range(19)
+]
+DAILY_SECTIONS = [
+    {"id": kind, "section_pos": pos, "title": kind, "sources": [s["name"] for s in DAILY_SOURCES if s["type"] == kind], "limit": 12, "min_per_source": 1, "include": [], "exclude": [], "enabled": True}
+    for pos, kind in enumerate(("rss", "hackernews", "github"))
+]
+
+
+def daily_landing(spark: SparkSession, sf: str, day: int) -> DataFrame:
+    """All documents as bodies of fifty entries, fetched on one of two days. Each type of
+    source has bodies of its own form; one source's bodies are cut off and one fails."""
+    at = F.concat(F.lit("2024-01-"), F.lpad(F.lit(day).cast("string"), 2, "0"), F.lit("T10:00:00Z"))
+    kind = F.pmod(F.substr("source", F.lit(4)).cast("int"), F.lit(3))
+    title, link = tables.lead_sentence(F.col("text")), F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string"))
+    clean = F.regexp_replace(title, r"[<>&\x00-\x1F]", " ")
+    entry = F.struct(
+        "doc_id",
+        F.concat(F.lit("<item><title>"), clean, F.lit("</title><link>"), link, F.lit("</link><pubDate>"), at, F.lit("</pubDate></item>")).alias("xml"),
+        F.struct(F.col("doc_id").cast("string").alias("objectID"), title.alias("title"), link.alias("url"), F.pmod("doc_id", F.lit(97)).alias("points"), at.alias("created_at")).alias("story"),
+        F.struct(title.alias("full_name"), link.alias("html_url"), F.pmod("doc_id", F.lit(89)).alias("stargazers_count"), at.alias("created_at")).alias("repo"),
+    )
+    rows = tables.table(spark, sf, "documents").withColumns({"kind": kind, "body_pos": F.floor(F.col("doc_id") / 1000)})
+    bodies = rows.groupBy("source", "kind", "body_pos").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    body = (
+        F.when(F.col("kind") == 0, F.concat(F.lit("<rss><channel>"), F.array_join("e.xml", ""), F.lit("</channel></rss>")))
+        .when(F.col("kind") == 1, F.to_json(F.struct(F.col("e.story").alias("hits"))))
+        .otherwise(F.to_json(F.struct(F.col("e.repo").alias("items"))))
+    )
+    return bodies.select(
+        F.lit(f"day-{day}").alias("run_id"),
+        "source",
+        "body_pos",
+        F.to_timestamp(at).alias("fetched_at"),
+        F.when(F.col("source") == "src4", 503).otherwise(200).alias("status"),
+        F.when(F.col("source") == "src7", F.substring(body, 1, 40)).otherwise(body).alias("body"),
+    )
+
+
+def daily_issue(spark: SparkSession, sf: str) -> DataFrame:
+    """Two days from landed bodies to the archive, the second against the first; the archived
+    items read back, the warnings and the metrics, each as rows."""
+    path = work_path(spark, "daily")
+    metrics = None
+    for day in (30, 31):
+        run = Run(f"day-{day}", f"2024-01-{day} 11:00:00", "UTC")
+        old = archive.read_archive(spark, path) if metrics is not None else None
+        titled = lambda tasks: tasks.select("run_id", F.col("id").alias("item_id"), F.lit("m").alias("model"), F.lit("1").alias("prompt_version"), F.to_json(F.struct(F.col("title").alias("summary"))).alias("raw"))
+        done = run_daily(spark, daily_landing(spark, sf, day), run, DAILY_SECTIONS, DAILY_SOURCES, old, titled, 0.5, [{"scope": "section", "key": "rss", "summarize": True}], path=path)
+        metrics = done.metrics if metrics is None else metrics.unionByName(done.metrics)
+    written = archive.read_archive(spark, path)
+    none = F.lit(None).cast("string")
+    items = archive.issue_items(written).select("date", F.lit("item").alias("kind"), F.col("section").alias("name"), F.col("id").alias("value"), F.col("summary").isNotNull().cast("double").alias("number"))
+    warned = written.select("date", F.lit("warning").alias("kind"), none.alias("name"), F.explode("warnings").alias("value"), F.lit(None).cast("double").alias("number"))
+    counted = metrics.select(F.concat(F.lit("2024-01-"), F.right("run_id", F.lit(2))).alias("date"), F.concat(F.lit("metric "), "stage").alias("kind"), F.col("metric").alias("name"), none.alias("value"), F.col("value").alias("number"))
+    return items.unionByName(warned).unionByName(counted)
+
+
 QUERIES = {
+    "daily_issue": (daily_issue, None),
     "archive_window": (window_scan, WINDOW_SCAN_SQL),
     "archive_listing": (full_listing, LISTING_SQL),
     "archive_skipped": (skipped_documents, SKIPPED_SQL),

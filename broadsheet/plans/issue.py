@@ -35,6 +35,7 @@ class Issue:
     labelled: DataFrame
     lineup: DataFrame
     tasks: DataFrame
+    runs: DataFrame
     record: DataFrame
 
 
@@ -84,4 +85,4 @@ def build_issue(
         F.lit(run.zone).alias("timezone"),
         F.lit(float(run.lookback_hours)).alias("lookback_hours"),
     )
-    return Issue(labelled, lineup, tasks, build_issues(lineup, runs))
+    return Issue(labelled, lineup, tasks, runs, build_issues(lineup, runs))

@@ -155,13 +155,16 @@ def _parse(
     judged = checked.withColumn(
         "error", F.when(broken, F.lit("body could not be parsed")).otherwise(F.col("error"))
     )
+    # Positions restart in every body; the body's own number keeps them apart.
+    body = ["body_pos"] if "body_pos" in landing.columns else []
     rows = judged.where(F.col("error").isNull()).select(
         "run_id",
         "source",
+        *body,
         F.col("fetched_at").alias("run_time"),
         F.posexplode(entries(F.col("doc"))).alias("item_pos", "entry"),
     )
-    items = rows.select("run_id", "source", "run_time", "item_pos", *fields(F.col("entry")))
+    items = rows.select("run_id", "source", *body, "run_time", "item_pos", *fields(F.col("entry")))
     errors = judged.where(F.col("error").isNotNull()).select("run_id", "source", "error")
     return items, errors
 
