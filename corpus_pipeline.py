@@ -10,12 +10,13 @@ Null texts carry no language and are rejected; an empty table passes through all
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.llm import decontaminate, language, neardup, pieces, secrets
-from broadsheet.session import materialize
+from broadsheet.session import configure, materialize
 from broadsheet.sources.tables import table
 
 
@@ -63,12 +64,24 @@ def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _configured(stage: Stage) -> Stage:
+    """The stage under the library's session settings, as batches bounded in bytes."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        return stage(configure(spark), docs, folder)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", identify),
-    ("minhash_neardup", near_duplicates),
-    ("benchmark_decontamination", without_benchmark),
-    ("secret_scan", without_secrets),
-    ("sentencepiece", encode),
+    ("language_id", _configured(identify)),
+    ("minhash_neardup", _configured(near_duplicates)),
+    ("benchmark_decontamination", _configured(without_benchmark)),
+    ("secret_scan", _configured(without_secrets)),
+    ("sentencepiece", _configured(encode)),
 ]
 
 #: The language model and the sketches have no SQL; tests compare the stages with brute force.
