@@ -7,11 +7,13 @@ Dropped items block nobody, so neither distinct rows nor connected components wi
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet.functions.text import title_key, title_numbers
+from broadsheet.operators.graphs import components
 from broadsheet.operators.neardup import matching_pairs, pair_work, title_nodes
 from broadsheet.session import dimension, materialize
 
@@ -21,6 +23,9 @@ TITLE_SIMILARITY = 0.2
 #: Gram meetings one batch may cause before its key range is halved.
 WORK_BUDGET = 2e10
 
+#: Rows and edges of a component that one group walks.
+COMPONENT = 200_000
+
 _RANKS = T.StructType(
     [T.StructField("source", T.StringType()), T.StructField("source_rank", T.IntegerType())]
 )
@@ -220,6 +225,64 @@ def _independent(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
             return kept
 
 
+def _walk(key: tuple, rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """The sequential rule over one component: an item stays if nothing that stays has its id,
+    its title or a matching title."""
+    near: dict[int, set[int]] = {}
+    for a, b in zip(edges["a_node"], edges["b_node"]):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    ids, titles, nodes, kept = set(), set(), set(), []
+    rows = rows.sort_values("trust")
+    for id_, title, node in zip(rows["id"], rows["title_key"], rows["node"]):
+        stays = id_ not in ids and title not in titles and node not in nodes and nodes.isdisjoint(near.get(node, ()))
+        kept.append(stays)
+        if stays:
+            ids.add(id_)
+            nodes.add(node)
+            if title:
+                titles.add(title)
+    return rows.loc[kept].drop(columns="_component")
+
+
+def _by_components(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """Survivors among conflicting rows, component by component.
+
+    Conflicts reach no further than a connected component, so one of at most ``COMPONENT`` rows
+    and edges is walked in trust order in one group, however long its chains are. Only what
+    belongs to a larger one is left to the rounds, which need no component in one place.
+    """
+    if edges is None:
+        edges = rows.sparkSession.createDataFrame([], "a_node bigint, b_node bigint")
+    edges = edges.select("a_node", "b_node")
+    links = edges.select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
+    groups = [("id", rows), ("node", rows), ("title_key", rows.where(F.col("title_key") != ""))]
+    for column, members in groups:
+        first = _first_keys(members, column).select(column, F.col("trust").alias("v"))
+        links = links.unionByName(members.join(first, column).select(F.col("trust").alias("u"), "v"))
+    # A node is named by its least trust key; rows without conflicts left still name themselves.
+    links = links.unionByName(rows.select(F.col("trust").alias("u"), F.col("node").alias("v")))
+    labels = materialize(components(links), "components")
+    placed = rows.join(labels.withColumnsRenamed({"node": "trust", "label": "_component"}), "trust", "left")
+    placed = materialize(placed.withColumn("_component", F.coalesce("_component", "trust")), "placed")
+    tied = edges.join(labels.withColumnsRenamed({"node": "a_node", "label": "_component"}), "a_node")
+    tied = materialize(tied, "tied")
+    sizes = placed.select("_component").unionByName(tied.select("_component")).groupBy("_component").count()
+    large = materialize(sizes.where(F.col("count") > COMPONENT).select("_component"), "large")
+    small_rows = placed.join(large, "_component", "left_anti")
+    small_edges = tied.join(large, "_component", "left_anti")
+    walked = (
+        small_rows.groupBy("_component")
+        .cogroup(small_edges.groupBy("_component"))
+        .applyInPandas(_walk, rows.schema)
+    )
+    kept = materialize(walked, "walked")
+    big_rows = placed.join(large, "_component", "left_semi").drop("_component")
+    if large.isEmpty():
+        return kept
+    return kept.unionByName(_independent(big_rows, tied.join(large, "_component", "left_semi").drop("_component")))
+
+
 def _split_conflicted(rows: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Rows that conflict with no other row, and the rest."""
 
@@ -319,7 +382,7 @@ def survivors(
                     continue
             edges = materialize(matching_pairs(nodes, None, threshold), "edges")
         free, conflicted = _split_conflicted(batch, edges)
-        found = free if conflicted.isEmpty() else free.unionByName(_independent(conflicted, edges))
+        found = free if conflicted.isEmpty() else free.unionByName(_by_components(conflicted, edges))
         kept = found if kept is None else kept.unionByName(found)
     return kept
 

@@ -111,3 +111,16 @@ def test_untitled_items_do_not_meet(spark):
     old = dedupe.history_facts(spark.createDataFrame([("id5", ""), ("x", "")], "id string, title string"))
     got = {r.trust: r.cause for r in dedupe.label_drops(df, old, 0.2).collect()}
     assert got == {i: {5: "seen", 30: "within"}.get(i) for i in range(31)}
+
+
+@pytest.mark.parametrize("component", [200_000, 3])
+def test_a_long_chain_equals_the_sequential_rule(spark, monkeypatch, component):
+    monkeypatch.setattr(dedupe, "COMPONENT", component)
+    size = 600 if component > 3 else 12
+    # Each title shares enough letters with its successor alone.
+    pick = random.Random(9)
+    parts = ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(size + 1)]
+    items = [(k, f"id{k}", parts[k] + parts[k + 1]) for k in range(size)]
+    df = spark.createDataFrame(items, "trust long, id string, title string")
+    got = {r.trust: r.cause for r in dedupe.label_drops(df, None, 0.3).collect()}
+    assert got == {k: "within" if k % 2 else None for k in range(size)}
