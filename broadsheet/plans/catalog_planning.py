@@ -127,9 +127,9 @@ FROM walk w JOIN costed c ON c.run_id = w.run_id AND c.turn = w.turn WHERE w.dec
 
 
 def _summaries(spark: SparkSession, sf: str) -> DataFrame:
-    """Assistant turns as summaries of the documents with the same number."""
+    """Every assistant turn as the summary of one document: a conversation has up to eight turns."""
     turns = tables.table(spark, sf, "conversations").where(F.col("role") == "assistant")
-    at = F.col("conv_id") * 2 + F.col("turn") % 2
+    at = F.col("conv_id") * 8 + F.col("turn")
     one = turns.groupBy(at.alias("doc")).agg(F.min_by("text", "turn").alias("summary"))
     return one.select(
         F.concat(F.lit("run-"), F.floor(F.col("doc") / PER_RUN).cast("string")).alias("run_id"),
@@ -144,7 +144,7 @@ def _summaries(spark: SparkSession, sf: str) -> DataFrame:
 
 _SUMMARIES_SQL = """
 summaries AS (SELECT doc, min_by(text, turn) AS summary, CASE WHEN doc % 3 = 0 THEN 'm-small' ELSE 'm-large' END AS model
-  FROM (SELECT conv_id * 2 + turn % 2 AS doc, turn, text FROM conversations WHERE role = 'assistant') GROUP BY doc)"""
+  FROM (SELECT conv_id * 8 + turn AS doc, turn, text FROM conversations WHERE role = 'assistant') GROUP BY doc)"""
 
 
 def merged(spark: SparkSession, sf: str) -> DataFrame:
