@@ -81,7 +81,10 @@ win AS (SELECT * FROM arch WHERE date BETWEEN '2024-01-16' AND '{TODAY}' AND slo
 
 
 def window_scan(spark: SparkSession, sf: str) -> DataFrame:
-    recent = archive.read_window(issues(spark, sf), TODAY)
+    """The archive written by partitions; only those of the window's months are scanned."""
+    path = work_path(spark, "archive")
+    archive.write_archive(issues(spark, sf), path)
+    recent = archive.read_window(archive.read_archive(spark, path), TODAY)
     return archive.issue_items(recent).select(
         "date", "slot", F.col("pos").cast("bigint").alias("pos"), "id", "title"
     )

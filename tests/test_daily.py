@@ -18,3 +18,13 @@ def test_two_days_from_bodies_to_archive(spark):
         assert metric[day, "fetch", "items"] == sum(metric[day, "dedupe", n] for n in ("within_run", "seen", "kept"))
         assert metric[day, "fetch", "failed"] == 2
     assert metric["2024-01-31", "dedupe", "seen"] >= sum(r.date == "2024-01-30" for r in items)
+
+
+def test_window_scans_only_its_partitions(spark, tmp_path, capsys):
+    from broadsheet.plans.catalog_archive import TODAY, issues
+    from broadsheet.sources import archive
+
+    archive.write_archive(issues(spark, SMALL), str(tmp_path / "a"))
+    archive.read_window(archive.read_archive(spark, str(tmp_path / "a")), TODAY).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
