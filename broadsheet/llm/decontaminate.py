@@ -122,7 +122,25 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _shard(batches: list[pa.RecordBatch], text: str, phrases: Phrases) -> Iterator[pa.RecordBatch]:
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def _without(column: pa.Array, spans: list[list[dict]]) -> pa.Array:
+    """The texts without their spans of words."""
+    texts = column.to_pylist()
+    for i, own in enumerate(spans):
+        if own:
+            raw = texts[i].encode()
+            words = [m.span() for m in _WORD.finditer(raw)]
+            out, at = [], 0
+            for span in own:
+                out.append(raw[at : words[span["start"]][0]])
+                at = words[span["end"] - 1][1]
+            texts[i] = b"".join([*out, raw[at:]]).decode()
+    return pa.array(texts, pa.string())
+
+
+def _shard(batches: list[pa.RecordBatch], text: str, phrases: Phrases, cut: bool) -> Iterator[pa.RecordBatch]:
     parts = [word_hashes(b.column(text), SYMBOLS) for b in batches]
     shifts = np.cumsum([0, *(len(h) for h, _ in parts)])
     hashes = np.concatenate([h for h, _ in parts])
@@ -149,7 +167,10 @@ def _shard(batches: list[pa.RecordBatch], text: str, phrases: Phrases) -> Iterat
                 ids |= {*old[1][i - done]}
             spans.append([{"start": a, "end": b} for a, b in own])
             names.append(sorted(ids))
-        kept = batch.columns[:-3] if old else batch.columns
+        kept = list(batch.columns[:-3] if old else batch.columns)
+        if cut:
+            at = batch.schema.names.index(text)
+            kept[at] = _without(kept[at], spans)
         labels = batch.schema.names[:-3] if old else batch.schema.names
         yield pa.RecordBatch.from_arrays(
             [*kept, pa.array(np.diff(rows[done : done + n + 1]), pa.int64()), pa.array(spans, SPANS), pa.array(names, pa.list_(pa.string()))],
@@ -158,8 +179,9 @@ def _shard(batches: list[pa.RecordBatch], text: str, phrases: Phrases) -> Iterat
         done += n
 
 
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", size: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, spans (hit words, merged, end exclusive) and items (ids)."""
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", size: int = WINDOW, cut: bool = False) -> DataFrame:
+    """``docs`` with n_words, spans (hit words, merged, end exclusive) and items (ids); with
+    ``cut`` the texts come without their spans."""
     docs = docs.drop(*({f.name for f in ADDED} - {text}))
     schema = T.StructType([*docs.schema, *ADDED])
 
@@ -178,46 +200,23 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_te
         found = sorted(((r.id, np.array(r.words, np.int64).view(np.uint64)) for r in rows), key=lambda item: item[0])
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(found, size))
 
-        def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
+        last = cut and block == blocks - 1
+
+        def run(batches: Iterator[pa.RecordBatch], phrases=phrases, last=last) -> Iterator[pa.RecordBatch]:
             held, bytes_held = [], 0
             for batch in sliced(batches, text):
                 held.append(batch)
                 bytes_held += batch.column(text).nbytes
                 if bytes_held > 6 * SHARD:
-                    yield from _shard(held, text, phrases.value)
+                    yield from _shard(held, text, phrases.value, last)
                     held, bytes_held = [], 0
             if held:
-                yield from _shard(held, text, phrases.value)
+                yield from _shard(held, text, phrases.value, last)
 
         docs = docs.mapInArrow(run, schema)
     return docs
 
 
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-
-
-def removed(found: DataFrame, text: str = "text") -> DataFrame:
-    """``text`` of a ``contamination`` result without its spans."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                if spans:
-                    raw = texts[i].encode()
-                    words = [m.span() for m in _WORD.finditer(raw)]
-                    out, at = [], 0
-                    for span in spans:
-                        out.append(raw[at : words[span["start"]][0]])
-                        at = words[span["end"] - 1][1]
-                    texts[i] = b"".join([*out, raw[at:]]).decode()
-            columns = list(batch.columns)
-            columns[batch.schema.names.index(text)] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return found.mapInArrow(run, found.schema)
-
-
 def digests(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Per document: counts of words, hit words and items, and a digest of the item ids."""
     found = contamination(docs.select("doc_id", "text"), items)

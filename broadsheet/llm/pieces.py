@@ -34,7 +34,7 @@ from broadsheet.sources.tables import table
 
 MARK = "▁"
 #: Words and pairs a worker remembers before it starts afresh.
-MEMORY = 300_000
+MEMORY = 150_000
 
 
 class Pieces:

@@ -38,8 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, without the passages that they share with the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, folder, "benchmark"))
-    return decontaminate.removed(found).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = decontaminate.contamination(docs, table(spark, folder, "benchmark"), cut=True)
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -66,11 +66,13 @@ def test_equals_brute_force(spark, monkeypatch, block):
         assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
 
 
-def test_removal_cuts_the_passages_and_nothing_else(spark):
+@pytest.mark.parametrize("block", [2_000_000, 20])
+def test_removal_cuts_the_passages_and_nothing_else(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK", block)
     item = prose(50, 30)
     docs = frame(spark, [(1, f"Before it. {item}, after it."), (2, "clean text"), (3, None)], "doc_id bigint, text string")
     known = frame(spark, [(1, item)], "item_id bigint, text string")
-    out = {r.doc_id: r.text for r in D.removed(D.contamination(docs, known)).collect()}
+    out = {r.doc_id: r.text for r in D.contamination(docs, known, cut=True).collect()}
     tail = item[len(item.rstrip(".")) :]
     assert out == {1: f"Before it. {tail}, after it.", 2: "clean text", 3: None}
 
