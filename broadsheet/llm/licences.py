@@ -14,6 +14,9 @@ columns are kept, columns named like a result are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,11 +93,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def canonical(text: Column) -> Column:
     """The form in which equal licences are equal texts; a null text is empty."""
-    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), COPYRIGHT, "")
+    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    # Few texts hold what a copyright line begins with; only those are searched by pattern.
+    marked = reduce(or_, (F.contains(lowered, F.lit(mark)) for mark in ("copyright", "(c)", "©", "all rights reserved")))
+    out = F.when(marked, F.regexp_replace(lowered, COPYRIGHT, "")).otherwise(lowered)
     out = F.concat(F.lit(" "), F.regexp_replace(out, PUNCTUATION, " "), F.lit(" "))
     for spelling, usual in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(usual))
-    return F.btrim(F.regexp_replace(out, " +", " "), F.lit(" "))
+    return F.btrim(out, F.lit(" "))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
