@@ -31,7 +31,7 @@ from broadsheet.sources.tables import table
 LETTERS = 5
 FEATURES = 1 << 18
 #: Texts of either kind that training may read.
-BOUND = 6000
+BOUND = 2000
 #: A feature's least share of the positives, how many times as frequent it is among them, and
 #: how unlikely (as a natural logarithm) that would be by chance.
 SUPPORT, LIFT, SURPRISE = 0.005, 3.0, 15.0
