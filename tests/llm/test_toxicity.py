@@ -59,3 +59,23 @@ def test_odd_rows_and_empty_tables(spark):
     some = frame(spark, [(13, 1, 1), (13, 1, 1), (14, None, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
     assert X.digests(docs, some).count() == docs.count()
     assert X.digests(frame(spark, [], SCHEMA), some).count() == 0
+
+
+def test_rare_terms_and_prior_of_all_learnable_texts(spark):
+    rare = {i: "zwackel" for i in range(0, 36, 3)}
+    docs = [(i, f"{prose(i, 8)} {rare.get(i, 'frobnitz') if i < 3000 else ''} {prose(-i, 4)}") for i in range(7000)]
+    docs += [(7000, prose(1, 8) + " zwackel " + prose(2, 4)), (7001, prose(3, 12))]
+    # More than 2,000 positives, of which 12 have nothing but the rare term.
+    rows = frame(spark, docs, "doc_id bigint, text string")
+    positives = rows.filter("doc_id < 3000").select("doc_id")
+    got = {r.doc_id: r.score for r in X.scored(rows, positives, rows.doc_id < 7000, 3 / 7).collect()}
+    assert len(got) == len(docs) and got[7000] > 0.5 > got[7001]
+    assert sum(got[i] > 0.5 for i in rare) == len(rare)
+
+
+def test_spark_and_local_training_agree(spark):
+    docs, _ = corpus(400)
+    rows = frame(spark, [(t, bad) for _, t, bad in docs], "text string, _positive boolean").repartition(3)
+    weights, _ = X.trained(rows, 0.12)
+    lists = [[X.features(pa.array([t]))[1] for _, t, bad in docs if bad is side] for side in (True, False)]
+    assert len(np.flatnonzero(weights)) and np.array_equal(weights != 0, X.train(*lists, 0.12)[0] != 0)
