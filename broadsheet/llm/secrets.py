@@ -21,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +34,8 @@ from broadsheet.sources.tables import table
 
 #: A value that more owners carry is an example.
 OWNERS = 2
-#: Bits a letter that a live value has at least.
+#: Bits a letter that a live value has at least; a short value, whose letters cannot vary as
+#: much, only what nearly all random values of its length and alphabet have.
 ENTROPY = {"assign": 3.0, "access": 3.0, "hex": 3.0, "opaque": 3.5}
 
 # The kinds, in order, with their patterns and least lengths.
@@ -43,6 +45,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ["assign", "access", "hex", "opaque"]
 
 OPAQUE = re.compile(r"[A-Za-z0-9_-]{24,}")
+ALPHABETS = [(re.compile(p), n) for p, n in (("[0-9]+", 10), ("[0-9a-f]+|[0-9A-F]+", 16), ("[a-z]+|[A-Z]+", 26), ("[0-9a-z]+|[0-9A-Z]+", 36), ("[0-9A-Za-z]+", 62))]
+SHORT = 64
 PLACEHOLDER = re.compile(r"example|sample|dummy|test|changeme|your|xxxx|(.)\1{5}", re.IGNORECASE)
 
 SPAN = "struct<kind:string,start:bigint,end:bigint,digest:string,alive:boolean,base:boolean>"
@@ -53,8 +57,36 @@ def _entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+@cache
+def _random_entropy(n: int, letters: int) -> float:
+    """The entropy of a random value of ``n`` letters less four standard deviations."""
+    bits = [-c / n * math.log2(c / n) if c else 0.0 for c in range(n + 1)]
+    one = [math.comb(n, c) * (letters - 1) ** (n - c) / letters**n for c in range(n + 1)]
+    mean, square = sum(p * b for p, b in zip(one, bits)), sum(p * b * b for p, b in zip(one, bits))
+    both = sum(
+        math.comb(n, c) * math.comb(n - c, d) * (letters - 2) ** (n - c - d) / letters**n * bits[c] * bits[d]
+        for c in range(1, n + 1)
+        for d in range(1, n - c + 1)
+    )
+    variance = letters * (square - mean * mean) + letters * (letters - 1) * (both - mean * mean)
+    return letters * mean - 4 * math.sqrt(max(0.0, variance))
+
+
+def _alphabet(value: str) -> int:
+    """How many letters the smallest usual alphabet of a value has."""
+    for pattern, letters in ALPHABETS:
+        if pattern.fullmatch(value):
+            return letters
+    return 64
+
+
+def _least(kind: str, value: str) -> float:
+    # Random values of more letters reach the fixed bound in any alphabet.
+    return min(ENTROPY[kind], _random_entropy(len(value), _alphabet(value))) if len(value) <= SHORT else ENTROPY[kind]
+
+
 def _alive(kind: str, value: str) -> bool:
-    return _entropy(value) >= ENTROPY[kind] and not PLACEHOLDER.search(value)
+    return _entropy(value) >= _least(kind, value) and not PLACEHOLDER.search(value)
 
 
 def candidates(text: str | None) -> list[dict]:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import llm_paths  # noqa: F401
@@ -76,3 +77,13 @@ def test_odd_rows(spark):
     assert S.digests(docs).count() == docs.count()
     assert S.digests(docs.limit(0)).count() == 0
     assert S.redacted(docs).columns == docs.columns and S.redacted(docs).count() == docs.count()
+
+
+def test_short_random_values_are_alive():
+    pick = random.Random(5)
+    for kind, letters, n in (("hex", "0123456789abcdef", 16), ("hex", "0123456789abcdef", 20), ("assign", "0123456789abcdefghijklmnopqrstuvwxyz", 12), ("assign", "0123456789", 12)):
+        values = ["".join(pick.choices(letters, k=n)) for _ in range(4000)]
+        values = [v for v in values if not S.PLACEHOLDER.search(v)]
+        assert sum(not S._alive(kind, v) for v in values) <= len(values) // 500
+    dull = [("hex", "deadbeef" * 2), ("hex", "0101010101010101"), ("assign", "abababababab"), ("assign", "123123123123"), ("assign", "aaaabbbbcccc")]
+    assert not any(S._alive(kind, v) for kind, v in dull)
