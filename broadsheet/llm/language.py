@@ -4,9 +4,9 @@ The evidence on a document's language is
 
 * its text: a naive Bayes model over runs of ``LETTERS`` bytes, of which a text counts as at
   most ``WEIGHT`` independent ones;
-* its declared language, right with the chance that the learned texts show;
+* its declared language, right with a given chance;
 * its host's prior: counts of languages by host, smoothed by those of its address suffix,
-  those by the counts of all, each with ``SMOOTH`` documents' weight.
+  those by the counts of the learned texts, each with ``SMOOTH`` documents' weight.
 
 Counts of hosts and suffixes are grouped aggregates over all documents, taken from a narrow
 table of scores that is written once; they join back by host, where a frequent host is split
@@ -14,7 +14,9 @@ at run time. The text model is fitted on about ``BOUND`` labelled texts, chosen
 their ids; it holds ``FEATURES`` numbers a language.
 
 Null, empty and letterless texts give no text evidence and are rejected, as are documents
-whose best language is less likely than ``LEAST``. A null or unknown declaration is no
+whose best language is less likely than ``LEAST``, and texts whose letters are ``ODDS`` less
+likely in every language than in a background in which all runs are equally likely, whatever
+is declared. A null or unknown declaration is no
 evidence, a null host has the suffix ''. Every row gives one row.
 """
 
@@ -39,6 +41,9 @@ BOUND = 20_000
 WEIGHT = 40.0
 SMOOTH = 20.0
 LEAST = 0.5
+#: By how much the background's log likelihood must exceed every language's to reject a text;
+#: a few unseen words in a short text do not reach it.
+ODDS = 20.0
 SLICE = 1 << 20
 
 
@@ -185,13 +190,15 @@ def identified(docs: DataFrame, model: TextModel, declared: Column | None = None
     logs = F.zip_with("_own", F.coalesce("_prior", prior), lambda a, p: a + F.log(p))
     joined = joined.withColumn("_final", _normal(_softmax(logs)))
     best = F.array_max("_final")
+    # The background's log likelihood, of as many runs as a text counts for.
+    background = F.least(F.col("_runs").cast("double"), F.lit(WEIGHT)) * float(-np.log(FEATURES))
     return joined.select(
         *[c for c in docs.columns if c != text],
         "declared",
         F.element_at(languages, F.array_position("_final", best).cast("int")).alias("language"),
         best.alias("chance"),
         F.when(F.col("_heard"), F.element_at(languages, F.array_position("_text", F.array_max("_text")).cast("int"))).alias("text_language"),
-        (~F.col("_heard") | (best < LEAST)).alias("rejected"),
+        (~F.col("_heard") | (best < LEAST) | (F.array_max("_text") < background - ODDS)).alias("rejected"),
     )
 
 

@@ -66,3 +66,15 @@ def test_odd_rows_and_empty_tables(spark):
     assert L.identified(docs.limit(0), model, F.col("lang"), None).count() == 0
     nothing = L.fitted(frame(spark, [], SCHEMA))
     assert all(r.rejected for r in L.identified(docs, nothing, F.col("lang"), F.col("source")).collect())
+
+
+def test_texts_of_no_known_language_are_rejected(spark):
+    pick = random.Random(3)
+    docs = frame(spark, corpus())
+    model = L.fitted(docs)
+    garbled = "".join(pick.choice("bcdfghjklmnpqrstvwxz ") for _ in range(300))
+    texts = ["这是一个没有模型的语言的文本", "هذا نص بلغة أخرى غير معروفة", garbled, text(pick, "aa", 30), text(pick, "aa", 2)]
+    rows_ = frame(spark, [(i, t, "aa", "www.host1.aa", 0) for i, t in enumerate(texts)])
+    for declared in (None, F.col("lang")):
+        got = {r.doc_id: r.rejected for r in L.identified(rows_, model, declared, F.col("source")).collect()}
+        assert [got[i] for i in range(5)] == [True, True, True, False, False]
