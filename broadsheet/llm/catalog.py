@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from broadsheet.llm import decontaminate, language, licences, lm, multiset, neardup, pieces, secrets, toxicity, urls
+from broadsheet.llm import alignment, covertree, decontaminate, exactdup, language, licences, lm, multiset, neardup, pieces, secrets, toxicity, urls
 
 QUERIES = {
     "op1_secrets": (secrets.query, None),
@@ -15,4 +15,7 @@ QUERIES = {
     "op9_positive_unlabelled": (toxicity.query, None),
     "op10_multiset_hash": (multiset.query, None),
     "op3_sentencepiece": (pieces.query, None),
+    "op11_alignment": (alignment.query, None),
+    "op12_exact_dedup": (exactdup.query, exactdup.ORACLE_SQL),
+    "op13_cover_tree": (covertree.query, None),
 }
