@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -142,17 +142,26 @@ def preview(issues: DataFrame, titles: int = 3) -> DataFrame:
     return issues.withColumn("preview", F.array_join(first, "　·　"))
 
 
-def search_issues(issues: DataFrame, phrase: str) -> DataFrame:
-    """Issues whose date, slot, titles or sources contain the phrase, ignoring case."""
+def issue_text() -> Column:
+    """What a search of issues looks at: date, slot, titles and sources in lower case."""
     words = F.concat_ws(
         " ",
         F.array("date", F.coalesce("slot", F.lit(""))),
         F.transform("items", lambda i: F.concat(i["title"], F.lit(" "), i["source"])),
     )
-    return issues.where(F.contains(F.lower(words), F.lit(phrase.strip().lower())))
+    return F.lower(words)
+
+
+def item_text() -> Column:
+    """What a search of items looks at: title and source in lower case."""
+    return F.lower(F.concat("title", F.lit(" "), "source"))
+
+
+def search_issues(issues: DataFrame, phrase: str) -> DataFrame:
+    """Issues whose date, slot, titles or sources contain the phrase, ignoring case."""
+    return issues.where(F.contains(issue_text(), F.lit(phrase.strip().lower())))
 
 
 def search_items(issues: DataFrame, phrase: str) -> DataFrame:
     """The matching items themselves."""
-    text = F.lower(F.concat("title", F.lit(" "), "source"))
-    return issue_items(issues).where(F.contains(text, F.lit(phrase.strip().lower())))
+    return issue_items(issues).where(F.contains(item_text(), F.lit(phrase.strip().lower())))

@@ -30,6 +30,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # State of streams lies on disk, with timers, and not on the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
