@@ -7,9 +7,9 @@ and then a binary search find each of its ends in the longer one. Equal ends cut
 and the difference between the places of two ends is the range of tokens that overlap.
 
 Neither vocabulary has a token across a space that stands between two other characters, so a
-text is encoded and aligned word by word, and a worker remembers words. The links of a pair
-of ids are counted over all documents in a first pass: per batch by word, then by a grouped
-sum. Workers map the sorted counts from the shared folder in a second pass. Counts are at most
+text is encoded and aligned word by word, the different words of a batch all at once. The
+links of a pair of ids are counted over all documents in a first pass: per batch by word, then
+by a grouped sum. Workers map the sorted counts from the shared folder in a second pass. Counts are at most
 one per pair of ids, cut into files by id; the highest count per id of B (as many as the
 vocabulary has) is broadcast.
 
@@ -24,7 +24,7 @@ import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,10 @@ from broadsheet.session import materialize, work_path
 from broadsheet.sources.tables import table
 
 MARK = "▁"
-#: Words of up to ``SHORT`` letters are remembered, in two generations of ``MEMORY`` each.
-MEMORY, SHORT = 100_000, 64
+#: Bytes of text aligned at a time; a longer text is aligned by itself.
+SLICE = 1 << 23
+#: Words of up to so many tokens gallop side by side.
+LANE = 64
 #: Links counted in a worker before they are handed on.
 BUFFER = 1 << 21
 #: Ids of A in one file of counts.
@@ -74,6 +76,12 @@ def read_vocabularies(byte_path: str, piece_path: str) -> tuple[dict[bytes, int]
         return ranks, source.read()
 
 
+def _spans(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of the stretches of these lengths."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
 def places(short: list[int], long: list[int]) -> list[int]:
     """For each number of ``short`` the place of the first one of ``long`` that is no smaller.
     Both ascend and end alike."""
@@ -87,87 +95,157 @@ def places(short: list[int], long: list[int]) -> list[int]:
     return out
 
 
-def intersect(a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Pairs of places with equal ends, and pairs of places whose ranges overlap."""
-    swap = len(b) < len(a)
-    short, long = (b, a) if swap else (a, b)
-    common, links, first = [], [], 0
-    for i, at in enumerate(places(short, long)):
-        links += [(i, j) for j in range(first, at + 1)]
-        first = at
-        if long[at] == short[i]:
-            common.append((i, at))
-            first += 1
-    if swap:
-        return [(j, i) for i, j in common], [(j, i) for i, j in links]
-    return common, links
-
-
-class Word:
-    """A word's groups as text, its numbers, and its links as numbers a * kinds + b."""
+def side_by_side(short: np.ndarray, s: np.ndarray, long: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """``places`` of many pairs of lists at once, one list of each pair in the stretches ``s``
+    (from, to) of ``short``, the other in ``t`` of ``long``: each pair gallops by itself."""
+    out = np.zeros(len(short), np.int64)
+    sizes, at = s[1] - s[0], t[0].copy()
+    for i in np.flatnonzero(sizes > LANE):
+        out[s[0][i] : s[1][i]] = t[0][i] + np.array(places(short[s[0][i] : s[1][i]].tolist(), long[t[0][i] : t[1][i]].tolist()))
+    live = np.flatnonzero(sizes <= LANE)
+    for k in range(int(sizes[live].max(initial=0))):
+        live = live[sizes[live] > k]
+        end, low, high, last, step = short[s[0][live] + k], at[live], at[live], t[1][live] - 1, 1
+        on = np.flatnonzero(long[high] < end)
+        while len(on):
+            low[on] = high[on] + 1
+            high[on] = np.minimum(high[on] + step, last[on])
+            on, step = on[long[high[on]] < end[on]], step * 2
+        on = np.flatnonzero(low < high)
+        while len(on):
+            middle = (low[on] + high[on]) >> 1
+            less = long[middle] < end[on]
+            low[on[less]], high[on[~less]] = middle[less] + 1, middle[~less]
+            on = on[low[on] < high[on]]
+        out[s[0][live] + k] = at[live] = low
+    return out
 
-    __slots__ = ("groups", "numbers", "links")
 
-    def __init__(self, groups: str, numbers: tuple[int, ...], links: bytes):
-        self.groups, self.numbers, self.links = groups, numbers, links
+def intersect(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of pairs of lists of ends, stretches of ``a`` and ``b``: where both have an end (a flag
+    for each end of either), and the overlapping ranges (places in ``a``, places in ``b``)."""
+    spans = [np.stack([starts[:-1], starts[1:]]) for starts in (a_starts, b_starts)]
+    swap = np.diff(b_starts) < np.diff(a_starts)
+    flags, links = (np.zeros(len(a), bool), np.zeros(len(b), bool)), []
+    for turned in (False, True):
+        one, other = (1, 0) if turned else (0, 1)
+        short, long = (a, b)[one], (a, b)[other]
+        s, t = spans[one][:, swap == turned], spans[other][:, swap == turned]
+        found = side_by_side(short, s, long, t)
+        sizes = s[1] - s[0]
+        each = np.repeat(s[0], sizes) + _spans(sizes)
+        at = found[each]
+        same = long[at] == short[each]
+        flags[one][each[same]] = flags[other][at[same]] = True
+        first = np.r_[0, at[:-1] + same[:-1]][: len(at)]
+        heads = np.cumsum(sizes) - sizes
+        first[heads] = t[0]
+        wide = at - first + 1
+        pair = np.repeat(each, wide), np.repeat(first, wide) + _spans(wide)
+        links.append(pair[::-1] if turned else pair)
+    return *flags, *(np.concatenate(x) for x in zip(*links))
+
+
+class Words:
+    """The alignments of different words.
+
+    ``good`` tells the words whose tokens spell them, ``numbers`` has a row per word (n_a, n_b,
+    n_groups, n_links), ``links`` are numbers a * kinds + b, ``owner`` is the word of each.
+    """
+
+    def __init__(self, good: np.ndarray, numbers: np.ndarray, links: np.ndarray, owner: np.ndarray, groups: pa.Array):
+        self.good, self.numbers, self.links, self.owner, self.groups = good, numbers, links, owner, groups
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per word the sum of its links' values."""
+        out = np.zeros(len(self.good), np.int64)
+        np.add.at(out, self.owner, values)
+        return out
 
 
 class Aligner:
-    """Both vocabularies and the words of a worker process."""
+    """Both vocabularies in a worker process."""
 
     def __init__(self, ranks: dict[bytes, int], model: bytes):
         self.bytes_coder = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.piece_coder = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.sizes = {i: len(token) for token, i in ranks.items()}
+        self.a_sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.a_sizes[i] = len(token)
         n = self.kinds = self.piece_coder.get_piece_size()
         pieces = [self.piece_coder.id_to_piece(i) for i in range(n)]
-        self.spelled = [bytes([int(p[3:5], 16)]) if self.piece_coder.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        spelled = [bytes([int(p[3:5], 16)]) if self.piece_coder.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.b_sizes, self.spelled = np.array([len(p) for p in spelled], np.int64), pa.array(spelled, pa.binary())
         # Behind these a piece can go on with a space, so no cut is safe.
         joined = {x for p in pieces for x, y in zip(p, p[1:]) if y == MARK} | {MARK}
         unsafe = SPACE + "".join(map(re.escape, sorted(joined)))
         self.cut = re.compile(f"(?<=[^{unsafe}]) (?=[^{SPACE}])").split
         self.irregular = f"(^|[{unsafe}]) | ([{SPACE}]|$)"
-        self.young: dict[str, Word | None] = {}
-        self.old: dict[str, Word | None] = {}
-
-    def _word(self, word: str, pieces: list[int]) -> Word | None:
-        text = b" " + word.encode()
-        if b"".join(map(self.spelled.__getitem__, pieces)) != text:
-            return None
-        tokens = self.bytes_coder.encode_ordinary(" " + word)
-        a = list(accumulate(map(self.sizes.__getitem__, tokens)))
-        b = list(accumulate(len(self.spelled[p]) for p in pieces))
-        if a[-1] != len(text):
-            return None
-        common, links = intersect(a, b)
-        groups, i, j = [], 0, 0
-        for x, y in common:
-            groups.append(",".join(map(str, tokens[i : x + 1])) + "|" + ",".join(map(str, pieces[j : y + 1])))
-            i, j = x + 1, y + 1
-        pairs = np.array([tokens[x] * self.kinds + pieces[y] for x, y in links], np.int64)
-        return Word(";".join(groups), (len(a), len(b), len(groups), len(links)), pairs.tobytes())
-
-    def words(self, words: list[str]) -> list[Word | None]:
-        """The words' alignments; None where their tokens do not spell them."""
-        young, old = self.young, self.old
-        out = [young.get(w, 0) for w in words]
-        unknown = [i for i, w in enumerate(out) if w == 0]
-        fresh = []
-        for i in unknown:
-            found = old.get(words[i], 0)
-            if found == 0:
-                fresh.append(i)
-            else:
-                out[i] = young[words[i]] = found
-        for i, pieces in zip(fresh, self.piece_coder.encode([words[i] for i in fresh], num_threads=1)):
-            out[i] = found = self._word(words[i], pieces)
-            if len(words[i]) <= SHORT:
-                young[words[i]] = found
-        if len(young) > MEMORY:
-            self.young, self.old = {}, young
+        self.edged = f"^[{SPACE}]|[{SPACE}]$"
+        #: Ids as text behind a sign: all with the first sign, all with the second, and so on.
+        self.signs = max(len(self.a_sizes), n)
+        self.signed = pa.array([f"{sign}{i}" for sign in ";|," for i in range(self.signs)], pa.string())
+
+    def _spell(self, words: list[str], sizes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """True for words that are what their pieces spell."""
+        spelled = self.spelled.take(pa.array(ids))
+        ends = np.cumsum(self.b_sizes[ids])
+        at = np.r_[0, ends][starts]
+        got = np.frombuffer(spelled.buffers()[2] or b"", np.uint8)[: at[-1]].tobytes()
+        want = "".join(f" {w}" for w in words).encode()
+        out = np.diff(at) == sizes
+        if got != want:
+            to = np.r_[0, np.cumsum(sizes)]
+            out &= np.array([got[a:b] == want[c:d] for a, b, c, d in zip(at[:-1], at[1:], to[:-1], to[1:])], bool)
         return out
 
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Word | None]]:
+    def words(self, dictionary: pa.Array) -> tuple[np.ndarray, Words]:
+        """The alignments of words (in an order of their own) and the place of each word in it."""
+        edged = pc.match_substring_regex(dictionary, self.edged).to_numpy(zero_copy_only=False)
+        order = np.r_[np.flatnonzero(~edged), np.flatnonzero(edged)]
+        words = dictionary.take(pa.array(order)).to_pylist()
+        plain = len(words) - int(edged.sum())
+        sizes = pc.binary_length(dictionary).to_numpy().astype(np.int64)[order] + 1
+        pieces = self.piece_coder.encode(words, num_threads=1)
+        n_b = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        b = np.fromiter(chain.from_iterable(pieces), np.int64, int(n_b.sum()))
+        good = self._spell(words, sizes, b, np.r_[0, np.cumsum(n_b)])
+        kept = np.flatnonzero(good)
+        b, n_b, sizes = b[np.repeat(good, n_b)], n_b[kept], sizes[kept]
+        # Words without white space at their ends are cut from each other by the spaces between.
+        whole = [words[i] for i in kept[: np.searchsorted(kept, plain)]]
+        a = self.bytes_coder.encode_ordinary(" " + " ".join(whole)) if whole else []
+        for i in kept[len(whole) :]:
+            a += self.bytes_coder.encode_ordinary(" " + words[i])
+        a = np.array(a, np.int64)
+        a_ends, b_ends, ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]), np.cumsum(sizes)
+        a_starts, b_starts = np.r_[0, np.searchsorted(a_ends, ends) + 1], np.r_[0, np.cumsum(n_b)]
+        a_flags, b_flags, x, y = intersect(a_ends, a_starts, b_ends, b_starts)
+        owner = np.searchsorted(a_starts, x, side="right") - 1
+        some = np.r_[0, np.cumsum(a_flags)]
+        numbers = np.zeros((len(words), 4), np.int64)
+        numbers[kept] = np.stack([np.diff(a_starts), n_b, np.diff(some[a_starts]), np.bincount(owner, minlength=len(kept))], axis=1)
+        groups = self._groups(a, a_flags, b, b_flags, a_starts + b_starts, good)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        return place, Words(good, numbers, a[x] * self.kinds + b[y], kept[owner], groups)
+
+    def _groups(self, a: np.ndarray, a_flags: np.ndarray, b: np.ndarray, b_flags: np.ndarray, starts: np.ndarray, good: np.ndarray) -> pa.Array:
+        """The words' groups as texts, each with a semicolon before it; empty for bad words."""
+        mine = [np.cumsum(f) - f for f in (a_flags, b_flags)]
+        n_a, n_b = (np.bincount(m, minlength=int(a_flags.sum())) for m in mine)
+        begin = np.cumsum(n_a + n_b) - n_a - n_b
+        out = np.empty(len(a) + len(b), np.int64)
+        for ids, own, size, skip, sign in ((a, mine[0], n_a, 0, 0), (b, mine[1], n_b, n_a, 1)):
+            within = _spans(size)
+            out[(begin + skip)[own] + within] = ids + self.signs * np.where(within == 0, sign, 2)
+        spelled = self.signed.take(pa.array(out))
+        bounds = np.r_[0, np.cumsum(pc.binary_length(spelled).to_numpy())][starts]
+        all_bounds = np.zeros(len(good) + 1, np.int32)
+        np.cumsum(_scattered(np.diff(bounds), good), out=all_bounds[1:])
+        return pa.StringArray.from_buffers(len(good), pa.py_buffer(all_bounds), spelled.buffers()[2])
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
         """Rows with tokens, where their words begin, the words' places among the different
         ones, and the alignments of those."""
         texts = texts.cast(pa.string()).fill_null("")
@@ -187,18 +265,23 @@ class Aligner:
         lists = pa.concat_arrays(parts)
         coded = lists.flatten().dictionary_encode()
         starts = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64)
-        place = coded.indices.to_numpy().astype(np.int64)
-        found = self.words(coded.dictionary.to_pylist())
-        bad = np.array([w is None for w in found], bool)
+        order, found = self.words(coded.dictionary)
+        place = order[coded.indices.to_numpy()]
         rows = np.concatenate(rows)
-        if bad.any():  # a text with such a word has no tokens at all
-            good = ~np.logical_or.reduceat(bad[place], starts[:-1])
+        if not found.good.all():  # a text with such a word has no tokens at all
+            good = np.logical_and.reduceat(found.good[place], starts[:-1])
             sizes = np.diff(starts)
             place = place[np.repeat(good, sizes)]
             rows, starts = rows[good], np.r_[0, np.cumsum(sizes[good])]
         return rows, starts, place, found
 
 
+def _scattered(values: np.ndarray, where: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(where), values.dtype)
+    out[where] = values
+    return out
+
+
 def _aligner(state: list) -> Aligner:
     """The process's aligner, made from the broadcast vocabularies by its first task."""
     if len(state) == 1:
@@ -224,13 +307,10 @@ def link_counts(docs: DataFrame, vocabularies: tuple[dict[bytes, int], bytes], t
         def counted() -> tuple[np.ndarray, np.ndarray]:
             return _summed(*(np.concatenate(c) for c in zip(*held)))
 
-        for batch in sliced(batches, 0):
+        for batch in sliced(batches, 0, SLICE):
             _, _, place, found = aligner.batch(batch.column(0))
-            often = np.bincount(place, minlength=len(found))
-            met = [(w.links, n) for w, n in zip(found, often.tolist()) if n]
-            keys = np.frombuffer(b"".join(links for links, _ in met), np.int64)
-            weights = np.repeat(np.array([n for _, n in met], np.int64), [len(links) // 8 for links, _ in met])
-            held.append(_summed(keys, weights))
+            often = np.bincount(place, minlength=len(found.good))
+            held.append(_summed(found.links, often[found.owner]))
             if sum(len(k) for k, _ in held) > BUFFER:
                 held = [counted()]
                 if len(held[0][0]) > BUFFER // 2:
@@ -272,36 +352,27 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text"
     figures = spark.sparkContext.broadcast((folder, runs, best))
     kept = [c for c in docs.columns if c != text and c not in (*NUMBERS, "groups")]
 
-    def rated(words: list[Word | None], known: Sorted, most: np.ndarray) -> None:
-        """Put n_best and count_sum behind the numbers of words that lack them."""
-        fresh = [w for w in words if w is not None and len(w.numbers) == 4]
-        if not fresh:
-            return
-        keys, back = np.unique(np.frombuffer(b"".join(w.links for w in fresh), np.int64), return_inverse=True)
-        often = known.take(known.find(keys), 1)
-        top = (often == most[keys % kinds]).astype(np.int64)
-        starts = np.cumsum([0, *(len(w.links) // 8 for w in fresh[:-1])])
-        tops, sums = (np.add.reduceat(v[back], starts).tolist() for v in (top, often))
-        for word, n, total in zip(fresh, tops, sums):
-            word.numbers, word.links = (*word.numbers, n, total), b""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(shared.value)
         place_, files, most = figures.value
         known = Sorted(place_, [Run(*r) for r in files])
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, SLICE):
             rows, starts, place, found = aligner.batch(batch.column(text))
-            rated(found, known, most)
-            numbers = np.array([w.numbers if w else (0,) * 6 for w in found], np.int64).reshape(-1, 6)
+            keys, back = np.unique(found.links, return_inverse=True)
+            often = known.take(known.find(keys), 1)
+            top = often == most[keys % kinds]
+            numbers = np.column_stack([found.numbers, found.sums(top[back]), found.sums(often[back])])
             out = np.zeros((batch.num_rows, 6), np.int64)
-            texts = [""] * batch.num_rows
+            spelled = found.groups.take(pa.array(place))
             if len(rows):
                 out[rows] = np.add.reduceat(numbers[place], starts[:-1], axis=0)
-                each = [w.groups if w else "" for w in found]
-                spelled = [each[i] for i in place.tolist()]
-                for row, a, b in zip(rows.tolist(), starts[:-1].tolist(), starts[1:].tolist()):
-                    texts[row] = ";".join(spelled[a:b])
-            columns = [*(batch.column(c) for c in kept), *(pa.array(out[:, k]) for k in range(6)), pa.array(texts, pa.string())]
+            # The documents' texts lie one behind the other, in the order of ``rows``.
+            bounds = np.r_[0, np.cumsum(pc.binary_length(spelled).to_numpy())][starts].astype(np.int32)
+            texts = pa.StringArray.from_buffers(len(rows), pa.py_buffer(bounds), spelled.buffers()[2])
+            turn = np.full(batch.num_rows, -1)
+            turn[rows] = np.arange(len(rows))
+            groups = pc.utf8_slice_codeunits(texts.take(pa.array(turn, mask=turn < 0)), 1).fill_null("")
+            columns = [*(batch.column(c) for c in kept), *(pa.array(out[:, k]) for k in range(6)), groups]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *NUMBERS, "groups"])
 
     schema = docs.select(*kept).schema

@@ -3,6 +3,7 @@ import json
 import random
 
 import llm_paths  # noqa: F401
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -84,9 +85,9 @@ def got(df):
     return {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups) for r in df.collect()}
 
 
-@pytest.mark.parametrize("memory", [3, 100_000])
-def test_equals_the_libraries(spark, memory, monkeypatch):
-    monkeypatch.setattr(A, "MEMORY", memory)
+@pytest.mark.parametrize("lane", [2, 64])
+def test_equals_the_libraries(spark, lane, monkeypatch):
+    monkeypatch.setattr(A, "LANE", lane)
     monkeypatch.setattr(A, "BUFFER", 500)
     texts = strange(1) + [None, "", " ", "\n", "▁", "a ▁ b", "a▁", prose(3, 400), prose(3, 400), "x" * 3000, "é" * 700, " lead", "trail ", "in  side"]
     want = brute(texts)
@@ -114,13 +115,20 @@ def test_odd_rows(spark):
     assert A.aligned(frame(spark, [], SCHEMA), BYTES, PIECES).count() == 0
 
 
-def test_intersection():
+@pytest.mark.parametrize("lane", [0, 5, 64])
+def test_intersection(lane, monkeypatch):
+    monkeypatch.setattr(A, "LANE", lane)
     pick = random.Random(2)
+    lists, at = [], 0
     for _ in range(300):
         end = pick.randint(1, 60)
-        a, b = (sorted({end, *pick.sample(range(1, end + 1), pick.randint(0, end - 1))}) for _ in range(2))
-        common, links = A.intersect(a, b)
-        assert common == [(i, b.index(x)) for i, x in enumerate(a) if x in b]
-        spans = [list(zip([0, *ends], ends)) for ends in (a, b)]
-        want = [(i, j) for i, (s, e) in enumerate(spans[0]) for j, (x, y) in enumerate(spans[1]) if x < e and s < y]
-        assert sorted(links) == want
+        lists.append([sorted({at + end, *(at + x for x in pick.sample(range(1, end + 1), pick.randint(0, end - 1)))}) for _ in range(2)])
+        at += end
+    flat, starts = zip(*((np.concatenate(side), np.cumsum([0, *map(len, side)])) for side in zip(*lists)))
+    a_flags, b_flags, x, y = A.intersect(flat[0], starts[0], flat[1], starts[1])
+    common = set(flat[0].tolist()) & set(flat[1].tolist())
+    assert [set(f[g].tolist()) for f, g in zip(flat, (a_flags, b_flags))] == [common, common]
+    # All lists lie end to end, so each range begins where the one before it ends.
+    spans = [list(zip([0, *f[:-1].tolist()], f.tolist())) for f in flat]
+    want = [(i, j) for i, (s, e) in enumerate(spans[0]) for j, (u, v) in enumerate(spans[1]) if u < e and s < v]
+    assert sorted(zip(x.tolist(), y.tolist())) == want
