@@ -1,12 +1,15 @@
 """Licence scans by canonical digest, in built-in functions only.
 
-A text's canonical form has lower case, no copyright lines, one spelling of words that are
-spelled in several ways, and no punctuation. Its digest is looked up among the digests of
-known licences, brought to the same form. Whole texts are looked up and, since notices stand
+A text's canonical form has lower case, no title and no copyright lines, one spelling of words
+that are spelled in several ways, and no punctuation. Its digest is looked up among the digests
+of known licences, brought to the same form. Whole texts are looked up and, since notices stand
 in texts as lines of their own, each line as a text of its own.
 
-The known texts are a constant of the package, so their digests are a local table of known
-size. Lines are joined where they are read; only those that match are grouped.
+Known are the full texts of the short permissive licences and, of these and of the Apache, GNU,
+Mozilla and Creative Commons licences, the notices that name them; ``licensed`` takes any other
+list of texts. The known texts are a constant of the package, so their digests are a local table
+of known size. Digests of whole texts and of lines that are as long as a known text are taken
+in one pass over the texts and written without them; only lines that match are grouped.
 
 Null and empty texts, and texts without words, match nothing. Every row gives one row; other
 columns are kept, columns named like a result are replaced.
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broadsheet.session import dimension
+from broadsheet.session import dimension, let, materialize
 from broadsheet.sources.tables import table
 
 # The wording of licences and of their notices.
@@ -77,16 +80,49 @@ KNOWN = [
         _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or"
         " promote products derived from this software without specific prior written permission.\n" + _BSD_END,
     ),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 ]
+# Licences by the name that the software package data exchange gives them, with
+# the names that notices use.
+NAMES = [
+    ("MIT", ["MIT License"]),
+    ("ISC", ["ISC License"]),
+    ("0BSD", ["Zero-Clause BSD License", "0BSD License"]),
+    ("BSD-2-Clause", ["BSD 2-Clause License"]),
+    ("BSD-3-Clause", ["BSD 3-Clause License"]),
+    ("Apache-2.0", ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"]),
+    ("GPL-2.0", ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPLv2"]),
+    ("GPL-3.0", ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPLv3"]),
+    ("LGPL-2.1", ["GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1"]),
+    ("LGPL-3.0", ["GNU Lesser General Public License, version 3", "GNU LGPL v3"]),
+    ("AGPL-3.0", ["GNU Affero General Public License, version 3", "GNU AGPL v3"]),
+    ("MPL-2.0", ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"]),
+]
+COMMONS = ["", "-NC", "-SA", "-ND", "-NC-SA", "-NC-ND"]
+SPOKEN = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+
+
+def _notices() -> list[tuple[str, str]]:
+    """One-line notices of all names: who is named, in the usual sentences."""
+    names = [(licence, name) for licence, spelled in NAMES for name in spelled]
+    for kind in COMMONS:
+        for version in ("2.0", "3.0", "4.0"):
+            licence = f"CC-BY{kind}-{version}"
+            parts = "-".join(SPOKEN[p] for p in f"BY{kind}".split("-"))
+            names += [(licence, f"CC BY{kind} {version}"), (licence, f"Creative Commons {parts} {version} International License"), (licence, f"Creative Commons {parts} {version}")]
+    names += [("CC0-1.0", "CC0 1.0"), ("CC0-1.0", "Creative Commons CC0 1.0 Universal")]
+    lead = ["Released under", "Licensed under", "Distributed under", "This work is licensed under", "This project is licensed under", "This software is released under"]
+    out = [(licence, f"{words} {article}{name}") for licence, name in names for words in lead for article in ("the ", "a ", "")]
+    tags = dict.fromkeys(licence for licence, _ in names)
+    ends = {licence: ["", "-only", "-or-later"] if "GPL" in licence else [""] for licence in tags}
+    return out + [(licence, f"SPDX-License-Identifier: {licence}{end}") for licence in tags for end in ends[licence]]
+
+
+KNOWN += _notices()
 SPELLINGS = [("licence", "license"), ("organisation", "organization"), ("authorisation", "authorization"), ("recognise", "recognize"), ("sub license", "sublicense"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("noninfringement", "non infringement"), ("https", "http")]
-COPYRIGHT = r"(^|\n)[\x20\t*#/;-]*(?:copyright[\x20\t]+(?:\(c\)|©|[0-9])|\(c\)[\x20\t]*[0-9]|©|all rights reserved)[^\n]*"
+#: A first line that only names a licence.
+TITLE = r"^[\s#*/;-]*(?:the[\x20]+)?(?:mit|isc|0bsd|(?:new|simplified|modified)?[\x20]*bsd|zero-clause[\x20]bsd)[^\n.:]{0,20}licen[cs]e(?:[\x20]*\([^\n]{1,20}\))?[\x20\t\r]*\n"
+#: Copyright lines; without a sign or a year only at the start or behind an empty line.
+COPYRIGHT = r"(?:^|\n[\x20\t\r]*\n)[\x20\t*#/;-]*copyright[\x20\t]+[^\n]*|(^|\n)[\x20\t*#/;-]*(?:copyright[\x20\t]+(?:\(c\)|©|[0-9])|\(c\)[\x20\t]*[0-9]|©|all rights reserved)[^\n]*"
 PUNCTUATION = r"[^a-z0-9\x80-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,9 +130,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def canonical(text: Column) -> Column:
     """The form in which equal licences are equal texts; a null text is empty."""
     lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    # Few texts hold what a copyright line begins with; only those are searched by pattern.
+    return let(lowered, _canonical)
+
+
+def _canonical(lowered: Column) -> Column:
+    # Few texts hold what a copyright line or a title holds; only those are searched by pattern.
     marked = reduce(or_, (F.contains(lowered, F.lit(mark)) for mark in ("copyright", "(c)", "©", "all rights reserved")))
     out = F.when(marked, F.regexp_replace(lowered, COPYRIGHT, "")).otherwise(lowered)
+    out = F.when(F.contains(lowered, F.lit("licen")), F.regexp_replace(out, TITLE, "")).otherwise(out)
     out = F.concat(F.lit(" "), F.regexp_replace(out, PUNCTUATION, " "), F.lit(" "))
     for spelling, usual in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(usual))
@@ -104,26 +145,40 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, licence); texts with one canonical form count once."""
+    """(digest, licence, letters); texts with one canonical form count once."""
     schema = T.StructType([T.StructField("licence", T.StringType()), T.StructField("words", T.StringType())])
     rows = dimension(spark, [{"licence": name, "words": text} for name, text in known], schema)
-    return rows.groupBy(F.sha2(canonical(F.col("words")), 256).alias("digest")).agg(F.min("licence").alias("licence"))
+    rows = rows.select("licence", canonical(F.col("words")).alias("words"))
+    return rows.groupBy(F.sha2("words", 256).alias("digest")).agg(F.min("licence").alias("licence"), F.max(F.length("words")).alias("letters"))
 
 
-def licensed(docs: DataFrame, text: str = "text", key: str = "doc_id", known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def licensed(docs: DataFrame, text: str = "text", known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """``docs`` without its text, with digest (of the canonical form, null if it has no words),
     licence (of the whole text) and notices (licences of its lines, sorted)."""
     book = known_digests(docs.sparkSession, known)
+    # No more than there are known texts.
+    lengths = sorted(r[0] for r in book.select("letters").distinct().collect())
     kept = [c for c in docs.columns if c not in (text, "digest", "licence", "notices")]
     whole = F.sha2(canonical(F.col(text)), 256)
-    digest = F.when(whole != F.sha2(F.lit(""), 256), whole)
-    rows = docs.select(*kept, digest.alias("digest")).join(book, "digest", "left")
-    lines = docs.select(F.col(key).alias("_key"), whole.alias("_whole"), F.explode(F.split(text, "\n")).alias("_line"))
-    met = lines.select("_key", "_whole", F.sha2(canonical(F.col("_line")), 256).alias("digest")).join(book, "digest")
-    met = met.groupBy("_key", "_whole").agg(F.array_sort(F.collect_set("licence")).alias("notices"))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_whole"))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), canonical)
+    likely = F.filter(lines, lambda line: F.length(line).isin(lengths))
+    looked = docs.select(
+        F.struct(*kept).alias("_kept"),
+        F.when(whole != F.sha2(F.lit(""), 256), whole).alias("_whole"),
+        F.transform(likely, lambda line: F.sha2(line, 256)).alias("_lines"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    looked = materialize(looked, "licences")
+    met = looked.filter(F.size("_lines") > 0).select("_row", F.explode("_lines").alias("digest")).join(book, "digest")
+    met = met.groupBy(F.col("_row").alias("_met")).agg(F.array_sort(F.collect_set("licence")).alias("_notices"))
+    rows = looked.join(book, F.col("_whole") == F.col("digest"), "left").join(met, F.col("_row") == F.col("_met"), "left")
     none = F.array().cast("array<string>")
-    return rows.join(met, same, "left").select(*kept, "digest", "licence", F.coalesce("notices", none).alias("notices"))
+    return rows.select(
+        *(F.col("_kept")[c].alias(c) for c in kept),
+        F.col("_whole").alias("digest"),
+        "licence",
+        F.coalesce("_notices", none).alias("notices"),
+    )
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,6 +192,7 @@ def _quoted(text: str) -> str:
 
 def _canonical_sql(text: str) -> str:
     out = f"regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), {_quoted(COPYRIGHT)}, '', 'g')"
+    out = f"regexp_replace({out}, {_quoted(TITLE)}, '')"
     out = f"concat(' ', regexp_replace({out}, {_quoted(PUNCTUATION)}, ' ', 'g'), ' ')"
     for spelling, usual in SPELLINGS:
         out = f"replace({out}, '{spelling}', '{usual}')"

@@ -17,9 +17,33 @@ def test_rewritten_licences_are_found(spark):
     assert len(same) == 1
 
 
-def test_known_texts_differ(spark):
+def test_known_texts_name_one_licence(spark):
     found = L.known_digests(spark).collect()
-    assert len({r.digest for r in found}) == len(found) == len(L.KNOWN)
+    assert len({r.digest for r in found}) == len(found) > 500
+    named = {}
+    for licence, text in L.KNOWN:
+        named.setdefault(text, set()).add(licence)
+    assert all(len(v) == 1 for v in named.values())
+
+
+def test_usual_forms_are_found(spark):
+    isc, bsd = (dict(L.KNOWN[:5])[n] for n in ("ISC", "BSD-3-Clause"))
+    body = MIT.split("\n\n", 1)[1]
+    cases = [
+        ("The MIT License (MIT)\n\n" + body, "MIT"),
+        (body, "MIT"),
+        ("MIT License\n\nCopyright Jane Doe\n\n" + body, "MIT"),
+        ("Copyright <YEAR> <HOLDER>\n\n" + body, "MIT"),
+        ("ISC License\n\nCopyright (c) 2020, Jane\n\n" + isc, "ISC"),
+        ("BSD 3-Clause License\n\n" + bsd.replace("the disclaimer", "the\ndisclaimer"), "BSD-3-Clause"),
+        ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("Licenced under the Apache Licence, Version 2.0", "Apache-2.0"),
+        ("MIT License text is not here\n\n" + body, None),
+        (bsd.replace("the following conditions", "\ncopyright conditions"), None),
+    ]
+    got = {r.doc_id: r.licence for r in L.licensed(frame(spark, rows(*(t for t, _ in cases)))).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(cases)}
 
 
 def test_odd_rows(spark):
