@@ -7,8 +7,9 @@ merge trees along the common border accepts or refuses it, shorter pieces follow
 field of failed places keeps the search linear.
 
 The vocabulary is the model's (32,000 pieces): it is read once and broadcast. Texts are cut
-where no piece can lie, as before word marks and stops, and the codes of a worker's words are
-remembered up to ``MEMORY`` entries.
+where no piece can lie, as before word marks and stops; the different words of a batch are
+coded once, and a worker remembers the codes of two times ``MEMORY`` words. A text whose
+words' pieces spell it is its own decoding.
 
 Nulls and empty texts have no ids and decode to the empty text. Every row gives one row;
 all other columns are kept, a column named like a result is replaced.
@@ -24,7 +25,9 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +36,7 @@ from broadsheet.llm.words import sliced
 from broadsheet.sources.tables import table
 
 MARK = "▁"
-#: Words and pairs a worker remembers before it starts afresh.
+#: Words and pairs a worker remembers before it forgets older ones.
 MEMORY = 150_000
 
 
@@ -118,6 +121,7 @@ class Coder:
         self.shorter = {w: next((w[:n] for n in range(len(w) - 1, 0, -1) if w[:n] in pieces.id), "") for w in pieces.id}
         self.fits: dict[tuple[str, str], bool] = {}
         self.codes: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.ends: dict[str, list] = {}
         self.starts: dict[str, list] = {}
         if pieces.openers:
@@ -131,6 +135,11 @@ class Coder:
         for value, i in pieces.bytes.items():
             self.plain[i] = bytes([value])
         self.library = None
+        self.spelled = pa.array(self.plain, pa.binary())
+        self.sizes = np.array([len(p) for p in self.plain], np.int64)
+        # No piece goes on with a space behind any other letter than these.
+        behind = {a for w in pieces.id for a, b in zip(w, w[1:]) if b == MARK} | {MARK, " "}
+        self.uncut = "(^|[" + "".join(map(re.escape, sorted(behind))) + "]) "
 
     def compatible(self, pair: tuple[str, str]) -> bool:
         """True if no merge crosses the border of the two pieces when their text is merged."""
@@ -157,8 +166,9 @@ class Coder:
         found = self.codes.get(word)
         if found is None:
             if len(self.codes) > MEMORY:
-                self.codes.clear()
-            found = self.codes[word] = self._word(word)
+                self.codes, self.older = {}, self.codes
+            found = self.older.get(word)
+            found = self.codes[word] = self._word(word) if found is None else found
         return found
 
     def _word(self, word: str) -> list[int]:
@@ -235,25 +245,67 @@ class Coder:
         return out[1:] if first is not None and self.pieces.text[first].startswith(MARK) else out
 
 
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words that stand behind a space, where each word's begin (n + 1 places), and
+        whether they spell it."""
+        texts = words.to_pylist()
+        codes = [list(chain.from_iterable(map(self.word, self.cut(MARK + w)))) for w in texts]
+        starts = np.r_[0, np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)))]
+        ids = np.fromiter(chain.from_iterable(codes), np.int32, int(starts[-1]))
+        got = np.frombuffer(self.spelled.take(pa.array(ids)).buffers()[2] or b"", np.uint8)
+        at = np.r_[0, np.cumsum(self.sizes[ids])][starts]
+        to = np.arange(len(texts) + 1) + np.r_[0, np.cumsum(pc.binary_length(words).to_numpy())]
+        same = np.diff(at) == np.diff(to)
+        want = "".join(f" {w}" for w in texts).encode()
+        if got[: at[-1]].tobytes() != want:
+            same &= np.array([got[a:b].tobytes() == want[c:d] for a, b, c, d in zip(at[:-1], at[1:], to[:-1], to[1:])], bool)
+        return ids, starts, same
+
+    def batch(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Ids and decoded texts of a column."""
+        texts = texts.cast(pa.string()).fill_null("")
+        odd = pc.match_substring_regex(texts, self.uncut)
+        plain = np.flatnonzero(pc.and_(pc.greater(pc.binary_length(texts), 0), pc.invert(odd)).to_numpy(zero_copy_only=False))
+        lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        flat = lists.flatten().dictionary_encode()
+        ids, starts, same = self.words(flat.dictionary)
+        place = flat.indices.to_numpy()
+        sizes = np.diff(starts)[place]
+        ends = np.cumsum(sizes)
+        long = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[place] - (ends - sizes), sizes)]
+        rows = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64)
+        bounds = np.r_[0, ends][rows]
+        spelled = np.logical_and.reduceat(same[place], rows[:-1]) if len(plain) else np.zeros(0, bool)
+        parts: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        decoded: dict[int, str] = {}
+        for row, a, b, whole in zip(plain.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), spelled.tolist()):
+            parts[row] = long[a:b]
+            if not whole:
+                decoded[row] = self.decode(parts[row].tolist())
+        for row in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            code = self.encode(texts[row].as_py())
+            parts[row], decoded[row] = np.array(code, np.int32), self.decode(code)
+        listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
+        if decoded:
+            other = np.zeros(len(texts), bool)
+            other[list(decoded)] = True
+            texts = pc.replace_with_mask(texts, pa.array(other), pa.array([decoded[row] for row in sorted(decoded)], pa.string()))
+        return listed, texts
+
+
 def coded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array of int) and ``decoded`` (the ids' text)."""
     docs = docs.drop(*({"ids", "decoded"} - {text}))
-    pieces = docs.sparkSession.sparkContext.broadcast(Pieces(path))
+    pieces = docs.sparkSession.sparkContext.broadcast([cloudpickle.dumps(Pieces(path))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = pieces.value.coder()
+        held = pieces.value
+        if isinstance(held[0], bytes):  # the first task of a worker process
+            held[0] = cloudpickle.loads(held[0])
+        coder = held[0].coder()
         for batch in sliced(batches, text):
-            ids, ends, texts = [], [0], []
-            for value in batch.column(text):
-                code = coder.encode(value.as_py())
-                texts.append(coder.decode(code))
-                ids.append(np.array(code, np.int32))
-                ends.append(ends[-1] + len(code))
-            flat = np.concatenate([np.zeros(0, np.int32), *ids])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(texts, pa.string())],
-                names=[*batch.schema.names, "ids", "decoded"],
-            )
+            added = coder.batch(batch.column(text))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "ids", "decoded"])
 
     schema = T.StructType([*docs.schema, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return docs.mapInArrow(run, schema)
