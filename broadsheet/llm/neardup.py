@@ -18,8 +18,11 @@
 
 Nothing but counts reaches the driver; every round reads tables from the shared folder.
 
+Classes are numbered; a row is known by its id and the hash of its text, so rows that share an
+id but not a text are documents of their own, each linked by its own text.
+
 Null, empty and wordless texts have empty sets and link with nothing. Documents without an
-id take no part in links. Rows that share an id share a component. Every row gives one row.
+id take no part in links and have no component. Every row gives one row.
 """
 
 from __future__ import annotations
@@ -48,37 +51,45 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1).view(np.int64)))
 
 
+def _rows_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, hash, text): what tells rows of one id apart is the hash of their text."""
+    return docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+
+
 def sketched(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(id, n_shingles, digest, sketch, bands) of each row; digest is null for empty sets."""
+    """(id, hash, n_shingles, digest, sketch, bands) of each row; digest is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
-            sets = shingle_sets(*word_hashes(batch.column(1), SPACES), size)
+        for batch in sliced(batches, 2):
+            sets = shingle_sets(*word_hashes(batch.column(2), SPACES), size)
             sketches = registers(sets)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([s.tobytes() for s in sketches], pa.binary()),
                     _lists(bands(sketches)),
                 ],
-                names=["id", "n_shingles", "digest", "sketch", "bands"],
+                names=["id", "hash", "n_shingles", "digest", "sketch", "bands"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text)).mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, sketch binary, bands array<bigint>")
+    columns = f"id {kind}, hash bigint, n_shingles bigint, digest binary, sketch binary, bands array<bigint>"
+    return _rows_of(docs, key, text).mapInArrow(run, columns)
+
 
+def _sets(classes: DataFrame, size: int) -> DataFrame:
+    """(id, shingles, parity) of the classes (id, text)."""
 
-def _sets(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             sets = shingle_sets(*word_hashes(batch.column(1), SPACES), size)
             columns = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s).tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "shingles", "parity"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text)).mapInArrow(run, f"id {kind}, shingles binary, parity binary")
+    return classes.select("id", "text").mapInArrow(run, "id bigint, shingles binary, parity binary")
 
 
 def _sides(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -184,22 +195,26 @@ def _crossed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(mixed, "band")
 
 
-def linked(docs: DataFrame, size: int = 4, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of each row of ``docs``."""
+def _components(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """(id, hash, n_shingles, root) of each row of ``docs``: ``root`` is the least (id, hash) of
+    the row's component, null for rows without words or id."""
     least = percent / 100
     all_ = materialize(sketched(docs, size, key, text), "sketches")
     classes = (
         all_.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
         .groupBy("digest")
-        .agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+        .agg(F.min(F.struct("id", "hash")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     )
-    classes = materialize(classes, "classes")
+    # The numbers are read from the written table alone, so they stay what they are.
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     banded = classes.select(F.explode("bands").alias("band"), "id")
     several = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot"))
     several = materialize(several.filter("n > 1").select("band", "pivot"), "bands")
     buckets = materialize(banded.join(several, "band"), "buckets")
     met = materialize(buckets.select("id").distinct(), "met")
-    sets = materialize(_sets(docs.join(met, docs[key] == met["id"], "left_semi"), size, key, text).dropDuplicates(["id"]), "sets")
+    shown = classes.join(met, "id").select(F.col("id").alias("class"), F.col("row.id").alias("id"), F.col("row.hash").alias("hash"))
+    texts = _rows_of(docs, key, text).join(shown, ["id", "hash"]).select(F.col("class").alias("id"), "text")
+    sets = materialize(_sets(texts, size).dropDuplicates(["id"]), "sets")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         return materialize(verified(open_pairs(pairs, classes, least), sets, percent), "links")
@@ -229,17 +244,39 @@ def linked(docs: DataFrame, size: int = 4, percent: int = 80, key: str = "doc_id
             if not links.isEmpty():
                 labels = _relabelled(labels, links)
             break
-    groups = materialize(classes.select("digest", F.col("id").alias("class")).join(labels.withColumnRenamed("id", "class"), "class", "left"), "groups")
-    joined = all_.select("id", "n_shingles", "digest").join(groups, "digest", "left")
-    return joined.select(F.col("id").alias(key), "n_shingles", F.coalesce("label", "class", "id").alias("component_id"))
+    members = labels.join(classes.select("id", "row"), "id")
+    roots = members.groupBy("label").agg(F.min("row").alias("root"))
+    members = members.select("id", "label").join(roots, "label").select("id", "root")
+    groups = classes.select("digest", "id", "row").join(members, "id", "left")
+    groups = materialize(groups.select("digest", F.coalesce("root", "row").alias("root")), "groups")
+    joined = all_.select("id", "hash", "n_shingles", "digest").join(groups, "digest", "left")
+    return joined.select("id", "hash", "n_shingles", F.when(F.col("id").isNotNull(), F.col("root")).alias("root"))
+
+
+def linked(docs: DataFrame, size: int = 4, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of each row of ``docs``: the least id of its component."""
+    found = _components(docs, size, percent, key, text)
+    return found.select(F.col("id").alias(key), "n_shingles", F.coalesce("root.id", "id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: that of the least id, once. Documents without an id
-    or without words stay."""
-    gone = linked(docs, size, percent, key, text).filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    gone = materialize(gone, "duplicates")
-    return docs.join(gone, key, "left_anti").dropDuplicates([key, text])
+    """One document of each component: that of the least id, and of several texts under this id
+    the one of the least hash. Rows that agree in id and text stay once. Documents without an id
+    stay, as do those without words."""
+    found = _components(docs, size, percent, key, text).filter(F.col("id").isNotNull())
+    gone = F.col("root.id").isNotNull() & ((F.col("id") != F.col("root.id")) | (F.col("hash") != F.col("root.hash")))
+    rows = found.groupBy("id", "hash").agg(F.first(gone).alias("gone"), F.count(F.lit(1)).alias("n")).filter("gone OR n > 1")
+    rows = materialize(rows, "duplicates")
+
+    def those(condition: str, how: str) -> DataFrame:
+        named = rows.filter(condition).select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+        return kept.join(named, (kept[key] == named["_id"]) & (F.xxhash64(kept[text]) == named["_hash"]), how)
+
+    kept = docs
+    kept = those("gone", "left_anti")
+    if rows.filter("NOT gone").isEmpty():
+        return kept
+    return those("NOT gone", "left_anti").unionAll(those("NOT gone", "left_semi").dropDuplicates([key, text]))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -66,6 +66,30 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == sorted([(False, 0), (False, 10), (False, 11), (False, 12), (True, None)])
 
 
+def test_rows_that_share_an_id_are_linked_by_their_own_texts(spark):
+    a, near_a, b, near_b, alone = *family(5, 1, 200, 1), *family(6, 1, 200, 1), prose(91, 80)
+    docs = [(1, near_a), (2, a), (2, b), (3, near_b), (4, alone), (4, alone), (None, alone), (None, alone), (5, None), (5, ""), (6, b), (6, near_b)]
+    table = frame(spark, docs, "doc_id bigint, text string")
+    # Every row is a document of its own; brute force numbers them.
+    found = brute(list(enumerate(t if d is not None else None for d, t in docs)))
+    least = {}
+    for n, (d, _) in enumerate(docs):
+        if d is not None:
+            least[found[n][1]] = min(least.get(found[n][1], d), d)
+    want = [(d, least.get(found[n][1]) if d is not None else None) for n, (d, _) in enumerate(docs)]
+    key = lambda p: (p[0] is None, p[0] or 0, p[1] or 0)
+    got = [(r.doc_id, r.component_id) for r in N.digests(table).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    kept = [(r.doc_id, r.text) for r in N.deduplicated(table).collect()]
+    assert sorted(kept, key=str) == sorted([(1, near_a), (2, b), (4, alone), (None, alone), (None, alone), (5, None), (5, "")], key=str)
+
+
+def test_ids_may_be_texts(spark):
+    texts = [*family(5, 3, 200, 1), prose(77, 200)]
+    docs = frame(spark, [(f"d{n}", t) for n, t in enumerate(texts)], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in N.digests(docs).collect()} == {"d0": "d0", "d1": "d0", "d2": "d0", "d3": "d0", "d4": "d4"}
+
+
 def test_odd_and_empty_tables(spark):
     docs = odd(spark)
     got = N.digests(docs).collect()
