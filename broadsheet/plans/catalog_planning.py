@@ -338,14 +338,14 @@ def _landing(spark: SparkSession, sf: str, entry: Column, wrap) -> DataFrame:
     )
 
 
-def _shown(parsed: tuple[DataFrame, DataFrame]) -> DataFrame:
+def shown(parsed: tuple[DataFrame, DataFrame]) -> DataFrame:
     items, errors = parsed
     rows = items.select("source", F.col("item_pos").cast("bigint").alias("item_pos"), "title", "url", "published", "score", "excerpt", F.lit(None).cast("string").alias("error"))
     bad = errors.select("source", *[F.lit(None).cast(t).alias(n) for n, t in (("item_pos", "bigint"), ("title", "string"), ("url", "string"), ("published", "string"), ("score", "double"), ("excerpt", "string"))], "error")
     return rows.unionByName(bad)
 
 
-def feed_payloads(spark: SparkSession, sf: str) -> DataFrame:
+def feed_bodies(spark: SparkSession, sf: str) -> DataFrame:
     """Odd bodies are Atom, even ones RSS."""
     number = F.col("doc_id").cast("string")
     rss = F.concat(
@@ -365,7 +365,11 @@ def feed_payloads(spark: SparkSession, sf: str) -> DataFrame:
             F.concat(F.lit('<rss version="2.0"><channel><title>c</title>'), inside, F.lit("</channel></rss>"))
         )
 
-    return _shown(feeds.parse_feeds(_landing(spark, sf, F.when(odd, atom).otherwise(rss), wrap)))
+    return _landing(spark, sf, F.when(odd, atom).otherwise(rss), wrap)
+
+
+def feed_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(feeds.parse_feeds(feed_bodies(spark, sf)))
 
 
 def _payload_sql(title: str, url: str, published: str, score: str, excerpt: str) -> str:
@@ -396,7 +400,7 @@ def story_payloads(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("2024-01-01T10:00:00Z").alias("created_at"),
         F.lit(7).alias("num_comments"),
     )
-    return _shown(
+    return shown(
         feeds.parse_stories(_landing(spark, sf, entry, lambda e: F.to_json(F.struct(e.alias("hits")))))
     )
 
@@ -420,7 +424,7 @@ def repository_payloads(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("2024-01-01T10:00:00Z").alias("created_at"),
         F.when(number % 3 == 0, F.col("lang")).alias("language"),
     )
-    return _shown(
+    return shown(
         feeds.parse_repositories(_landing(spark, sf, entry, lambda e: F.to_json(F.struct(e.alias("items")))))
     )
 

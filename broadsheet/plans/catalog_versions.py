@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators import gramindex, searchindex
 from broadsheet.plans.catalog_archive import ARCHIVE_SQL, issues
+from broadsheet.plans.catalog_planning import FEED_SQL, feed_bodies, shown
 from broadsheet.plans.catalog_selection import PAIRS_SQL, SECTIONS, SOURCES, THRESHOLD, doc_facts
 from broadsheet.session import materialize, work_path
-from broadsheet.sources import archive, tables, versions
+from broadsheet.sources import archive, feeds, landing, tables, versions
 from broadsheet.streaming import jobs
 from broadsheet.streaming.issues import Paths, Plan, stream_issues
 from broadsheet.streaming.silence import silent_stream
@@ -160,7 +161,28 @@ def stream_plan_issues(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("date", F.col("pos").cast("bigint").alias("pos"), "section", "id", "rank_score")
 
 
+def landed_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """The feeds as files of a landing folder, read and parsed as one batch."""
+    path = work_path(spark, "landed")
+    landing.land(feed_bodies(spark, sf), path)
+    return shown(feeds.parse_feeds(landing.read_bodies(spark, path, "r")))
+
+
+def stream_landed_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """The same folder as a stream: it fills in two parts, and the stream goes on after each."""
+    path = work_path(spark, "landing")
+    bodies = materialize(feed_bodies(spark, sf), "bodies")
+    late = F.xxhash64("source") % 2 == 0
+    for part in (~late, late):
+        landing.land(bodies.where(part), f"{path}/in")
+        rows = shown(feeds.parse_feeds(landing.stream_bodies(spark, f"{path}/in")))
+        jobs.append_to_table(rows, f"{path}/out", f"{path}/log").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+
+
 QUERIES = {
+    "landed_bodies": (landed_bodies, FEED_SQL),
+    "stream_landed_bodies": (stream_landed_bodies, FEED_SQL),
     "archive_versions": (archive_versions, VERSIONS_SQL),
     "search_index_issues": (indexed_issues, INDEXED_ISSUES_SQL),
     "search_index_items": (indexed_items, INDEXED_ITEMS_SQL),

@@ -54,7 +54,7 @@ def run_daily(
     known = dimension(spark, sources, SOURCE)
     entries, errors = parse_landing(landing, known)
     items = normalize(entries, known.select(F.col("name").alias("source"), "strip_patterns"))
-    limits = known.select(F.col("name").alias("source"), F.coalesce("fetch_limit", F.lit(1 << 30)).alias("fetch_limit"))
+    limits = known.select(F.col("name").alias("source"), "fetch_limit")
     # Bodies of a source follow each other: positions go on from body to body.
     if "body_pos" in items.columns:
         items = items.withColumn("item_pos", F.struct("body_pos", "item_pos"))

@@ -46,7 +46,8 @@ _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"
 
 
 def with_landing_error(landing: DataFrame, max_body: int = MAX_BODY) -> DataFrame:
-    """Add ``error`` for bad statuses and bodies above the size cap.
+    """Add ``error`` for bad statuses and bodies above the size cap; a bad status goes before an
+    ``error`` that the landing table has already.
 
     A text has at most as many UTF-16 units as UTF-8 bytes, so only bodies with more bytes
     than the cap are measured.
@@ -55,10 +56,9 @@ def with_landing_error(landing: DataFrame, max_body: int = MAX_BODY) -> DataFram
     ok = F.col("status").between(200, 299)
     sized = landing.withColumn("_size", size)
     too_large = F.format_string("response too large: %d chars > %d", "_size", F.lit(max_body))
-    return sized.withColumn(
-        "error",
-        F.when(~ok, F.format_string("HTTP %d", "status")).when(F.col("_size") > max_body, too_large),
-    ).drop("_size")
+    known = F.col("error") if "error" in landing.columns else F.lit(None).cast("string")
+    error = F.when(~ok, F.format_string("HTTP %d", "status")).when(known.isNotNull(), known)
+    return sized.withColumn("error", error.when(F.col("_size") > max_body, too_large)).drop("_size")
 
 
 def _feed_link(entry: Column) -> Column:
