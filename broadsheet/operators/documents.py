@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from broadsheet.functions.text import escape_markdown, trim_space, truncate
 from broadsheet.functions.urls import host_name
 from broadsheet.operators.responses import effective_body
+from broadsheet.session import let
 
 # Channels read as notifications, digest headings, size limits and labels.
 PUSH_CHANNELS = ["wecom", "telegram", "serverchan", "pushplus", "wxpusher"]
@@ -191,56 +190,38 @@ def assemble(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _width(text: str, unit: str) -> int:
-    return len(text.encode("utf-8")) if unit == "bytes" else len(text)
+def _width(text: Column, unit: str) -> Column:
+    return F.octet_length(text) if unit == "bytes" else F.char_length(text)
 
 
-def _pieces(block: str, limit: int, unit: str) -> list[str]:
-    """A block that fits nowhere, cut between characters."""
+def _pieces(block: Column, limit: int, unit: str) -> Column:
+    """A block that fits nowhere, cut between characters by one pattern in one pass.
+
+    For bytes the pattern sees each byte as a letter: as many as the limit allows, but not up to
+    a byte that goes on with a character; a character wider than the limit stands alone.
+    """
     if unit == "chars":
-        return [block[i : i + limit] for i in range(0, len(block), limit)]
-    out, data, start = [], block.encode("utf-8"), 0
-    while start < len(data):
-        end = min(start + limit, len(data))
-        while end < len(data) and end > start and (data[end] & 0xC0) == 0x80:
-            end -= 1
-        if end == start:
-            # One character wider than the limit stands alone.
-            end = start + 1
-            while end < len(data) and (data[end] & 0xC0) == 0x80:
-                end += 1
-        out.append(data[start:end].decode("utf-8"))
-        start = end
-    return out
+        return F.regexp_extract_all(block, F.lit(f"(?s).{{1,{limit}}}"), F.lit(0))
+    pattern = rf"(?s).{{1,{limit}}}(?![\x80-\xBF])|.[\x80-\xBF]*"
+    letters = F.decode(F.encode(block, "UTF-8"), "ISO-8859-1")
+    found = F.regexp_extract_all(letters, F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda p: F.decode(F.encode(p, "ISO-8859-1"), "UTF-8"))
 
 
-def _pack(blocks: list[str], limit: int, unit: str, separator: str) -> list[str]:
-    out: list[str] = []
-    open_blocks: list[str] = []
-    size, gap = 0, _width(separator, unit)
+def _starts(pieces: Column, limit: int, gap: int) -> Column:
+    """Where chunks begin among the pieces (text, width, whole), counted from 1: a fold over the
+    size of the open chunk, which is -1 where none is open."""
 
-    def close() -> None:
-        if open_blocks:
-            out.append(separator.join(open_blocks))
-            open_blocks.clear()
+    def step(state: Column, piece: Column) -> Column:
+        joins = piece["whole"] & (state["size"] >= 0) & (state["size"] + gap + piece["width"] <= limit)
+        return F.struct(
+            (state["at"] + 1).alias("at"),
+            F.when(joins, state["size"] + gap + piece["width"]).when(piece["whole"], piece["width"]).otherwise(-1).alias("size"),
+            F.when(joins, state["starts"]).otherwise(F.concat(state["starts"], F.array(state["at"]))).alias("starts"),
+        )
 
-    for block in blocks:
-        width = _width(block, unit)
-        if not block:
-            continue
-        if width > limit:
-            close()
-            size = 0
-            out.extend(_pieces(block, limit, unit))
-        elif open_blocks and size + gap + width <= limit:
-            open_blocks.append(block)
-            size += gap + width
-        else:
-            close()
-            open_blocks.append(block)
-            size = width
-    close()
-    return out
+    zero = F.struct(F.lit(1).alias("at"), F.lit(-1).alias("size"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(pieces, zero, step, lambda state: state["starts"])
 
 
 def pack_blocks(
@@ -248,16 +229,31 @@ def pack_blocks(
 ) -> Column:
     """Pack a document's blocks, in order and unbroken, into chunks of at most ``limit``.
 
-    A document is one row, so this is a vectorised per-row function and moves no data.
+    A document is one row, so nothing moves. Null and empty blocks are passed over, a null list
+    stays null.
     """
+    gap = len(separator.encode()) if unit == "bytes" else len(separator)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pack(column: pd.Series) -> pd.Series:
-        return column.map(
-            lambda b: None if b is None else _pack(list(b), limit, unit, separator)
+    def cut(block: Column) -> Column:
+        width = _width(block, unit)
+        whole = F.array(F.struct(block.alias("text"), width.alias("width"), F.lit(True).alias("whole")))
+        alone = F.transform(
+            _pieces(block, limit, unit),
+            lambda p: F.struct(p.alias("text"), F.lit(0).alias("width"), F.lit(False).alias("whole")),
         )
+        return F.when(width <= limit, whole).otherwise(alone)
+
+    def chunks(pieces: Column) -> Column:
+        def join(starts: Column) -> Column:
+            def chunk(start: Column, i: Column) -> Column:
+                after = F.coalesce(F.get(starts, i + 1), F.size(pieces) + 1)
+                return F.array_join(F.slice(pieces, start, after - start)["text"], separator)
+
+            return F.transform(starts, chunk)
+
+        return let(_starts(pieces, limit, gap), join)
 
-    return pack(blocks)
+    return let(F.flatten(F.transform(F.filter(blocks, lambda b: b != ""), cut)), chunks)
 
 
 def paragraphs(text: Column) -> Column:

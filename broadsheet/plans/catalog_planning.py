@@ -308,6 +308,30 @@ def packed_bytes(spark: SparkSession, sf: str) -> DataFrame:
 
 PACKED_BYTES_SQL = r"SELECT doc_id, true AS fits, length(regexp_replace(text, '\s', '', 'g')) AS letters FROM documents"
 
+
+
+def packed_byte_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of at most 4096 bytes, of lines; longer lines are cut between characters."""
+    docs = tables.table(spark, sf, "documents")
+    chunks = documents.pack_blocks(F.split("text", "\n"), 4096, "bytes")
+    return docs.select("doc_id", F.posexplode(chunks).alias("n", "chunk")).withColumn("n", F.col("n").cast("bigint"))
+
+
+PACKED_CHUNKS_SQL = r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+c AS (SELECT doc_id, pos, unnest(regexp_extract_all(x, '(?s).')) AS ch, generate_subscripts(regexp_extract_all(x, '(?s).'), 1) AS i FROM l WHERE strlen(x) > 4096),
+u AS (SELECT doc_id, pos, list(ch ORDER BY i) AS chars, list(e ORDER BY i) AS ends
+  FROM (SELECT *, sum(strlen(ch)) OVER (PARTITION BY doc_id, pos ORDER BY i) AS e FROM c) GROUP BY doc_id, pos),
+cut AS (SELECT doc_id, pos, 0::BIGINT AS a, len(list_filter(ends, lambda e: e <= 4096)) AS b FROM u
+  UNION ALL SELECT cut.doc_id, cut.pos, cut.b, len(list_filter(u.ends, lambda e: e <= u.ends[cut.b] + 4096))
+  FROM cut JOIN u ON u.doc_id = cut.doc_id AND u.pos = cut.pos WHERE cut.b < len(u.chars)),
+pieces AS (SELECT cut.doc_id, cut.pos, a, array_to_string(chars[a + 1 : b], '') AS x, false AS whole FROM cut JOIN u ON u.doc_id = cut.doc_id AND u.pos = cut.pos
+  UNION ALL SELECT doc_id, pos, 0, x, true FROM l WHERE strlen(x) BETWEEN 1 AND 4096),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, a) AS i FROM pieces),
+walk AS (SELECT doc_id, i, 0::BIGINT AS n, CASE WHEN whole THEN strlen(x) ELSE -1 END AS size FROM p WHERE i = 1
+  UNION ALL SELECT doc_id, i, CASE WHEN fits THEN n ELSE n + 1 END, CASE WHEN fits THEN size + 2 + strlen(x) WHEN whole THEN strlen(x) ELSE -1 END
+  FROM (SELECT p.*, w.n, w.size, p.whole AND w.size >= 0 AND w.size + 2 + strlen(p.x) <= 4096 AS fits FROM walk w JOIN p ON p.doc_id = w.doc_id AND p.i = w.i + 1))
+SELECT p.doc_id, walk.n, string_agg(p.x, chr(10) || chr(10) ORDER BY p.i) AS chunk FROM p JOIN walk ON walk.doc_id = p.doc_id AND walk.i = p.i GROUP BY p.doc_id, walk.n"""
+
 LANDED_AT = "2024-02-01 00:00:00"
 PER_BODY = 10
 
@@ -461,6 +485,7 @@ QUERIES = {
     "audience_documents": (audience_documents, AUDIENCE_SQL),
     "pack_chunks": (packed, PACKED_SQL),
     "pack_bytes": (packed_bytes, PACKED_BYTES_SQL),
+    "pack_byte_chunks": (packed_byte_chunks, PACKED_CHUNKS_SQL),
     "feed_payloads": (feed_payloads, FEED_SQL),
     "story_payloads": (story_payloads, STORY_SQL),
     "repository_payloads": (repository_payloads, REPOSITORY_SQL),

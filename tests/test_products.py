@@ -103,6 +103,42 @@ def test_packing_keeps_order_and_size(spark, unit, limit):
     assert "".join(chunks).replace("|", "") == "".join(blocks)
 
 
+def packed(blocks, limit, unit, separator):
+    """Chunks by walking over the characters."""
+    width = (lambda s: len(s.encode())) if unit == "bytes" else len
+    out, open_ = [], ""
+    for block in filter(None, blocks):
+        if width(block) > limit:
+            out += [open_] if open_ else []
+            open_, piece = "", ""
+            for c in block:
+                if piece and width(piece + c) > limit:
+                    out.append(piece)
+                    piece = ""
+                piece += c
+            out.append(piece)
+        elif open_ and width(open_ + separator + block) <= limit:
+            open_ += separator + block
+        else:
+            out += [open_] if open_ else []
+            open_ = block
+    return out + ([open_] if open_ else [])
+
+
+@pytest.mark.parametrize("unit", ["bytes", "chars"])
+def test_packing_equals_a_walk_over_characters(spark, unit):
+    rnd = random.Random(8)
+    lists = [["".join(rnd.choice("abé汉🙂 \r\n\x85\xa0") for _ in range(rnd.randrange(0, 40))) for _ in range(rnd.randrange(9))] for _ in range(150)]
+    lists += [[], [""], [None, "a"], ["x" * 300, "y"], ["🙂" * 9], ["a", "汉" * 50, "b", "c"]]
+    rows = spark.createDataFrame([(n, b) for n, b in enumerate(lists)], "n int, b array<string>")
+    for limit in (1, 2, 3, 7, 30, 64):
+        for separator in ("\n\n", "", "·"):
+            got = rows.select("n", documents.pack_blocks(F.col("b"), limit, unit, separator).alias("c")).collect()
+            for r in got:
+                assert r.c == packed(lists[r.n], limit, unit, separator), (limit, separator, lists[r.n])
+    assert spark.createDataFrame([(None,)], "b array<string>").select(documents.pack_blocks(F.col("b"))).first()[0] is None
+
+
 def test_packing_edges(spark):
     pack = lambda b, n: spark.createDataFrame([(b,)], "b array<string>").select(documents.pack_blocks(F.col("b"), n)).first()[0]
     assert pack(["a" * 4096], 4096) == ["a" * 4096]
