@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from broadsheet.functions import text as tx
 from broadsheet.functions.times import published_at
 from broadsheet.functions.urls import item_id
-from broadsheet.operators.topk import top_k
+from broadsheet.operators.topk import places, top_k
 from broadsheet.session import materialize
 
 
@@ -47,21 +46,11 @@ def normalize(
 
 
 def _arrivals(items: DataFrame) -> DataFrame:
-    """``items`` with their 1-based place in each run and source, numbered by ranges: no task
-    sees more of a source than its range."""
+    """``items`` with their 1-based place in each run and source, numbered by ranges."""
     keys = ["run_id", "source"]
     ranged = items.repartitionByRange(*keys, "item_pos").sortWithinPartitions(*keys, "item_pos")
     ranged = materialize(ranged.withColumn("_n", F.monotonically_increasing_id()), "arrivals")
-    part = F.shiftright("_n", 33).alias("_part")
-    parts = ranged.groupBy(*keys, part).agg(F.min("_n").alias("_least"), F.count(F.lit(1)).alias("_rows"))
-    # One row for each source and range that it reaches.
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    parts = parts.withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = F.col("run_id").eqNullSafe(F.col("_run_id")) & (F.col("source") == F.col("_source"))
-    placed = ranged.withColumn("_at", F.shiftright("_n", 33)).join(parts, same & (F.col("_at") == F.col("_part")))
-    arrival = (F.col("_n") - F.col("_least") + F.col("_before") + 1).alias("arrival")
-    return placed.select(*items.columns, arrival)
+    return places(ranged, "_n", keys, "arrival").drop("_n")
 
 
 def first_per_source(items: DataFrame, limits: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from broadsheet.operators import dedupe, filters, health, normalize, ranking
+from broadsheet.operators.topk import places
 from broadsheet.plans.catalog_texts import DOCS_SQL, SQL_SPACE, sql_numbers, sql_title_key
 from broadsheet.sources import tables
 from broadsheet.session import dimension, materialize
@@ -395,26 +395,18 @@ hnear AS (SELECT DISTINCT node FROM (SELECT p.node FROM posts p JOIN hposts h ON
 
 
 def trust_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Each source's rank, its first and last document by trust, and how many keys it has."""
-    docs = dedupe.with_trust_key(placed_documents(spark, sf), DOC_SOURCES)
-    numbered = docs.groupBy("source", "source_rank").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.countDistinct("trust").alias("n_trust"),
-        F.min_by("doc_id", "trust").alias("first_doc"),
-        F.max_by("doc_id", "trust").alias("last_doc"),
-        F.min("trust").alias("_first"),
-    )
-    # One row a source: their number is that of the configuration and the feeds.
-    place = F.row_number().over(Window.orderBy("_first"))
-    return numbered.withColumn("place", place).drop("_first")
+    """Each document's place by trust, over all and inside its source, and its source's rank."""
+    docs = dedupe.with_trust_key(placed_documents(spark, sf), DOC_SOURCES).select("doc_id", "source", "source_rank", "trust")
+    inside = places(docs, "trust", ["source"], "place_in_source")
+    return places(inside, "trust", [], "place").drop("trust")
 
 
 TRUST_SQL = f"""WITH {DOCS_SQL}, {_DOC_SOURCES_SQL}, r AS (SELECT name, dense_rank() OVER (ORDER BY -weight, source_pos) - 1 AS source_rank
    FROM (SELECT * FROM doc_sources UNION ALL SELECT NULL, 15, 1.0))
-SELECT *, row_number() OVER (ORDER BY source_rank, source) AS place FROM (
-  SELECT source, coalesce(r.source_rank, (SELECT source_rank FROM r WHERE name IS NULL)) AS source_rank,
-    count(*) AS n, count(*) AS n_trust, min(item_pos) AS first_doc, max(item_pos) AS last_doc
-  FROM docs LEFT JOIN r ON r.name = docs.source GROUP BY ALL)"""
+SELECT item_pos AS doc_id, source, source_rank, row_number() OVER (PARTITION BY source ORDER BY item_pos) AS place_in_source,
+  row_number() OVER (ORDER BY source_rank, source, item_pos) AS place FROM (
+  SELECT source, item_pos, coalesce(r.source_rank, (SELECT source_rank FROM r WHERE name IS NULL)) AS source_rank
+  FROM docs LEFT JOIN r ON r.name = docs.source)"""
 
 
 def published(spark: SparkSession, sf: str) -> DataFrame:
