@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.functions.times import published_at
 from broadsheet.operators import documents, planning, responses
+from broadsheet.operators.normalize import source_outcomes
 from broadsheet.operators.planning import Budget, Gate
 from broadsheet.plans.catalog_selection import sql_rows
 from broadsheet.plans.catalog_texts import sql_truncate
 from broadsheet.schema import SOURCE
-from broadsheet.session import dimension
+from broadsheet.session import dimension, materialize
 from broadsheet.sources import feeds, tables
 
 PER_RUN = 40
@@ -396,6 +398,22 @@ def feed_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return shown(feeds.parse_feeds(feed_bodies(spark, sf)))
 
 
+def landed_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """The outcome of each landed source with the errors that statuses and the parser gave."""
+    landing = materialize(feed_bodies(spark, sf), "bodies")
+    entries, errors = feeds.parse_feeds(landing)
+    items = entries.withColumn("published_at", published_at(F.col("published"), F.col("run_time")))
+    outcomes = source_outcomes(landing.select("run_id", "source"), items, errors)
+    latest = F.date_format("latest_published_at", "yyyy-MM-dd HH:mm:ss").alias("latest")
+    return outcomes.select("source", "n_items", latest, "error")
+
+
+LANDED_OUTCOMES_SQL = f"""WITH d AS (SELECT doc_id // {PER_BODY} AS body_no, count(*) AS n FROM documents GROUP BY 1),
+e AS (SELECT *, CASE WHEN body_no % 11 = 5 THEN 'HTTP 503' WHEN body_no % 7 = 3 THEN 'body could not be parsed' END AS error FROM d)
+SELECT 'source-' || body_no AS source, CASE WHEN error IS NULL THEN n ELSE 0 END AS n_items,
+  CASE WHEN error IS NULL THEN '2024-01-01 10:00:00' END AS latest, error FROM e"""
+
+
 def _payload_sql(title: str, url: str, published: str, score: str, excerpt: str) -> str:
     return rf"""WITH d AS (SELECT *, doc_id // {PER_BODY} AS body_no, doc_id % {PER_BODY} AS item_pos FROM documents)
 SELECT 'source-' || body_no AS source, item_pos, {title} AS title, {url} AS url, {published} AS published, {score} AS score, {excerpt} AS excerpt, NULL AS error
@@ -487,6 +505,7 @@ QUERIES = {
     "pack_bytes": (packed_bytes, PACKED_BYTES_SQL),
     "pack_byte_chunks": (packed_byte_chunks, PACKED_CHUNKS_SQL),
     "feed_payloads": (feed_payloads, FEED_SQL),
+    "landed_outcomes": (landed_outcomes, LANDED_OUTCOMES_SQL),
     "story_payloads": (story_payloads, STORY_SQL),
     "repository_payloads": (repository_payloads, REPOSITORY_SQL),
     "payload_size_guard": (size_guard, GUARD_SQL),
