@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet.llm.fmindex import FMIndex
+from broadsheet.llm.shipping import received, shared
 from broadsheet.llm.words import SYMBOLS, sliced, word_hashes
 from broadsheet.sources.tables import table
 
@@ -198,7 +199,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_te
     for block in range(blocks):
         rows = known.filter(F.pmod(F.xxhash64("id", "words"), F.lit(blocks)) == block).collect()
         found = sorted(((r.id, np.array(r.words, np.int64).view(np.uint64)) for r in rows), key=lambda item: item[0])
-        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(found, size))
+        phrases = shared(docs.sparkSession.sparkContext, Phrases(found, size))
 
         last = cut and block == blocks - 1
 
@@ -208,10 +209,10 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_te
                 held.append(batch)
                 bytes_held += batch.column(text).nbytes
                 if bytes_held > 6 * SHARD:
-                    yield from _shard(held, text, phrases.value, last)
+                    yield from _shard(held, text, received(phrases), last)
                     held, bytes_held = [], 0
             if held:
-                yield from _shard(held, text, phrases.value, last)
+                yield from _shard(held, text, received(phrases), last)
 
         docs = docs.mapInArrow(run, schema)
     return docs

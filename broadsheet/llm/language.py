@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.llm.shipping import received, shared
 from broadsheet.llm.words import LETTERS as BYTES
 from broadsheet.llm.words import SYMBOLS, buffers, mix, sliced
 from broadsheet.session import materialize
@@ -123,12 +124,12 @@ def fitted(texts: DataFrame, language: str = "lang", text: str = "text", key: st
 
 def text_evidence(docs: DataFrame, model: TextModel, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``_text`` (log likelihoods) and ``_runs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession.sparkContext, model)
     kept = [c for c in docs.columns if c not in (text, "_text", "_runs")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text):
-            scores, number = shared.value.score(batch.column(text))
+            scores, number = received(sent).score(batch.column(text))
             ends = pa.array(np.arange(len(scores) + 1, dtype=np.int32) * scores.shape[1])
             lists = pa.ListArray.from_arrays(ends, pa.array(scores.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists, pa.array(number)], names=[*kept, "_text", "_runs"])

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.llm.arrays import Run, Sorted, write
+from broadsheet.llm.shipping import received, shared
 from broadsheet.llm.words import SPACES, mix, sliced, word_hashes
 from broadsheet.session import work_path
 from broadsheet.sources.tables import table
@@ -139,7 +140,7 @@ def _pairs(numbers: np.ndarray, rows: np.ndarray, start: int) -> tuple[np.ndarra
 
 def _count_pairs(docs: DataFrame, text: str, folder: str, words: Vocabulary) -> tuple[list[Run], np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vocabulary(folder, *parts.value)
+        known = Vocabulary(folder, *received(parts))
         held, n = [], 0
 
         def batch() -> pa.RecordBatch:
@@ -177,7 +178,7 @@ def _count_pairs(docs: DataFrame, text: str, folder: str, words: Vocabulary) ->
         often = np.bincount(np.minimum(counts, 5), minlength=6)
         return pa.table({"first": [int(keys[0])], "rows": [len(keys)], "name": [name], "often": [often[1:5].tolist()]})
 
-    parts = docs.sparkSession.sparkContext.broadcast((words.runs, [int(x) for x in np.diff(words.before)], words.texts))
+    parts = shared(docs.sparkSession.sparkContext, (words.runs, [int(x) for x in np.diff(words.before)], words.texts))
     blocks = docs.select(text).mapInArrow(count, "shard bigint, pairs binary, counts binary")
     files = blocks.groupBy("shard").applyInArrow(merge, "first bigint, rows bigint, name string, often array<bigint>").collect()
     return [Run(f["first"], f["rows"], f["name"], PAIRS) for f in files], sum((np.array(f.often) for f in files), np.zeros(4, np.int64))
@@ -291,13 +292,13 @@ def scored(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
     pairs, pair_often = _count_pairs(learned, text, folder, words) if words.size else ([], np.zeros(4, np.int64))
     firsts, seconds, word_often, word_more = _word_figures(spark, folder, pairs)
     parts = (words.runs, [int(x) for x in np.diff(words.before)], words.texts)
-    model = spark.sparkContext.broadcast((folder, parts, pairs, firsts, seconds, pair_often, word_often, word_more))
+    model = shared(spark.sparkContext, (folder, parts, pairs, firsts, seconds, pair_often, word_often, word_more))
     total = words.total
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [c for c in docs.columns if c != text and c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model(*model.value)
+        known = Model(*received(model))
         for b in sliced(batches, text):
             n, seen, base, score = known.score(b.column(text))
             values = [pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(np.full(len(n), total), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]

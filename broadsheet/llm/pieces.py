@@ -27,11 +27,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from broadsheet.llm.shipping import received, shared
 from broadsheet.llm.words import sliced
 from broadsheet.sources.tables import table
 
@@ -296,13 +296,10 @@ class Coder:
 def coded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array of int) and ``decoded`` (the ids' text)."""
     docs = docs.drop(*({"ids", "decoded"} - {text}))
-    pieces = docs.sparkSession.sparkContext.broadcast([cloudpickle.dumps(Pieces(path))])
+    pieces = shared(docs.sparkSession.sparkContext, Pieces(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pieces.value
-        if isinstance(held[0], bytes):  # the first task of a worker process
-            held[0] = cloudpickle.loads(held[0])
-        coder = held[0].coder()
+        coder = received(pieces).coder()
         for batch in sliced(batches, text):
             added = coder.batch(batch.column(text))
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "ids", "decoded"])

@@ -21,7 +21,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,7 +45,7 @@ KINDS = ["assign", "access", "hex", "opaque"]
 
 OPAQUE = re.compile(r"[A-Za-z0-9_-]{24,}")
 ALPHABETS = [(re.compile(p), n) for p, n in (("[0-9]+", 10), ("[0-9a-f]+|[0-9A-F]+", 16), ("[a-z]+|[A-Z]+", 26), ("[0-9a-z]+|[0-9A-Z]+", 36), ("[0-9A-Za-z]+", 62))]
-SHORT = 64
+SHORTEST, SHORT = 12, 64
 PLACEHOLDER = re.compile(r"example|sample|dummy|test|changeme|your|xxxx|(.)\1{5}", re.IGNORECASE)
 
 SPAN = "struct<kind:string,start:bigint,end:bigint,digest:string,alive:boolean,base:boolean>"
@@ -57,7 +56,6 @@ def _entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
-@cache
 def _random_entropy(n: int, letters: int) -> float:
     """The entropy of a random value of ``n`` letters less four standard deviations."""
     bits = [-c / n * math.log2(c / n) if c else 0.0 for c in range(n + 1)]
@@ -72,6 +70,16 @@ def _random_entropy(n: int, letters: int) -> float:
     return letters * mean - 4 * math.sqrt(max(0.0, variance))
 
 
+#: ``_random_entropy`` by length and letters, filled on the driver before the scan ships it.
+_REACHED: dict[tuple[int, int], float] = {}
+
+
+def _reached(n: int, letters: int) -> float:
+    if (n, letters) not in _REACHED:
+        _REACHED[n, letters] = _random_entropy(n, letters)
+    return _REACHED[n, letters]
+
+
 def _alphabet(value: str) -> int:
     """How many letters the smallest usual alphabet of a value has."""
     for pattern, letters in ALPHABETS:
@@ -82,7 +90,7 @@ def _alphabet(value: str) -> int:
 
 def _least(kind: str, value: str) -> float:
     # Random values of more letters reach the fixed bound in any alphabet.
-    return min(ENTROPY[kind], _random_entropy(len(value), _alphabet(value))) if len(value) <= SHORT else ENTROPY[kind]
+    return min(ENTROPY[kind], _reached(len(value), _alphabet(value))) if len(value) <= SHORT else ENTROPY[kind]
 
 
 def _alive(kind: str, value: str) -> bool:
@@ -113,6 +121,9 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in (text, "found")]
     schema = docs.select(*kept).schema.add("found", T.DataType.fromDDL(f"array<{SPAN}>"))
 
+    for letters in (64, *(n for _, n in ALPHABETS)):
+        for n in range(SHORTEST, SHORT + 1):
+            _reached(n, letters)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.string()), ("alive", pa.bool_()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
