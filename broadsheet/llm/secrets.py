@@ -1,17 +1,22 @@
 """Secret scans judged by corpus-wide ownership frequency.
 
 Each whole text is scanned for candidates; a digest of every candidate value is counted over
-distinct owners and repositories. A value that several owners carry is a widely copied
-example; one that few owners carry and that looks alive (varied letters, no placeholder) is
-a live credential. Values that stand without a telling name are candidates too (kind
-``opaque``): they are reported only if they belong to few owners.
+distinct owners and repositories. A value that more than ``OWNERS`` owners or more than
+``REPOSITORIES`` repositories carry is a widely copied example; one that few carry and that
+looks alive (varied letters, no placeholder) is a live credential. Values that stand without a
+telling name are candidates too (kind ``opaque``): they are reported only if they are live.
 
-Counting goes owner by owner before it goes value by value, both with partial sums on the map
-side, so a value in a third of all documents costs one row a task. The scan is written once
-to the shared folder with a row number; both later passes read that table.
+Copies of one text (by a 64-bit hash) count once, for the smallest owner and repository that
+has one: a document that others copied whole does not make its credential an example.
+
+Counting goes copy by copy, then owner by owner, then value by value, all with partial sums on
+the map side, so a value in a third of all documents costs one row a task and text. The scan is
+written once to the shared folder with a row number; both later passes read that table.
 
 Null and empty texts have no candidates. A null owner is one owner. A null repository
-counts as one repository of its owner. Every row gives one row, repeated rows too.
+counts as one repository of its owner. Every row gives one row, repeated rows too. Columns of
+any name stay, but for the text and a column named ``found``, which ``secrets`` replaces;
+``redacted`` keeps that one too.
 """
 
 from __future__ import annotations
@@ -31,8 +36,8 @@ from broadsheet.llm.words import sliced
 from broadsheet.session import materialize
 from broadsheet.sources.tables import table
 
-#: A value that more owners carry is an example.
-OWNERS = 2
+#: A value that more owners carry is an example, or more repositories, whoever owns them.
+OWNERS, REPOSITORIES = 2, 20
 #: Bits a letter that a live value has at least; a short value, whose letters cannot vary as
 #: much, only what nearly all random values of its length and alphabet have.
 ENTROPY = {"assign": 3.0, "access": 3.0, "hex": 3.0, "opaque": 3.5}
@@ -135,9 +140,12 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """digest -> n_owners, n_repositories over rows of (digest, owner, repository)."""
+    """digest -> n_owners, n_repositories over rows of (digest, copy, owner, repository); rows of
+    one digest and copy count as the smallest of them."""
     return (
-        found.select("digest", "owner", "repository")
+        found.groupBy("digest", "copy")
+        .agg(F.min(F.struct("owner", "repository")).alias("first"))
+        .select("digest", "first.owner", "first.repository")
         .distinct()
         .groupBy("digest", "owner")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -146,43 +154,59 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
-def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", text: str = "text", owners: int = OWNERS) -> DataFrame:
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def secrets(
+    docs: DataFrame, owner: str = "source", repository: str = "doc_id", text: str = "text", owners: int = OWNERS, repositories: int = REPOSITORIES
+) -> DataFrame:
     """``docs`` without its text, with ``found``: array of (kind, start, end, base, verdict,
     n_owners, n_repositories); verdict is live, example or placeholder. Opaque candidates
     stay only if live."""
-    table_ = materialize(
-        scanned(docs.withColumn("_row", F.monotonically_increasing_id()), text),
-        "secrets",
-    )
+    row, copy = _free(docs, "_row", "_copy")
+    numbered = docs.withColumns({row: F.monotonically_increasing_id(), copy: F.xxhash64(text)})
+    table_ = materialize(scanned(numbered, text), "secrets")
     spans = table_.select(
-        "_row",
+        F.col(row).alias("_row"),
+        F.col(copy).alias("copy"),
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
         F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"),
         F.explode("found").alias("f"),
-    ).select("_row", "owner", "repository", "f.*")
+    ).select("_row", "copy", "owner", "repository", "f.*")
     counts = materialize(ownership(spans), "owners")
-    verdict = F.when(~F.col("alive"), "placeholder").when(F.col("n_owners") > owners, "example").otherwise("live")
+    copied = (F.col("n_owners") > owners) | (F.col("n_repositories") > repositories)
+    verdict = F.when(~F.col("alive"), "placeholder").when(copied, "example").otherwise("live")
     judged = (
-        spans.drop("owner", "repository")
+        spans.drop("copy", "owner", "repository")
         .join(counts, "digest")
         .withColumn("verdict", verdict)
         .filter(F.col("base") | (F.col("verdict") == "live"))
         .withColumn("order", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))
         .groupBy("_row")
         .agg(F.sort_array(F.collect_list(F.struct("start", "order", "kind", "end", "base", "verdict", "n_owners", "n_repositories"))).alias("found"))
+        .withColumnRenamed("_row", row)
     )
     none = F.array().cast(judged.schema["found"].dataType)
-    return table_.drop("found").join(judged, "_row", "left").withColumn("found", F.coalesce("found", none)).drop("_row")
+    return table_.drop("found", copy).join(judged, row, "left").withColumn("found", F.coalesce("found", none)).drop(row)
 
 
 def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id", text: str = "text", mask: str = "<secret>") -> DataFrame:
     """``docs`` with live credentials masked in ``text``; all rows and columns stay."""
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(repository).cast("string"), F.lit("")), "_hash": F.xxhash64(text)})
+    key, digest, spans = _free(docs, "_id", "_hash", "_live")
+    keyed = docs.withColumns({key: F.coalesce(F.col(repository).cast("string"), F.lit("")), digest: F.xxhash64(text)})
     live = (
-        secrets(keyed, owner, repository, text)
-        .select("_id", "_hash", F.filter("found", lambda f: f["verdict"] == "live").alias("_live"))
-        .filter(F.size("_live") > 0)
-        .dropDuplicates(["_id", "_hash"])
+        secrets(keyed.select(key, digest, *dict.fromkeys((owner, repository, text))), owner, repository, text)
+        .select(key, digest, F.filter("found", lambda f: f["verdict"] == "live").alias(spans))
+        .filter(F.size(spans) > 0)
+        .dropDuplicates([key, digest])
     )
     # Overlapping spans of different kinds are cut once: what is behind the last cut is kept.
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
@@ -196,9 +220,9 @@ def redacted(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
             F.greatest(span["end"], state["at"]).alias("at"),
         )
 
-    masked = F.aggregate("_live", start, cut, lambda s: F.concat(s["done"], F.substr(F.col(text), (s["at"] + 1).cast("int"))))
-    joined = keyed.join(live, ["_id", "_hash"], "left")
-    return joined.withColumn(text, F.when(F.col("_live").isNotNull(), masked).otherwise(F.col(text))).select(*docs.columns)
+    masked = F.aggregate(spans, start, cut, lambda s: F.concat(s["done"], F.substr(F.col(text), (s["at"] + 1).cast("int"))))
+    joined = keyed.join(live, [key, digest], "left")
+    return joined.withColumn(text, F.when(F.col(spans).isNotNull(), masked).otherwise(F.col(text))).select(*docs.columns)
 
 
 def _joined(spans) -> Column:
@@ -210,7 +234,8 @@ def _count(field: str, value: str) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document: base counts, digest of the base spans, all spans and the live ones."""
+    """Per document: base counts, digest of the base spans, all spans and the live ones, and of
+    all spans the owners and repositories that carry the value."""
     found = secrets(docs.select("doc_id", "source", "text"))
     counts = [_count("kind", k).alias(f"n_{k}") for k in KINDS]
     base = F.filter("found", lambda f: f["base"])
@@ -222,6 +247,7 @@ def digests(docs: DataFrame) -> DataFrame:
         _joined(F.col("found")).alias("spans"),
         _joined(live).alias("live_spans"),
         _count("verdict", "example").alias("n_example"),
+        F.concat_ws(",", F.transform("found", lambda f: F.concat_ws(":", f["n_owners"].cast("string"), f["n_repositories"].cast("string")))).alias("carriers"),
     )
 
 

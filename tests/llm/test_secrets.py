@@ -35,7 +35,7 @@ def documents():
         "deadbeef" * 2 + "g" + "0" * 15,
         "api_key: 'xxxxxxxxxxxxxxxx'",
         "plain Zq8Lw2Rk9Tn4Vb7Yx3Mc6Hd1Pf5 end",
-        *(f"token = {COPIED}" for _ in range(6)),
+        *(f"token = {COPIED} in copy {'abcdef'[k]}" for k in range(6)),
         *ODD,
         prose(1, 3000),
     ]
@@ -56,10 +56,16 @@ def test_base_spans_and_verdicts(spark):
 
 
 def test_counting_equals_plain_counting(spark):
-    seen = [(f"d{i % 7}", f"o{i % 3}", f"r{i % 5}") for i in range(200)]
-    got = {r.digest: (r.n_owners, r.n_repositories) for r in S.ownership(frame(spark, seen, "digest string, owner string, repository string")).collect()}
+    pick = random.Random(2)
+    seen = [(f"d{pick.randrange(7)}", f"o{pick.randrange(3)}", f"r{pick.randrange(5)}", pick.randrange(30)) for _ in range(200)]
+    rows = frame(spark, seen, "digest string, owner string, repository string, copy bigint")
+    got = {r.digest: (r.n_owners, r.n_repositories) for r in S.ownership(rows).collect()}
+    assert set(got) == {s[0] for s in seen}
     for digest in got:
-        mine = {(o, r) for d, o, r in seen if d == digest}
+        first = {}
+        for _, o, r, copy in sorted(s for s in seen if s[0] == digest):
+            first.setdefault(copy, (o, r))
+        mine = set(first.values())
         assert got[digest] == (len({o for o, _ in mine}), len(mine))
 
 
@@ -68,7 +74,7 @@ def test_masking_live_credentials_alone(spark):
     docs = frame(spark, data, "doc_id bigint, text string, source string")
     out = {r.doc_id: r.text for r in S.redacted(docs).collect()}
     assert out[0] == 'é <secret>" x' and out[1] == "<secret>"
-    assert out[8] == f"token = {COPIED}" and out[7] == "plain <secret> end"
+    assert out[8] == f"token = {COPIED} in copy a" and out[7] == "plain <secret> end"
     assert all(out[i] == t for i, t, _ in data if not base(t) and i != 7)
 
 
@@ -87,3 +93,59 @@ def test_short_random_values_are_alive():
         assert sum(not S._alive(kind, v) for v in values) <= len(values) // 500
     dull = [("hex", "deadbeef" * 2), ("hex", "0101010101010101"), ("assign", "abababababab"), ("assign", "123123123123"), ("assign", "aaaabbbbcccc")]
     assert not any(S._alive(kind, v) for kind, v in dull)
+
+
+def judged(data):
+    """All spans with their verdicts, read plainly: data are (id, text, source)."""
+    seen, carried = [], {}
+    for i, text, source in data:
+        text = text or ""
+        mine = [(m.start(), 0, "assign", m.end(), m[1]) for m in re.finditer(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 12]
+        mine += [(m.start(), 1, "access", m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        mine += [(m.start(), 2, "hex", m.end(), m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        for m in re.finditer(r"[A-Za-z0-9_-]{24,}", text):
+            kinds = {"d" if c in "0123456789" else "l" if c in "abcdefghijklmnopqrstuvwxyz" else "u" for c in m[0] if c not in "_-"}
+            if len(kinds) == 3 and all(e <= m.start() or m.end() <= s for s, _, k, e, _ in mine if k != "opaque"):
+                mine.append((m.start(), 3, "opaque", m.end(), m[0]))
+        seen.append((i, sorted(mine)))
+        for *_, value in mine:
+            carried.setdefault(value, {}).setdefault(text, []).append((source or "", str(i) if i is not None else ""))
+    out = []
+    for i, mine in seen:
+        spans = []
+        for start, _, kind, end, value in mine:
+            carriers = {min(c) for c in carried[value].values()}
+            n = (len({o for o, _ in carriers}), len(carriers))
+            verdict = "placeholder" if not S._alive(kind, value) else "example" if n[0] > 2 or n[1] > 20 else "live"
+            if kind != "opaque" or verdict == "live":
+                spans.append((kind, start, end, verdict, *n))
+        out.append((i, spans))
+    return sorted(out, key=str)
+
+
+def test_all_spans_and_verdicts_equal_plain_ones(spark):
+    pick = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(pick.choices(letters, k=pick.choice([12, 24, 30]))) for _ in range(8)]
+    often = "".join(pick.choices(letters, k=28))
+    data = documents()
+    for i in range(100, 220):
+        words = [pick.choice(["token = ", "", "x "]) + pick.choice(keys) for _ in range(pick.randrange(3))]
+        data.append((i, " ".join([prose(i, 5), *words]), f"src{pick.randrange(5)}"))
+    data += [(i, f"{prose(i, 5)} {often}", "one") for i in range(300, 325)]  # few owners, many texts
+    data += [(i, f"whole copy of {keys[0]}{often}", f"src{i}") for i in range(400, 410)]  # one text, many owners
+    data += [(None, f"token = {often}", None), data[-1], data[0]]
+    found = S.secrets(frame(spark, data, "doc_id bigint, text string, source string")).collect()
+    got = sorted(((r.doc_id, [(f.kind, f.start, f.end, f.verdict, f.n_owners, f.n_repositories) for f in r.found]) for r in found), key=str)
+    assert got == judged(data)
+    verdict = {r.doc_id: [f.verdict for f in r.found] for r in found}
+    assert verdict[300] == [] and verdict[400] == ["live"]
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = frame(spark, [(1, f"token = {KEY}", "a", "mine", 5, "seen", 7, 8)], "doc_id bigint, text string, source string, _id string, _hash int, found string, _row int, _copy int")
+    out = S.redacted(docs)
+    assert out.columns == docs.columns
+    assert out.first()[1:] == ('<secret>', "a", "mine", 5, "seen", 7, 8)
+    kept = S.secrets(docs).first()
+    assert (kept._id, kept._hash, kept._row, kept._copy) == ("mine", 5, 7, 8) and kept.found[0].verdict == "live"
