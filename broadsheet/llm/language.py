@@ -4,14 +4,16 @@ The evidence on a document's language is
 
 * its text: a naive Bayes model over runs of ``LETTERS`` bytes, of which a text counts as at
   most ``WEIGHT`` independent ones;
-* its declared language, right with a given chance;
+* its declared language, right with a chance that is learned: the declarations of all documents
+  are held against their texts, in a histogram of ``BINS`` bins, until the chance settles;
 * its host's prior: counts of languages by host, smoothed by those of its address suffix,
-  those by the counts of the learned texts, each with ``SMOOTH`` documents' weight.
+  those by the counts of all documents, each with ``SMOOTH`` documents' weight.
 
-Counts of hosts and suffixes are grouped aggregates over all documents, taken from a narrow
-table of scores that is written once; they join back by host, where a frequent host is split
-at run time. The text model is fitted on about ``BOUND`` labelled texts, chosen by a hash of
-their ids; it holds ``FEATURES`` numbers a language.
+All counts are grouped aggregates over all documents, taken from a narrow table of scores that
+is written once; those of hosts join back by host, where a frequent host is split at run time.
+The driver sees the histogram and one count per language. The text model is fitted on about
+``BOUND`` labelled texts, equally many of each language as far as it has them, chosen by a hash
+of their ids; it holds ``FEATURES`` numbers a language.
 
 Null, empty and letterless texts give no text evidence and are rejected, as are documents
 whose best language is less likely than ``LEAST``, and texts whose letters are ``ODDS`` less
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,9 @@ FEATURES = 1 << 14
 BOUND = 20_000
 WEIGHT = 40.0
 SMOOTH = 20.0
+#: What is thought of declarations before any is seen: as much as of TRUSTED ones, so many of
+#: them right. No declaration is surer than SURE.
+TRUSTED, TRUST, SURE, BINS = 10.0, 0.9, 0.999, 1000
 LEAST = 0.5
 #: By how much the background's log likelihood must exceed every language's to reject a text;
 #: a few unseen words in a short text do not reach it.
@@ -71,13 +77,12 @@ def _runs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class TextModel:
-    """Log chances of letter runs by language, and how often declarations are right."""
+    """Log chances of letter runs by language."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray, texts: np.ndarray):
+    def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
         smoothed = counts + 0.5
         self.chances = np.log(smoothed / smoothed.sum(axis=1, keepdims=True)) if languages else counts
-        self.prior = (texts + 1) / (texts + 1).sum() if languages else texts
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood of each language (rows by languages), and the number of runs."""
@@ -91,10 +96,15 @@ class TextModel:
 
 
 def fitted(texts: DataFrame, language: str = "lang", text: str = "text", key: str = "doc_id", bound: int = BOUND) -> TextModel:
-    """The text model of about ``bound`` of the rows that name their language."""
-    texts = texts.filter(F.col(language).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, bound / max(1, texts.count()))
-    chosen = texts.filter(F.pmod(F.xxhash64(key, F.lit(8)), F.lit(1_000_000)) < int(share * 1_000_000))
+    """The text model of at most about ``bound`` of the rows that name their language, shared
+    equally among the languages."""
+    named = texts.filter(F.col(language).isNotNull() & F.col(text).isNotNull())
+    named = named.select(F.col(language).cast("string").alias("language"), F.col(text).alias("text"), F.xxhash64(key, F.lit(8)).alias("place"))
+    sizes = materialize(named.groupBy("language").agg(F.count(F.lit(1)).alias("n")), "named")
+    share = F.lit(bound / max(1, sizes.count())) / F.col("n")
+    # A hash is a number from -1 to 1 in units of 2^63.
+    drawn = (share >= 1) | (F.col("place") / float(1 << 63) < 2 * share - 1)
+    chosen = named.join(sizes, "language").filter(drawn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
@@ -105,21 +115,19 @@ def fitted(texts: DataFrame, language: str = "lang", text: str = "text", key: st
             for k, name in enumerate(names):
                 full = np.flatnonzero(counts[k])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * (len(full) + 1)), pa.array(np.r_[-1, full]), pa.array(np.r_[(which == k).sum(), counts[k][full]])],
+                    # Also a language without letters is known.
+                    [pa.array([name] * (len(full) + 1)), pa.array(np.r_[-1, full]), pa.array(np.r_[0, counts[k][full]])],
                     names=["language", "place", "n"],
                 )
 
-    found = chosen.select(language, text).mapInArrow(run, "language string, place bigint, n bigint")
+    found = chosen.select("language", "text").mapInArrow(run, "language string, place bigint, n bigint")
     rows = found.groupBy("language", "place").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.language for r in rows})
-    counts, number = np.zeros((len(languages), FEATURES)), np.zeros(len(languages))
+    counts, at = np.zeros((len(languages), FEATURES)), {name: k for k, name in enumerate(languages)}
     for r in rows:
-        k = languages.index(r.language)
-        if r.place < 0:
-            number[k] = r.n
-        else:
-            counts[k, r.place] = r.n
-    return TextModel(languages, counts, number)
+        if r.place >= 0:
+            counts[at[r.language], r.place] = r.n
+    return TextModel(languages, counts)
 
 
 def text_evidence(docs: DataFrame, model: TextModel, text: str = "text") -> DataFrame:
@@ -150,27 +158,52 @@ def _normal(values: Column) -> Column:
     return F.transform(values, lambda v: v / total)
 
 
-def _counts(rows: DataFrame, by: str, number: int) -> DataFrame:
-    """Expected documents of each language by ``by``."""
+def _counts(rows: DataFrame, number: int, *by: str) -> DataFrame:
+    """Expected documents of each language by ``by``, in ``counts``."""
     sums = [F.sum(F.element_at("_chance", k + 1)).alias(f"_{k}") for k in range(number)]
-    return rows.groupBy(by).agg(*sums).select(by, F.array(*(f"_{k}" for k in range(number))).alias(f"{by}_counts"))
+    return rows.groupBy(*by).agg(*sums).select(*by, F.array(*(f"_{k}" for k in range(number))).alias("counts"))
+
+
+def reliability(chances: list[tuple[float, int]], number: int) -> float:
+    """How often declarations are right, from the chances that their texts alone give them and
+    how many declarations have each: the expected share, taken again until it settles."""
+    chance, often = np.array(chances, float).reshape(-1, 2).T
+    right = TRUST
+    for _ in range(200):
+        hit = right * chance
+        hit = hit / (hit + (1 - right) * (1 - chance) / max(1, number - 1))
+        new = min(SURE, float((often @ hit + TRUSTED * TRUST) / (often.sum() + TRUSTED)))
+        if abs(new - right) < 1e-12:
+            break
+        right = new
+    return right
+
 
+def _reliability(scores: DataFrame, languages: Column, number: int) -> float:
+    stated = scores.filter(F.col("_heard") & (F.array_position(languages, F.col("declared")) > 0))
+    chance = F.element_at(_normal(_softmax(F.col("_text"))), F.array_position(languages, F.col("declared")).cast("int"))
+    bins = stated.select(chance.alias("chance")).groupBy(F.floor(F.col("chance") * BINS)).agg(F.avg("chance"), F.count(F.lit(1)))
+    return reliability(sorted((r[1], r[2]) for r in bins.collect()), number)
 
-def identified(docs: DataFrame, model: TextModel, declared: Column | None = None, host: Column | None = None, text: str = "text", right: float = 0.9) -> DataFrame:
+
+def identified(docs: DataFrame, model: TextModel, declared: Column | None = None, host: Column | None = None, text: str = "text", right: float | None = None) -> DataFrame:
     """``docs`` without its text, with language, chance, text_language and rejected.
 
     ``declared`` names a language, ``host`` is where the document comes from; its suffix is
-    what follows its last full stop. ``right`` is the chance that a declaration is right.
+    what follows its last full stop. ``right`` is the chance that a declaration is right; it
+    is learned if it is not given.
     """
     number = len(model.languages)
     languages = F.array(*map(F.lit, model.languages)) if number else F.array().cast("array<string>")
     none = F.lit(None).cast("string")
     rows = docs.withColumns({"declared": none if declared is None else declared, "_host": F.coalesce(none if host is None else F.lower(host), F.lit(""))})
     rows = rows.withColumn("_suffix", F.substring_index("_host", ".", -1))
-    prior = F.array(*(F.lit(float(p)) for p in model.prior))
     scores = text_evidence(rows, model, text)
     if not number:
         return scores.select(*[c for c in docs.columns if c != text], none.alias("language"), F.lit(0.0).alias("chance"), none.alias("text_language"), F.lit(True).alias("rejected"))
+    # Documents without letters say nothing about their host.
+    scores = materialize(scores.withColumn("_heard", F.col("_runs") > 0), "languages")
+    right = _reliability(scores, languages, number) if right is None else right
     wrong = (1 - right) / max(1, number - 1)
     stated = F.transform(
         languages,
@@ -179,15 +212,18 @@ def identified(docs: DataFrame, model: TextModel, declared: Column | None = None
         .otherwise(float(np.log(wrong or 1e-9))),
     )
     own = F.zip_with("_text", stated, lambda a, b: a + b)
-    scores = scores.withColumn("_own", own).withColumn("_chance", _normal(_softmax(F.zip_with("_own", prior, lambda a, p: a + F.log(p)))))
-    # Documents without letters say nothing about their host.
-    scores = materialize(scores.withColumn("_heard", F.col("_runs") > 0), "languages")
-    heard = scores.filter("_heard").select("_host", "_suffix", "_chance")
-    hosts, suffixes = _counts(heard, "_host", number), _counts(heard, "_suffix", number)
+    scores = scores.withColumn("_own", own)
+    heard = scores.filter("_heard").select("_host", "_suffix", _normal(_softmax(F.col("_own"))).alias("_chance"))
+    hosts = materialize(_counts(heard, number, "_host", "_suffix"), "hosts")
+    # Sums of sums: suffixes and all documents are counted from the hosts.
+    above = hosts.select("_suffix", F.col("counts").alias("_chance"))
+    suffixes = materialize(_counts(above, number, "_suffix"), "suffixes")
+    top = _counts(suffixes.select(F.col("counts").alias("_chance")), number).first().counts
+    prior = _normal(F.array(*(F.lit((n or 0.0) + 1) for n in top)))
     smooth = lambda counts, above: _normal(F.zip_with(counts, above, lambda n, p: n + SMOOTH * p))
-    places = hosts.withColumn("_suffix", F.substring_index("_host", ".", -1)).join(suffixes, "_suffix", "left")
-    places = places.select("_host", smooth(F.col("_host_counts"), smooth(F.col("_suffix_counts"), prior)).alias("_prior"))
-    joined = scores.join(materialize(places, "hosts"), "_host", "left")
+    places = hosts.join(suffixes.withColumnRenamed("counts", "_suffix_counts"), "_suffix")
+    places = places.select("_host", smooth(F.col("counts"), smooth(F.col("_suffix_counts"), prior)).alias("_prior"))
+    joined = scores.join(materialize(places, "places"), "_host", "left")
     logs = F.zip_with("_own", F.coalesce("_prior", prior), lambda a, p: a + F.log(p))
     joined = joined.withColumn("_final", _normal(_softmax(logs)))
     best = F.array_max("_final")
@@ -207,7 +243,8 @@ _HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S |
 
 
 def markup_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with ``text`` in place of its markup, which also gives ``declared``."""
+    """``pages`` with ``text`` in place of its markup, entities decoded; the markup also gives
+    ``declared``."""
     schema = pages.drop(html, "text", "declared").schema.add("text", "string").add("declared", "string")
     kept = schema.names[:-2]
 
@@ -216,7 +253,8 @@ def markup_text(pages: DataFrame, html: str = "html") -> DataFrame:
         for batch in sliced(batches, html):
             raw = [v or "" for v in batch.column(html).to_pylist()]
             found = [stated.search(v) for v in raw]
-            texts, names = [_HIDDEN.sub(" ", v) for v in raw], [m[1].lower() if m else None for m in found]
+            texts = [unescape(_HIDDEN.sub(" ", v)).replace("\xa0", " ").encode("utf-8", "replace").decode() for v in raw]
+            names = [m[1].lower() if m else None for m in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(names, pa.string())], names=schema.names)
 
     return pages.select(*kept, html).mapInArrow(run, schema)
