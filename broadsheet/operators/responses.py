@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import SPACE, strip_html, token_estimate, trim_space, truncate
 from broadsheet.operators.topk import top_k
-from broadsheet.session import let
+from broadsheet.session import let, materialize
 
 # Fences, labels and version of a request.
 PROMPT_VERSION = "1"
@@ -27,6 +29,12 @@ LEADING_LABEL = r"(?i)^\s*(?:摘要|概括|总结|要点|summary|tl;?dr)\s*[:：
 LEADING_BULLET = r"^\s*(?:[-*•·]|\d+[.)、])\s*"
 MAX_TAKEAWAYS = 3
 
+# What is said of calls without a result, and the defaults of a digest.
+NO_SUMMARY = "model returned nothing usable after sanitizing"
+NO_DIGEST = "model returned nothing usable"
+DIGEST_WARNING = "llm digest: no 导读 this issue — "
+DIGEST_ITEMS, DIGEST_ITEM_CHARS, DIGEST_CHARS = 24, 120, 240
+
 
 def defenced(text: Column) -> Column:
     """Data must not be able to close its own fence."""
@@ -219,3 +227,45 @@ def digest_tokens(entries: DataFrame) -> DataFrame:
     """Estimated tokens of a digest request per run."""
     one = token_estimate(F.col("title")) + token_estimate(F.col("body")) + 2
     return entries.groupBy("run_id").agg(F.sum(one).alias("tokens"))
+
+
+def _error(answers: DataFrame) -> Column:
+    """Why a call failed, if its answer says so."""
+    return F.col("error") if "error" in answers.columns else F.lit(None).cast("string")
+
+
+def digests(
+    items: DataFrame,
+    answer: Callable[[DataFrame], DataFrame],
+    max_items: int = DIGEST_ITEMS,
+    item_chars: int = DIGEST_ITEM_CHARS,
+    max_chars: int = DIGEST_CHARS,
+) -> DataFrame:
+    """(run_id, digest, warning): one row per run with items, with a digest or a warning.
+
+    ``answer`` gets the digest's entries, ordered by ``entry`` within a run, and gives one raw
+    answer per run (run_id, model, prompt_version, raw, and perhaps error). A run without an
+    answer, or whose answer holds no text, keeps its issue and gets a warning.
+    """
+    entries = materialize(digest_entries(items, max_items, item_chars), "entries")
+    answers = answer(entries)
+    read = answers.select("run_id", "model", "prompt_version", _error(answers).alias("error"), parse_digest(F.col("raw"), max_chars).alias("text"))
+    told = entries.select("run_id").distinct().join(read, "run_id", "left")
+    usable = F.col("error").isNull() & (F.coalesce("text", F.lit("")) != "")
+    meta = F.struct(F.lit("llm").alias("by"), "model", "prompt_version", F.lit("summaries").alias("input_kind"))
+    return told.select(
+        "run_id",
+        F.when(usable, F.struct("text", meta.alias("meta"))).alias("digest"),
+        F.when(~usable, F.concat(F.lit(DIGEST_WARNING), F.coalesce("error", F.lit(NO_DIGEST)))).alias("warning"),
+    )
+
+
+def summary_failures(tasks: DataFrame, answers: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(run_id, message, pos) of planned tasks that got no summary, by their place in the issue.
+
+    ``answers`` are the raw answers, which may carry an error; ``parsed`` is what was read.
+    """
+    done = parsed.where(F.col("summary").isNotNull()).select("run_id", F.col("item_id").alias("id"))
+    said = answers.groupBy("run_id", F.col("item_id").alias("id")).agg(F.min(_error(answers)).alias("message"))
+    lost = tasks.join(done, ["run_id", "id"], "left_anti").join(said, ["run_id", "id"], "left")
+    return lost.select("run_id", F.coalesce("message", F.lit(NO_SUMMARY)).alias("message"), F.struct("section_pos", "rank_in_section").alias("pos"))

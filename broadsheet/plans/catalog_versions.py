@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.operators import gramindex, searchindex
-from broadsheet.plans.catalog_archive import ARCHIVE_SQL, issues
+from broadsheet.plans.catalog_archive import ARCHIVE_SQL, TODAY, issues
 from broadsheet.plans.catalog_planning import FEED_SQL, feed_bodies, shown
 from broadsheet.plans.catalog_selection import PAIRS_SQL, SECTIONS, SOURCES, THRESHOLD, doc_facts
+from broadsheet.plans.weekly import run_weekly
 from broadsheet.session import materialize, work_path
 from broadsheet.sources import archive, feeds, landing, tables, versions
 from broadsheet.streaming import jobs
@@ -20,8 +21,9 @@ from broadsheet.streaming.silence import silent_stream
 
 def _records(rows: DataFrame) -> DataFrame:
     """Issues from rows of date, slot, pos, id, title, url and source."""
+    section = F.col("section") if "section" in rows.columns else F.lit("all")
     placed = rows.withColumns(
-        {"run_id": F.concat_ws(".", "date", "slot"), "section": F.lit("all"), "section_pos": F.lit(0), "rank_in_section": F.col("pos")}
+        {"run_id": F.concat_ws(".", "date", "slot"), "section": section, "section_pos": F.lit(0), "rank_in_section": F.col("pos")}
     )
     runs = placed.groupBy("run_id", "date", "slot").agg(F.count(F.lit(1)).alias("n")).select(
         "run_id", "date", "slot", F.lit("daily").alias("schedule_id"), F.to_timestamp("date").alias("generated_at"),
@@ -180,7 +182,54 @@ def stream_landed_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{path}/out")
 
 
+def _first_titles(entries: DataFrame) -> DataFrame:
+    """An answer made of the first ten titles."""
+    titles = F.array_sort(F.collect_list(F.when(F.col("entry") <= 10, F.struct("entry", "title"))))
+    text = F.array_join(F.transform(titles, lambda e: e["title"]), ", ")
+    return entries.groupBy("run_id").agg(F.to_json(F.struct(text.alias("digest"))).alias("raw")).select(
+        "run_id", F.lit("m").alias("model"), F.lit("1").alias("prompt_version"), "raw"
+    )
+
+
+def weekly_issue(spark: SparkSession, sf: str) -> DataFrame:
+    """The review of a week of all events, committed twice beside the issues it is made of."""
+    path = work_path(spark, "weekly")
+    rows = tables.event_items(spark, sf)
+    placed = rows.select(
+        F.date_format("published_at", "yyyy-MM-dd").alias("date"),
+        # Many issues a day, so that issues are small at any size of the data.
+        F.concat(F.lit("c"), F.floor(F.col("item_pos") / 1000)).alias("slot"),
+        F.col("item_pos").alias("pos"),
+        F.concat_ws("-", "source", F.pmod("item_pos", F.lit(5000)).cast("string")).alias("id"),
+        "title",
+        "url",
+        "source",
+        "published_at",
+        F.col("score").alias("rank_score"),
+        F.when(F.col("source").isin("click", "view"), "traffic").when(F.col("source") == "error", "retired").otherwise("market").alias("section"),
+    )
+    versions.commit_issues(_records(placed), path)
+    wanted = [{"id": "traffic", "section_pos": 0, "enabled": True}, {"id": "market", "section_pos": 1, "enabled": True}, {"id": "retired", "section_pos": 2, "enabled": False}]
+    for _ in range(2):
+        run_weekly(spark, path, TODAY, f"{TODAY} 08:00:00", wanted, digest=_first_titles, limit=12)
+    found = versions.read_committed(spark, path).where(F.col("slot") == archive.WEEKLY_SLOT)
+    items = found.select("date", "slot", "item_count", F.col("digest.text").alias("digest"), F.posexplode("items").alias("pos", "item"))
+    return items.select("date", "slot", F.col("item_count").cast("bigint").alias("item_count"), "digest", F.col("pos").cast("bigint").alias("pos"), "item.section", "item.id", "item.title", "item.rank_score")
+
+
+WEEKLY_ISSUE_SQL = f"""WITH src AS (SELECT event_type || '-' || (event_id % 5000) AS id, event_type || ' by ' || user_id AS title, value, ts, event_id,
+  strftime(ts, '%Y-%m-%d') AS date, 'c' || (event_id // 1000) AS slot,
+  CASE WHEN event_type IN ('click', 'view') THEN 'traffic' WHEN event_type = 'error' THEN 'retired' ELSE 'market' END AS section FROM events),
+issue AS (SELECT *, row_number() OVER (PARTITION BY date, slot ORDER BY event_id) - 1 AS place FROM src WHERE date BETWEEN '2024-01-23' AND '{TODAY}' AND section <> 'retired'),
+one AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date DESC, date || '.' || slot || '.json', place) AS copy FROM issue),
+best AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY value DESC, ts DESC, id) AS rank FROM one WHERE copy = 1),
+review AS (SELECT *, row_number() OVER (ORDER BY section DESC, rank) - 1 AS pos FROM best WHERE rank <= 12)
+SELECT '{TODAY}' AS date, 'weekly' AS slot, count(*) OVER () AS item_count,
+  (SELECT string_agg(title, ', ' ORDER BY pos) FROM review WHERE pos < 10) AS digest, pos, section, id, title, value AS rank_score FROM review"""
+
+
 QUERIES = {
+    "weekly_issue": (weekly_issue, WEEKLY_ISSUE_SQL),
     "landed_bodies": (landed_bodies, FEED_SQL),
     "stream_landed_bodies": (stream_landed_bodies, FEED_SQL),
     "archive_versions": (archive_versions, VERSIONS_SQL),

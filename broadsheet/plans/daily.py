@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.operators.dedupe import TITLE_SIMILARITY
-from broadsheet.operators.health import failed_sources, run_metrics, stale_sources
+from broadsheet.operators.health import failed_sources, reason_warnings, run_metrics, stale_sources, top_reasons
 from broadsheet.operators.normalize import first_per_source, normalize, source_outcomes
 from broadsheet.operators.planning import Budget, Gate, plan_measures
-from broadsheet.operators.responses import merge_summaries, parse_responses
+from broadsheet.operators.responses import digests, merge_summaries, parse_responses, summary_failures
 from broadsheet.plans.issue import Run, build_issue
 from broadsheet.schema import SOURCE
 from broadsheet.session import dimension, materialize
@@ -43,13 +43,16 @@ def run_daily(
     budget: Budget | None = None,
     max_chars: int = 180,
     path: str | None = None,
+    digest: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Daily:
     """Parse, normalize, limit, dedupe against the archive, select, plan, merge, archive.
 
     ``landing`` has ``run_id, source, fetched_at, status, body`` and may have ``body_pos``.
-    ``answer`` gives the tasks' raw answers (run_id, item_id, model, prompt_version, raw). Failed
-    and stale sources become the record's warnings; a failed body never fails the run. With a
-    ``path`` the record is written there.
+    ``answer`` gives the tasks' raw answers (run_id, item_id, model, prompt_version, raw, and
+    perhaps error); ``digest`` introduces the issue, summaries included (see
+    ``responses.digests``). Failed and stale sources, the most frequent reasons for missing
+    summaries and a failed digest become the record's warnings; a failed body never fails the
+    run. With a ``path`` the record is written there.
     """
     known = dimension(spark, sources, SOURCE)
     entries, errors = parse_landing(landing, known)
@@ -69,10 +72,19 @@ def run_daily(
     issue = build_issue(items, run, sections, sources, archive, threshold, policy, gate, budget)
     lineup, tasks = issue.lineup, materialize(issue.tasks, "tasks")
     if answer is not None:
-        answers = answer(tasks.where(F.col("decision") == "task"))
+        planned = tasks.where(F.col("decision") == "task")
+        answers = materialize(answer(planned), "answers")
         parsed = parse_responses(answers, max_chars).withColumn("input_kind", F.lit("excerpt"))
         lineup = merge_summaries(lineup, parsed)
-    record = materialize(build_issues(lineup, issue.runs, warnings), "record")
+        reasons = top_reasons(summary_failures(planned, answers, parsed), ["run_id"])
+        warnings = warnings.unionByName(reason_warnings(reasons, "llm").select("run_id", "warning"))
+    runs = issue.runs
+    if digest is not None:
+        lineup = materialize(lineup, "lineup")
+        made = materialize(digests(lineup, digest), "digests")
+        runs = runs.join(made.select("run_id", "digest"), "run_id", "left")
+        warnings = warnings.unionByName(made.where(F.col("warning").isNotNull()).select("run_id", "warning"))
+    record = materialize(build_issues(lineup, runs, warnings), "record")
     if path is not None:
         write_archive(record, path)
     cause = F.col("cause")

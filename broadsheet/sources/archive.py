@@ -52,7 +52,9 @@ def build_issues(items: DataFrame, runs: DataFrame, warnings: DataFrame | None =
         texts = warnings.groupBy("run_id").agg(
             F.array_sort(F.collect_list("warning")).alias("warnings")
         )
-        issues = issues.join(texts, "run_id", "left")
+        issues = issues.join(texts, "run_id", "left").withColumn(
+            "warnings", F.coalesce("warnings", F.array().cast("array<string>"))
+        )
     else:
         issues = issues.withColumn("warnings", F.array().cast("array<string>"))
     if "digest" not in issues.columns:
