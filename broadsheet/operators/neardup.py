@@ -3,39 +3,46 @@
 Two titles match when their raw titles carry the same numbers, both have enough grams, and
 the Dice coefficient of their gram sets reaches the threshold.
 
-The search is a filtered set-similarity join (prefix and size filters after Bayardo, Ma
-and Srikant 2007; Xiao et al. 2008), with three points that keep it even at scale:
-
-* Grams are ordered rare to frequent and only as many of the rarest are joined as any
-  match must share, so the most frequent grams of a title never meet each other. Any fixed
-  order is exact; the frequency list is a bounded top list, all other grams come before it.
-* A gram that more than a block of titles offers is cut into blocks, and block pairs, not
-  whole gram groups, become the units of work. All other postings stay single.
-* Survivors of the count on joined grams are few and are verified on the whole gram sets.
+Titles are compared in blocks. The titles of one set of numbers, if they are many, are dealt to
+blocks of about ``GRAMS`` grams; each two blocks are one unit of work, and the few titles of all
+other numbers share units. A unit counts the grams that each title has in common with all titles
+it meets by an inverted index of that unit, and gives only pairs that match. So no pair that
+merely shares a gram is ever written or shuffled: what is shuffled is each title, once for each
+block. The number of meetings still grows with the square of the number of titles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.functions.text import MIN_GRAMS, key_grams
-from broadsheet.session import let
+from broadsheet.functions.text import MIN_GRAMS, SPACE, TITLE_GRAM, key_grams
 
 #: Entries in the list of most frequent grams.
 TOP_GRAMS = 1024
-#: Largest number of titles of one gram that one unit of work compares.
+#: Titles of the same numbers that one unit of work compares at most; more are cut into blocks.
 BLOCK = 4096
+#: Blocks that these are cut into at least, so that all tasks have some, and grams of a block, about.
+SPREAD, GRAMS = 8, 1 << 21
+#: Pairs that a unit of work holds before it gives them on.
+HELD = 1 << 18
+#: Values that are numbered by a table of all of them; others are sorted.
+TABLE = 1 << 24
 
 
 def title_nodes(titles: DataFrame) -> DataFrame:
-    """(node, title_key, numbers) to comparable titles with their grams.
+    """(node, title_key, numbers) to comparable titles with their grams and the letters of these.
 
     The grams pass through a generator so that they are built once and not again in the
     filter on their number.
     """
     enough = F.filter(F.array(key_grams(F.col("title_key"))), lambda g: F.size(g) >= MIN_GRAMS)
-    return titles.select("node", "numbers", F.explode(enough).alias("grams")).withColumn(
+    letters = F.regexp_replace("title_key", f"[{SPACE}]+", "").alias("letters")
+    return titles.select("node", "numbers", letters, F.explode(enough).alias("grams")).withColumn(
         "n", F.size("grams")
     )
 
@@ -72,72 +79,114 @@ def postings(nodes: DataFrame, frequent: DataFrame, threshold: float) -> DataFra
     )
 
 
-def _with_blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """Postings with the number of blocks of their gram; all but the large ones have one."""
-    return rows.join(large, ["numbers", "gram"], "left").withColumn(
-        "blocks", F.coalesce("blocks", F.lit(1))
-    )
-
-
-def _blocked(rows: DataFrame, prefix: str, own: str, other: str) -> DataFrame:
-    """Place a posting in its own block and repeat it for every block it must meet."""
-    home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    everyone = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return rows.select(
-        "gram",
+def _numbered(values: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Numbers from 0 for the distinct values, all below ``size``, and how many there are."""
+    if size > TABLE:
+        found, at = np.unique(values, return_inverse=True)
+        return at, len(found)
+    known = np.zeros(size, bool)
+    known[values] = True
+    return (np.cumsum(known) - 1)[values], int(known.sum())
+
+
+def _gram_sets(letters: list[str], numbers: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, gram) pairs in order; grams of different numbers differ."""
+    sizes = np.array([len(t) for t in letters], np.int64)
+    row = np.repeat(np.arange(len(letters)), sizes)
+    points = np.frombuffer("".join(letters).encode("utf-32-le"), np.uint32)
+    kind, n = _numbered(points, 0x110000)
+    # A gram is a pair of pairs of letters, numbered each time, so that no two grams agree.
+    for step in (1, 2):
+        kind, n = _numbered(kind[:-step] * n + kind[step:], n * n)
+    whole = np.flatnonzero(row[: 1 - TITLE_GRAM] == row[TITLE_GRAM - 1 :])
+    row, kind = row[whole], kind[whole]
+    group = np.unique(numbers, return_inverse=True)[1]
+    kind, n = _numbered(kind * (group.max() + 1) + group[row], n * (int(group.max()) + 1))
+    pairs = np.unique(row * n + kind)
+    return pairs // n, pairs % n
+
+
+def _matches(left: np.ndarray, right: np.ndarray, letters: list[str], numbers: list[str], threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, rows that match it, scores) for the rows where ``left``, among those where ``right``."""
+    row, gram = _gram_sets(letters, numbers)
+    size = np.bincount(row, minlength=len(letters))
+    start = np.r_[0, np.cumsum(size)]
+    others = np.flatnonzero(right)
+    inside = right[row]
+    order = np.argsort(gram[inside], kind="stable")
+    place = (np.cumsum(right) - 1)[row[inside][order]]
+    ends = np.cumsum(np.bincount(gram[inside], minlength=gram.max() + 1)).tolist()
+    theirs = size[others]
+    for i in np.flatnonzero(left):
+        met = [place[ends[g - 1] if g else 0 : ends[g]] for g in gram[start[i] : start[i + 1]].tolist()]
+        shared = np.bincount(np.concatenate(met), minlength=len(others))
+        hit = np.flatnonzero(shared >= max(1, int(threshold * (size[i] + theirs.min()) / 2)))
+        score = 2 * shared[hit] / (size[i] + theirs[hit])
+        yield i, others[hit[score >= threshold]], score[score >= threshold]
+
+
+def _placed(rows: DataFrame, large: DataFrame, shelves: DataFrame, own: str, other: str | None) -> DataFrame:
+    """Titles with the unit of work they are in: once for each block that their own block meets.
+
+    Without ``other`` a block meets each block once, itself included."""
+    blocks = F.coalesce("blocks", F.lit(1))
+    key = F.xxhash64("numbers")
+    rows = rows.join(large, "numbers", "left").select(
+        "node",
         "numbers",
-        home.alias(own),
-        everyone.alias(other),
-        F.col("node").alias(f"{prefix}_node"),
-        F.col("n").alias(f"{prefix}_n"),
-        F.col("rest").alias(f"{prefix}_rest"),
+        "letters",
+        F.when(F.col("blocks").isNull(), F.pmod(key, shelves.scalar())).otherwise(key).alias("shelf"),
+        F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("met"),
     )
+    if other is None:
+        return rows.withColumns({"one": F.least("block", "met"), "two": F.greatest("block", "met")}).drop("met")
+    return rows.withColumnsRenamed({"block": own, "met": other}).withColumn("block", F.lit(0 if own == "one" else 1))
 
 
 def matching_pairs(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
-    """(a_node, b_node) of matching titles; within ``left`` with a < b when right is None."""
+    """(a_node, b_node, score) of matching titles; within ``left`` with a < b when right is None."""
     alone = right is None
-    other = left if right is None else right
-    frequent = frequent_grams(left if alone else left.unionByName(right))
-    mine, theirs = postings(left, frequent, threshold), postings(other, frequent, threshold)
-    offered = mine if alone else mine.unionByName(theirs)
-    # Only grams that really are in many titles are cut: their true number decides.
-    large = offered.groupBy("numbers", "gram").count().where(F.col("count") > BLOCK)
-    large = large.select("numbers", "gram", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    a = _blocked(_with_blocks(mine, large), "a", "a_block", "b_block")
-    b = _blocked(_with_blocks(theirs, large), "b", "b_block", "a_block")
-    # Few postings can meet very often: spread one side over all tasks by the join key,
-    # whichever join the sizes lead to.
-    key = ["numbers", "gram", "a_block", "b_block"]
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = a.repartition(tasks, *key).join(b, key)
-    if alone:
-        met = met.where(F.col("a_node") < F.col("b_node"))
-    # Sizes too different for the threshold cannot match.
-    ratio = threshold / (2 - threshold) - 1e-9
-    met = met.where(
-        (F.col("a_n") >= F.col("b_n") * ratio) & (F.col("b_n") >= F.col("a_n") * ratio)
-    )
-    counted = met.groupBy("a_node", "b_node").agg(
-        F.count(F.lit(1)).alias("shared"),
-        *[F.first(c).alias(c) for c in ("a_n", "b_n", "a_rest", "b_rest")],
-    )
-    # Grams outside both joined parts add at most the larger remainder.
-    possible = F.col("shared") + F.greatest("a_rest", "b_rest")
-    hopeful = counted.where(
-        2 * possible / (F.col("a_n") + F.col("b_n")) >= threshold - 1e-9
-    ).select("a_node", "b_node", "a_n", "b_n")
-    whole_a = left.select(F.col("node").alias("a_node"), F.col("grams").alias("a_grams"))
-    whole_b = other.select(F.col("node").alias("b_node"), F.col("grams").alias("b_grams"))
-    both = F.size(F.array_intersect("a_grams", "b_grams"))
-    score = 2 * both / (F.col("a_n") + F.col("b_n"))
-    return (
-        hopeful.join(whole_a, "a_node")
-        .join(whole_b, "b_node")
-        .withColumn("score", score)
-        .where(F.col("score") >= threshold)
-        .select("a_node", "b_node", "score")
+    columns = ["node", "numbers", "letters", "n"]
+    offered = left.select(columns) if alone else left.select(columns).unionByName(right.select(columns))
+    sizes = offered.groupBy("numbers").agg(F.count(F.lit(1)).alias("titles"), F.sum("n").alias("grams"))
+    large = sizes.where(F.col("titles") > BLOCK).select(
+        "numbers", F.greatest(F.lit(SPREAD), F.ceil(F.col("grams") / GRAMS)).cast("int").alias("blocks")
     )
+    small = F.sum(F.when(F.col("titles") <= BLOCK, F.col("titles")))
+    shelves = sizes.agg(F.greatest(F.ceil(small / BLOCK), F.lit(1)).cast("bigint").alias("shelves"))
+    if alone:
+        placed = _placed(left, large, shelves, "one", None)
+    else:
+        placed = _placed(left, large, shelves, "one", "two").unionByName(_placed(right, large, shelves, "two", "one"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        node, block, one, two = (rows.column(c).to_numpy() for c in ("node", "block", "one", "two"))
+        same = alone and one[0] == two[0]
+        first, second = (block == b for b in ((one[0], two[0]) if alone else (0, 1)))
+        if not first.any() or not second.any():
+            return
+        found, n = [], 0
+        for i, at, score in _matches(first, second, rows.column("letters").to_pylist(), rows.column("numbers").to_pylist(), threshold):
+            keep = node[at] > node[i] if same else slice(None)
+            mine, theirs = np.full(len(at), node[i])[keep], node[at][keep]
+            if alone:
+                mine, theirs = np.minimum(mine, theirs), np.maximum(mine, theirs)
+            if len(mine):
+                found.append((mine, theirs, score[keep]))
+                n += len(mine)
+            if n > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a_node", "b_node", "score"])
+                found, n = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a_node", "b_node", "score"])
+
+    kind = left.schema["node"].dataType.simpleString()
+    # Units of work are heavy for their bytes: they are dealt to all tasks and not drawn together.
+    key = ["shelf", "one", "two"]
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(tasks, *key).groupBy(*key).applyInArrow(run, f"a_node {kind}, b_node {kind}, score double")
 
 
 def pair_work(nodes: DataFrame, threshold: float) -> Column:

@@ -357,8 +357,9 @@ EXCLUSIVE_SQL = (
 
 
 def placed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as items of many bodies: positions restart in every hundred."""
-    docs = tables.document_items(spark, sf).withColumnRenamed("item_pos", "doc_id")
+    """Documents as items of many bodies: positions restart in every hundred. What is compared
+    later is the title, so the texts are not carried along."""
+    docs = tables.document_items(spark, sf).drop("excerpt", "lang").withColumnRenamed("item_pos", "doc_id")
     return docs.withColumns(
         {"run_id": F.lit("r"), "body_pos": F.floor(F.col("doc_id") / 100), "item_pos": F.col("doc_id") % 100}
     )

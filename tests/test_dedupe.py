@@ -88,6 +88,23 @@ def test_blocks_of_a_frequent_gram_find_every_pair(spark, monkeypatch):
     assert got == want and pairs.count() == len(want)
 
 
+@pytest.mark.parametrize("threshold", [0.2, 0.5])
+def test_only_matching_pairs_leave_a_unit_of_work(spark, monkeypatch, threshold):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "GRAMS", 60)
+    rnd = random.Random(7)
+    titles = sorted({" ".join(rnd.choice(WORDS + ["7", "𝒳é𝒳"]) for _ in range(4)) for _ in range(60)})
+    rows = [(i, key(t), ",".join(sorted(w for w in t.split() if w.isdigit()))) for i, t in enumerate(titles)]
+    one, two = (neardup.title_nodes(spark.createDataFrame(rows[k::2], "node long, title_key string, numbers string")) for k in (0, 1))
+    both = neardup.title_nodes(spark.createDataFrame(rows, "node long, title_key string, numbers string"))
+    want = {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if near(titles[i], titles[j], threshold)}
+    alone, across = neardup.matching_pairs(both, None, threshold), neardup.matching_pairs(one, two, threshold)
+    assert sorted((r.a_node, r.b_node) for r in alone.collect()) == sorted(want)
+    assert sorted(tuple(sorted((r.a_node, r.b_node))) for r in across.collect()) == sorted(p for p in want if (p[0] + p[1]) % 2)
+    # No row for a gram that two titles share: grams are not dealt out.
+    assert "explode(slice" not in alone._jdf.queryExecution().toString()
+
+
 def test_trust_follows_weight_then_declaration_then_position(spark):
     df = spark.createDataFrame([("x", "low", 0), ("y", "new", 0), ("z", "top", 1), ("w", "top", 0)], "id string, source string, item_pos long")
     sources = [{"name": "low", "weight": 0.5}, {"name": "top", "weight": 2.0}]
