@@ -170,20 +170,25 @@ def truncate(text: Column, limit: int) -> Column:
     floor = -(-limit // 2)
     closers = "[" + "".join("\\" + c for c in CLOSERS) + "]*+"
     word = r"[\p{L}\p{N}]"
+    # Only where an ender stands are the letters before it looked at.
     sentence = (
         rf"(?s)^(.*(?:[{WIDE_ENDERS}]{closers}"
-        rf"|(?<={word}{{2}})(?<!\.{word}{{2,{max(limit, 2)}}})[{NARROW_ENDERS}]{closers}(?=[{SPACE}])))(?=.)"
+        rf"|(?=[{NARROW_ENDERS}])(?<={word}{{2}})(?<!\.{word}{{2,{max(limit, 2)}}})[{NARROW_ENDERS}]{closers}(?=[{SPACE}])))(?=.)"
     )
-    head = F.substring(text, 1, limit - 1)
 
-    def shorten(match: Column) -> Column:
+    def shorten(head: Column, match: Column) -> Column:
         last_space = F.length(head) - F.length(F.substring_index(head, " ", -1)) - 1
         at_word = F.when(last_space >= floor, F.left(head, last_space)).otherwise(head)
         ellipsis = F.concat(F.regexp_replace(at_word, f"[{SPACE}]+$", ""), F.lit("…"))
         return F.when(F.length(match) >= floor, trim_space(match)).otherwise(ellipsis)
 
-    sentences = F.regexp_extract(F.substring(text, 1, limit + 1), sentence, 1)
-    return F.when(F.length(text) <= limit, text).otherwise(let(sentences, shorten))
+    def cut(whole: Column) -> Column:
+        sentences = F.regexp_extract(F.substring(whole, 1, limit + 1), sentence, 1)
+        short = let(F.substring(whole, 1, limit - 1), lambda head: let(sentences, lambda match: shorten(head, match)))
+        return F.when(F.length(whole) <= limit, whole).otherwise(short)
+
+    # The text may be an expression over a whole document: it is evaluated once.
+    return let(text, cut)
 
 
 def excerpt(text: Column, patterns: Column | None = None, limit: int = EXCERPT_MAX) -> Column:

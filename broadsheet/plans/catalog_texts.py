@@ -11,7 +11,7 @@ from broadsheet.functions import times as tm
 from broadsheet.functions import urls as ur
 from broadsheet.operators import extraction, normalize, responses
 from broadsheet.sources import tables
-from broadsheet.session import dimension
+from broadsheet.session import dimension, let
 from pyspark.sql import types as T
 
 # The same white space class for the SQL engine's regular expressions.
@@ -223,11 +223,11 @@ SELECT item_pos AS doc_id, {sql_strip_boilerplate('title', 'source')} AS title,
 
 def truncated(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.document_items(spark, sf)
-    return docs.select(
-        F.col("item_pos").alias("doc_id"),
-        tx.truncate(tx.collapse_space(F.col("excerpt")), 300).alias("cut_300"),
-        tx.truncate(tx.collapse_space(F.col("excerpt")), 100).alias("cut_100"),
+    cuts = let(
+        tx.collapse_space(F.col("excerpt")),
+        lambda t: F.struct(tx.truncate(t, 300).alias("cut_300"), tx.truncate(t, 100).alias("cut_100")),
     )
+    return docs.select(F.col("item_pos").alias("doc_id"), cuts.alias("cuts")).select("doc_id", "cuts.*")
 
 
 TRUNCATED_SQL = f"""WITH t AS (SELECT doc_id, {sql_collapse('text')} AS t FROM documents)
