@@ -45,6 +45,12 @@ SUMMED = 64
 SLICE = 1 << 20
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; sorts in place, quickly where they are in runs already."""
+    values.sort(kind="stable" if values.itemsize == 8 else None)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, feature) pairs, in order; only features that ``wanted`` is true for."""
     data, rows = buffers(column)
@@ -54,15 +60,27 @@ def features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.nda
         n = len(part) - LETTERS + 1
         if n <= 0:
             break
-        hashed = np.zeros(n, np.uint64)
-        for k in range(LETTERS):
-            hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + part[k : k + n]
-        place = (mix(hashed) % np.uint64(FEATURES)).astype(np.int64)
-        at = np.arange(lo, lo + n) if wanted is None else np.flatnonzero(wanted[place]) + lo
-        row = np.searchsorted(rows, at, side="right") - 1
-        inside = at + LETTERS <= rows[row + 1]
-        found.append(np.unique(row[inside] * FEATURES + place[at[inside] - lo]))
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        hashed = part[:n].copy()
+        for k in range(1, LETTERS):
+            hashed *= np.uint64(0x9E3779B97F4A7C15)
+            hashed += part[k : k + n]
+        place = (mix(hashed) & np.uint64(FEATURES - 1)).astype(np.int32)
+        # The rows that have bytes here; a run of letters must end in its own row.
+        first, last = np.searchsorted(rows, [lo, lo + n - 1], side="right") - 1
+        ends = np.clip(rows[first + 1 : last + 2] - lo, 0, n)
+        row = np.repeat(np.arange(last - first + 1, dtype=np.int32), np.diff(ends, prepend=0))
+        inside = np.arange(n, dtype=np.int32) + np.int32(LETTERS) <= (rows[first + 1 : last + 2] - lo)[row]
+        if wanted is not None:
+            inside &= wanted[place]
+        row, place = row[inside], place[inside]
+        if last - first < (1 << 31) // FEATURES:
+            # Small numbers sort faster.
+            pairs = _distinct(row * np.int32(FEATURES) + place).astype(np.int64)
+        else:
+            pairs = np.sort(row.astype(np.int64) * FEATURES + place)
+        found.append(pairs + first * FEATURES)
+    # A row may go on in the next slice.
+    pairs = _distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return pairs // FEATURES, pairs % FEATURES
 
 
