@@ -102,7 +102,8 @@ def _gram_sets(letters: list[str], numbers: list[str]) -> tuple[np.ndarray, np.n
     row, kind = row[whole], kind[whole]
     group = np.unique(numbers, return_inverse=True)[1]
     kind, n = _numbered(kind * (group.max() + 1) + group[row], n * (int(group.max()) + 1))
-    pairs = np.unique(row * n + kind)
+    pairs = np.sort(row * n + kind)
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
     return pairs // n, pairs % n
 
 

@@ -1,6 +1,7 @@
 """The issue archive as versions: a commit appears whole or not at all.
 
-``<path>/data/version=<id>/year=.../month=.../date=.../slot=...`` holds what commits wrote,
+``<path>/data/version=<id>/year=.../month=.../date=...`` holds what commits wrote, the slots of
+a date together, so that folders and files grow with the dates and the bytes and not with the issues;
 ``<path>/manifests/<number>`` the list of the issues that count and the version of each, as
 a small table. A commit writes its issues under a fresh version, writes the next manifest (the
 last one without the dates and slots it replaces, and its own) beside the others and renames
@@ -85,9 +86,13 @@ def commit_issues(issues: DataFrame, path: str, secrets: list[str] | None = None
         redact_rows(issues.where(F.size("items") > 0), secrets)
         .withColumn("year", F.substring("date", 1, 4))
         .withColumn("month", F.substring("date", 6, 2))
+        # An empty slot is none.
+        .withColumn("slot", F.nullif("slot", F.lit("")))
     )
     folder = f"{path}/data/version={version}"
-    dated.repartition("year", "month", "date", "slot").write.partitionBy("year", "month", "date", "slot").parquet(folder)
+    days = ["year", "month", "date"]
+    # A date of many issues is written by several tasks.
+    dated.hint("rebalance", *map(F.col, days)).write.partitionBy(*days).parquet(folder)
     written = spark.read.schema("item_count INT, year STRING, month STRING, date STRING, slot STRING").parquet(folder)
     new = written.select("date", "slot").distinct()
     gone = new if remove is None else new.unionByName(remove.select("date", "slot")).distinct()
