@@ -79,3 +79,22 @@ def test_spark_and_local_training_agree(spark):
     weights, _ = X.trained(rows, 0.12)
     lists = [[X.features(pa.array([t]))[1] for _, t, bad in docs if bad is side] for side in (True, False)]
     assert len(np.flatnonzero(weights)) and np.array_equal(weights != 0, X.train(*lists, 0.12)[0] != 0)
+
+
+def test_features_over_slices_without_numpys_unique(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from broadsheet.llm import toxicity as X
+
+    texts = ["", "abc", None, "the quick brown fox " * 5, "é" * 70, "ABCDE", "abcde abcde", "x" * 200]
+    one = [sorted(X.features(pa.array([t], pa.string()))[1].tolist()) for t in texts]
+    monkeypatch.setattr(X, "SLICE", 16)
+    monkeypatch.setattr(np, "unique", None)
+    row, place = X.features(pa.array(texts, pa.string()))
+    assert [place[row == i].tolist() for i in range(len(texts))] == one
+    wanted = np.zeros(X.FEATURES, bool)
+    wanted[one[3][::2]] = True
+    row, place = X.features(pa.array(texts, pa.string()), wanted)
+    assert [place[row == i].tolist() for i in range(len(texts))] == [[p for p in o if wanted[p]] for o in one]
+    assert one[5] and set(one[5]) <= set(one[6]) and not one[0] and not one[1] and not one[2]

@@ -171,3 +171,14 @@ def test_an_explicit_null_digest_gives_way(evaluate):
 
     texts = ['{"digest":null,"summary":"s"}', '{"digest":"d","summary":"s"}', '{"digest":7,"summary":"s"}', "prose"]
     assert evaluate(lambda t: parse_digest(t, 100), texts) == ["s", "d", "", "prose"]
+
+
+def test_a_text_is_prepared_once_however_it_is_cut(spark):
+    from pyspark.sql import functions as F
+
+    from broadsheet.functions import text as tx
+
+    df = spark.createDataFrame([("a  b. " * 100,), ("short",), (None,)], "t string")
+    cut = df.select(tx.truncate(F.reverse(F.reverse("t")), 30).alias("cut"))
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("reverse(reverse(") == 1
+    assert [r.cut for r in cut.collect()][1:] == ["short", None]

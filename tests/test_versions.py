@@ -97,3 +97,13 @@ def test_text_is_redacted_and_folders_are_pruned(spark, tmp_path, capsys):
     assert "hunter2" not in str(titles(spark, path))
     versions.read_committed(spark, path).where("month = '02'").explain()
     assert "PartitionFilters" in (plan := capsys.readouterr().out) and "month" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_issues_of_a_date_share_files(spark, tmp_path):
+    path = str(tmp_path)
+    rows = [issue(f"2024-01-0{d}", slot, f"{d} {slot}") for d in (1, 2) for slot in [None, "", *(f"c{i}" for i in range(60))] if slot != "" or d == 2]
+    versions.commit_issues(frame(spark, *(r for r in rows if r[1] is not None or r[0] == "2024-01-01")), path)
+    files = list(tmp_path.glob("data/**/*.parquet"))
+    assert len(files) <= 10 and not list(tmp_path.glob("data/**/slot=*"))
+    found = titles(spark, path)
+    assert len(found) == 122 and found["2024-01-02", None] == ["2 "] and found["2024-01-01", "c7"] == ["1 c7"]
