@@ -25,6 +25,8 @@ WORK_BUDGET = 2e10
 
 #: Rows and edges of a component that one group walks.
 COMPONENT = 200_000
+#: Rows and edges of the small components that share a group, about: a group costs more than its rows.
+BIN = 1 << 14
 
 _RANKS = T.StructType(
     [T.StructField("source", T.StringType()), T.StructField("source_rank", T.IntegerType())]
@@ -226,15 +228,17 @@ def _independent(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
 
 
 def _walk(key: tuple, rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """The sequential rule over one component: an item stays if nothing that stays has its id,
-    its title or a matching title."""
+    """The sequential rule over each component of a bin: an item stays if nothing of its component
+    that stays has its id, its title or a matching title."""
     near: dict[int, set[int]] = {}
     for a, b in zip(edges["a_node"], edges["b_node"]):
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
-    ids, titles, nodes, kept = set(), set(), set(), []
-    rows = rows.sort_values("trust")
-    for id_, title, node in zip(rows["id"], rows["title_key"], rows["node"]):
+    ids, titles, nodes, kept, walked = set(), set(), set(), [], None
+    rows = rows.sort_values(["_component", "trust"])
+    for component, id_, title, node in zip(rows["_component"], rows["id"], rows["title_key"], rows["node"]):
+        if component != walked:
+            ids, titles, nodes, walked = set(), set(), set(), component
         stays = id_ not in ids and title not in titles and node not in nodes and nodes.isdisjoint(near.get(node, ()))
         kept.append(stays)
         if stays:
@@ -242,15 +246,20 @@ def _walk(key: tuple, rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
             nodes.add(node)
             if title:
                 titles.add(title)
-    return rows.loc[kept].drop(columns="_component")
+    return rows.loc[kept].drop(columns=["_component", "_bin"])
+
+
+def _binned(rows: DataFrame, bins: int) -> DataFrame:
+    return rows.withColumn("_bin", F.pmod(F.xxhash64("_component"), F.lit(bins)))
 
 
 def _by_components(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
     """Survivors among conflicting rows, component by component.
 
     Conflicts reach no further than a connected component, so one of at most ``COMPONENT`` rows
-    and edges is walked in trust order in one group, however long its chains are. Only what
-    belongs to a larger one is left to the rounds, which need no component in one place.
+    and edges is walked in trust order in one group, however long its chains are; small ones share
+    groups of about ``BIN`` rows and edges. Only what belongs to a larger one is left to the
+    rounds, which need no component in one place.
     """
     if edges is None:
         edges = rows.sparkSession.createDataFrame([], "a_node bigint, b_node bigint")
@@ -267,13 +276,15 @@ def _by_components(rows: DataFrame, edges: DataFrame | None) -> DataFrame:
     placed = materialize(placed.withColumn("_component", F.coalesce("_component", "trust")), "placed")
     tied = edges.join(labels.withColumnsRenamed({"node": "a_node", "label": "_component"}), "a_node")
     tied = materialize(tied, "tied")
-    sizes = placed.select("_component").unionByName(tied.select("_component")).groupBy("_component").count()
+    entries = placed.select("_component").unionByName(tied.select("_component"))
+    sizes = entries.groupBy("_component").count()
     large = materialize(sizes.where(F.col("count") > COMPONENT).select("_component"), "large")
+    bins = max(1, -(-entries.count() // BIN))
     small_rows = placed.join(large, "_component", "left_anti")
     small_edges = tied.join(large, "_component", "left_anti")
     walked = (
-        small_rows.groupBy("_component")
-        .cogroup(small_edges.groupBy("_component"))
+        _binned(small_rows, bins).groupBy("_bin")
+        .cogroup(_binned(small_edges, bins).groupBy("_bin"))
         .applyInPandas(_walk, rows.schema)
     )
     kept = materialize(walked, "walked")
@@ -327,7 +338,7 @@ def survivors(
     itself (the prefix rounds of Blelloch, Fineman and Shun 2012). Later ranges first lose
     whatever conflicts with earlier survivors.
     """
-    collapsed = _collapse_copies(items)
+    collapsed = materialize(_collapse_copies(items), "collapsed")
     own = F.when(F.col("title_key") == "", F.col("id")).otherwise(F.lit(""))
     groups = (
         collapsed.groupBy("title_key", "numbers", own.alias("_own"))
@@ -370,10 +381,11 @@ def survivors(
                 batch = materialize(batch.join(blocked, "node", "left_anti"), "batch")
                 nodes = title_nodes(batch.select("node", "title_key", "numbers").distinct())
             nodes = materialize(nodes, "titles")
-            # Titles cannot meet more often than all of them on all of their grams; only a
-            # range for which that bound is too high is measured, and halved if need be.
-            titles, longest = nodes.agg(F.count(F.lit(1)), F.max("n")).first()
-            bound = titles * (titles - 1) / 2 * (longest or 0)
+            # Titles cannot meet more often than all of the same numbers on all of their grams; only
+            # a range for which that bound is too high is measured, and halved if need be.
+            titles = F.col("titles").cast("double")
+            groups = nodes.groupBy("numbers").agg(F.count(F.lit(1)).alias("titles"), F.max("n").alias("longest"))
+            bound = groups.agg(F.sum(titles * (titles - 1) / 2 * F.col("longest"))).first()[0] or 0
             if bound > work_budget and low < high:
                 if pair_work(nodes, threshold).first()[0] > work_budget:
                     middle = batch.agg(F.percentile_approx("trust", 0.5)).first()[0]
@@ -397,19 +409,17 @@ def label_drops(
     ``items`` needs ``id, title, trust``.
     """
     facts = with_title_facts(items) if "title_key" not in items.columns else items
-    if history is None:
-        flagged = facts.withColumn("seen", F.lit(False)).withColumn("near_seen", F.lit(False))
+    seen = facts.withColumn("seen", F.lit(False)) if history is None else published_exactly(facts, history)
+    # Written before titles are compared: what follows reads the rows several times.
+    flagged = materialize(seen, "flagged")
+    if history is not None and threshold > 0:
+        near = near_published(flagged.where(~F.col("seen")), history, threshold)
+        near = materialize(near.withColumn("near_seen", F.lit(True)), "near")
+        flagged = flagged.join(near, ["title_key", "numbers"], "left").withColumn(
+            "near_seen", F.coalesce("near_seen", F.lit(False))
+        )
     else:
-        flagged = published_exactly(facts, history)
-        if threshold > 0:
-            fresh = flagged.where(~F.col("seen"))
-            near = near_published(fresh, history, threshold).withColumn("near_seen", F.lit(True))
-            flagged = flagged.join(near, ["title_key", "numbers"], "left").withColumn(
-                "near_seen", F.coalesce("near_seen", F.lit(False))
-            )
-        else:
-            flagged = flagged.withColumn("near_seen", F.lit(False))
-    flagged = materialize(flagged, "flagged")
+        flagged = flagged.withColumn("near_seen", F.lit(False))
     kept = survivors(flagged.where(~F.col("seen") & ~F.col("near_seen")), threshold)
     keys = kept.select("trust", F.lit(True).alias("_kept"))
     ids = kept.select("id", F.col("trust").alias("_id_trust"))

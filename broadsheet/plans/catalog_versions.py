@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,13 +114,14 @@ NEAR_INDEX_SQL = f"""WITH {PAIRS_SQL.replace(f'>= {THRESHOLD}', '>= 0.2')} SELEC
 JOIN nodes n ON n.title_key = f.title_key AND n.numbers = f.numbers JOIN hnear h ON h.node = n.node"""
 
 
-def _landed(spark: SparkSession, sf: str, path: str, parts: int) -> DataFrame:
-    """The events landed in parts, in order of time, and read as a stream of one file a batch."""
+def _landed(spark: SparkSession, sf: str, path: str, parts: int) -> Iterator[DataFrame]:
+    """The events landed in parts, in order of time: after each part the folder as a stream, to be
+    read to its end before the next. A part has as many files as tasks wrote it."""
     events = tables.table(spark, sf, "events")
     part = F.least(F.lit(parts - 1), F.floor((F.dayofmonth("ts") - 1) * parts / 30))
     for i in range(parts):
-        events.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(tables.COLUMNS["events"]).option("maxFilesPerTrigger", 1).parquet(path)
+        events.where(part == i).write.mode("append").parquet(path)
+        yield spark.readStream.schema(tables.COLUMNS["events"]).parquet(path)
 
 
 SILENT = timedelta(minutes=90)
@@ -128,8 +130,9 @@ SILENT = timedelta(minutes=90)
 def stream_silent_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Sources of which nothing is dated for 90 minutes, over several files and batches."""
     path = work_path(spark, "silent")
-    items = _landed(spark, sf, f"{path}/in", 4).select(F.col("event_type").alias("source"), F.col("ts").alias("published_at"))
-    jobs.append_to_table(silent_stream(items, SILENT), f"{path}/out", f"{path}/log").awaitTermination()
+    for raw in _landed(spark, sf, f"{path}/in", 4):
+        items = raw.select(F.col("event_type").alias("source"), F.col("ts").alias("published_at"))
+        jobs.append_to_table(silent_stream(items, SILENT), f"{path}/out", f"{path}/log").awaitTermination()
     rows = spark.read.schema("source STRING, latest TIMESTAMP, stale_at TIMESTAMP").parquet(f"{path}/out")
     return rows.select("source", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("latest", "stale_at")))
 
@@ -142,23 +145,23 @@ FROM gaps WHERE next > ts + INTERVAL 90 MINUTE"""
 
 
 def stream_plan_issues(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as a stream in two files; the whole plan builds an issue for each half of the month."""
+    """The events as a stream in two parts; the whole plan builds an issue for each half of the month."""
     path = work_path(spark, "issues")
-    raw = _landed(spark, sf, f"{path}/in", 2)
-    items = raw.select(
-        F.col("event_id").cast("string").alias("id"),
-        F.concat_ws(" ", "event_type", F.lit("by"), "user_id").alias("title"),
-        F.concat(F.lit("https://events.example.com/"), "event_id").alias("url"),
-        F.col("event_type").alias("source"),
-        F.col("ts").alias("published_at"),
-        F.col("value").alias("score"),
-        F.col("props").alias("excerpt"),
-        F.col("event_id").alias("item_pos"),
-    )
     half = lambda t: F.concat(F.date_format(t, "yyyy-MM-"), F.when(F.dayofmonth(t) <= 15, "15").otherwise("30"))
     plan = Plan(SECTIONS, SOURCES, lookback_hours=360, date=half)
     paths = Paths(f"{path}/out")
-    stream_issues(items, plan, paths).awaitTermination()
+    for raw in _landed(spark, sf, f"{path}/in", 2):
+        items = raw.select(
+            F.col("event_id").cast("string").alias("id"),
+            F.concat_ws(" ", "event_type", F.lit("by"), "user_id").alias("title"),
+            F.concat(F.lit("https://events.example.com/"), "event_id").alias("url"),
+            F.col("event_type").alias("source"),
+            F.col("ts").alias("published_at"),
+            F.col("value").alias("score"),
+            F.col("props").alias("excerpt"),
+            F.col("event_id").alias("item_pos"),
+        )
+        stream_issues(items, plan, paths).awaitTermination()
     rows = archive.issue_items(versions.read_committed(spark, paths.archive))
     return rows.select("date", F.col("pos").cast("bigint").alias("pos"), "section", "id", "rank_score")
 

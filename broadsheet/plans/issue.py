@@ -12,6 +12,7 @@ from broadsheet.operators.dedupe import TITLE_SIMILARITY, history_facts, label_d
 from broadsheet.operators.filters import needed_sources
 from broadsheet.operators.planning import Budget, Gate, plan_tasks
 from broadsheet.operators.ranking import exclusive_lineups
+from broadsheet.session import materialize
 from broadsheet.sources.archive import build_issues, issue_items, read_window
 
 
@@ -65,14 +66,13 @@ def build_issue(
     if archive is not None:
         today = items.sparkSession.range(1).select(local_date(now, F.lit(run.zone))).first()[0]
         history = history_facts(issue_items(read_window(archive, today)).select("id", "title"))
+        history = materialize(history, "history")
     labelled = label_drops(with_trust_key(read, sources), history, threshold).withColumn(
         "run_id", F.lit(run.run_id)
     )
-    fresh = (
-        labelled.where(F.col("cause").isNull())
-        .withColumn("now", now)
-        .withColumn("lookback_hours", F.lit(run.lookback_hours))
-    )
+    # Written, since each wave of sections reads the items that stay.
+    kept = materialize(labelled.where(F.col("cause").isNull()), "fresh")
+    fresh = kept.withColumn("now", now).withColumn("lookback_hours", F.lit(run.lookback_hours))
     lineup = exclusive_lineups(fresh, sections, sources)
     tasks = plan_tasks(lineup, policy or [], gate or Gate(), budget or Budget())
     runs = items.sparkSession.range(1).select(

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from broadsheet.functions.redact import redact_rows
 from broadsheet.schema import ISSUE
+from broadsheet.session import dimension
 
 _DAYS = T.StructType([T.StructField(name, T.StringType()) for name in ("version", "year", "month")])
 MANIFEST = T.StructType([T.StructField(name, T.StringType()) for name in ("date", "slot", "version")])
@@ -72,7 +73,7 @@ def manifest(spark: SparkSession, path: str, number: int | None = None) -> DataF
     """(date, slot, version) of the issues that count; the last manifest unless one is named."""
     numbers = _numbers(spark, path)
     if not numbers:
-        return spark.createDataFrame([], MANIFEST)
+        return dimension(spark, [], MANIFEST)
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifests/{number or numbers[-1]}")
 
 
@@ -113,7 +114,7 @@ def read_committed(spark: SparkSession, path: str, number: int | None = None) ->
     numbers = _numbers(spark, path)
     schema = T.StructType(ISSUE.fields + _DAYS.fields)
     if not numbers:
-        return spark.createDataFrame([], schema).drop("version")
+        return dimension(spark, [], schema).drop("version")
     data = spark.read.schema(schema).parquet(f"{path}/data").alias("data")
     live = manifest(spark, path, number).alias("live")
     same = (

@@ -2,6 +2,7 @@ import random
 import re
 import unicodedata
 
+import pandas as pd
 import pytest
 
 from broadsheet.operators import dedupe, neardup
@@ -141,3 +142,41 @@ def test_a_long_chain_equals_the_sequential_rule(spark, monkeypatch, component):
     df = spark.createDataFrame(items, "trust long, id string, title string")
     got = {r.trust: r.cause for r in dedupe.label_drops(df, None, 0.3).collect()}
     assert got == {k: "within" if k % 2 else None for k in range(size)}
+
+
+def test_small_components_share_groups(spark, monkeypatch, tmp_path):
+    walk, log = dedupe._walk, str(tmp_path / "walks")
+
+    def counted(key, rows, edges):
+        with open(log, "a") as f:
+            f.write("walk\n")
+        return walk(key, rows, edges)
+
+    monkeypatch.setattr(dedupe, "_walk", counted)
+    pick = random.Random(4)
+    words = ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(40)]
+    items = [(2 * k + again, f"id{2 * k + again}", words[k] + " again" * again) for k in range(40) for again in (0, 1)]
+    df = spark.createDataFrame(items, "trust long, id string, title string")
+    got = {r.trust: r.cause for r in dedupe.label_drops(df, None, 0.3).collect()}
+    assert got == {k: "within" if k % 2 else None for k in range(80)}
+    # Before, each of the 40 pairs was a group of its own.
+    assert len(open(log).readlines()) == 1
+
+
+def test_components_of_a_group_are_walked_apart():
+    rows = pd.DataFrame({"trust": [1, 2, 3, 4], "id": [None, None, None, "x"], "title_key": ["a", "b", "c", "d"], "numbers": "", "node": [1, 2, 3, 3]})
+    rows = rows.assign(_component=[1, 1, 3, 3], _bin=0)
+    edges = pd.DataFrame({"a_node": [], "b_node": [], "_component": [], "_bin": []})
+    kept = dedupe._walk((0,), rows, edges)
+    # A null id repeats in its own component alone; the last row has the node of the one before.
+    assert kept["trust"].tolist() == [1, 3] and list(kept.columns) == ["trust", "id", "title_key", "numbers", "node"]
+
+
+def test_only_titles_of_the_same_numbers_count_as_meetings(spark, monkeypatch):
+    def measured(*_):
+        raise AssertionError("the bound is low enough")
+
+    monkeypatch.setattr(dedupe, "pair_work", measured)
+    df = spark.createDataFrame([(k, f"id{k}", f"some longer title {k}") for k in range(60)], "trust long, id string, title string")
+    facts = dedupe.with_title_facts(df)
+    assert dedupe.survivors(facts, 0.2, work_budget=1000).count() == 60

@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from broadsheet.plans import catalog_versions
+from broadsheet.sources import tables
 from broadsheet.sources.archive import issue_items
 from broadsheet.sources.versions import read_committed
 from broadsheet.streaming import issues
@@ -62,3 +64,16 @@ def test_batches_give_the_archive_of_one_batch(spark, want, tmp_path, cuts):
     paths = issues.Paths(f"{tmp_path}/out")
     issues.stream_issues(stream, PLAN, paths).awaitTermination()
     assert archived(spark, paths.archive) == want
+
+
+def test_parts_land_in_as_many_files_as_tasks(spark, tmp_path):
+    rows = [(i, START + timedelta(hours=i), i, "click", 1.0, "{}") for i in range(24 * 30)]
+    schema = tables.COLUMNS["events"]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    found = []
+    for raw in catalog_versions._landed(spark, str(tmp_path), f"{tmp_path}/in", 2):
+        assert raw.isStreaming
+        landed = spark.read.schema(schema).parquet(f"{tmp_path}/in")
+        found.append((landed.count(), len(list((tmp_path / "in").glob("*.parquet")))))
+    tasks = tables.table(spark, str(tmp_path), "events").rdd.getNumPartitions()
+    assert tasks > 1 and found == [(15 * 24, tasks), (30 * 24, 2 * tasks)]
