@@ -152,9 +152,10 @@ def issue_text() -> Column:
     return F.lower(words)
 
 
-def item_text() -> Column:
-    """What a search of items looks at: title and source in lower case."""
-    return F.lower(F.concat("title", F.lit(" "), "source"))
+def item_text(item: Column | None = None) -> Column:
+    """What a search of items looks at: title and source in lower case, of the row or of ``item``."""
+    title, source = (F.col(c) if item is None else item[c] for c in ("title", "source"))
+    return F.lower(F.concat(title, F.lit(" "), source))
 
 
 def search_issues(issues: DataFrame, phrase: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 ``<path>/<name>/version=<id>/bucket=...`` holds what was derived from one version of the data.
 A version never changes, so a part is made once: for a version that has none yet, all in one
-job, and put in place by a rename. Rows carry the date and slot of their issue; only those that
-the manifest names with this version count.
+job, and put in place by a rename. Rows carry the date and slot of their issue, or lead to them;
+only those that the manifest names with this version count.
 """
 
 from __future__ import annotations
@@ -38,7 +38,8 @@ def extend(spark: SparkSession, path: str, name: str, make: Callable[[DataFrame]
     data = spark.read.schema(schema).parquet(f"{path}/data").where(F.col("version").isin(missing))
     staged = f"{path}/{name}-staged/{uuid.uuid4().hex}"
     rows = make(data)
-    rows.repartition("version", "bucket").write.partitionBy("version", "bucket").parquet(staged)
+    # A folder of many rows is written by several tasks.
+    rows.hint("rebalance", F.col("version"), F.col("bucket")).write.partitionBy("version", "bucket").parquet(staged)
     made = {s.getPath().getName() for s in _listed(spark, staged)}
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
@@ -52,15 +53,23 @@ def extend(spark: SparkSession, path: str, name: str, make: Callable[[DataFrame]
     return missing
 
 
-def read(spark: SparkSession, path: str, name: str, schema: str, buckets: list[int] | None = None, live: DataFrame | None = None) -> DataFrame:
-    """Rows of live issues (``live``: those of the manifest, or some of them), of some buckets."""
-    listed = manifest(spark, path) if live is None else live
-    whole = f"{schema}, date STRING, slot STRING, version STRING, bucket INT"
+def stored(spark: SparkSession, path: str, name: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
+    """Rows of all versions, of some buckets."""
+    whole = f"{schema}, version STRING, bucket INT"
     if not _listed(spark, f"{path}/{name}"):
         return spark.createDataFrame([], whole)
     rows = spark.read.schema(whole).parquet(f"{path}/{name}")
-    if buckets is not None:
-        rows = rows.where(F.col("bucket").isin(buckets))
-    rows, listed = rows.alias("rows"), listed.alias("live")
+    return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+
+
+def of_live(spark: SparkSession, path: str, rows: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """Rows of live issues (``live``: those of the manifest, or some of them)."""
+    rows, listed = rows.alias("rows"), (manifest(spark, path) if live is None else live).alias("live")
     same = (F.col("rows.version") == F.col("live.version")) & (F.col("rows.date") == F.col("live.date"))
     return rows.join(listed, same & F.col("rows.slot").eqNullSafe(F.col("live.slot")), "left_semi")
+
+
+def read(spark: SparkSession, path: str, name: str, schema: str, buckets: list[int] | None = None, live: DataFrame | None = None) -> DataFrame:
+    """Rows with the date and slot of live issues, of some buckets."""
+    rows = stored(spark, path, name, f"{schema}, date STRING, slot STRING", buckets)
+    return of_live(spark, path, rows, live)

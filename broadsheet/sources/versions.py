@@ -109,14 +109,14 @@ def commit_issues(issues: DataFrame, path: str, secrets: list[str] | None = None
     raise Conflict(f"{path}: other commits came first {ATTEMPTS} times")
 
 
-def read_committed(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
-    """The issues that the manifest names. Its dates prune the folders that are read."""
+def read_committed(spark: SparkSession, path: str, number: int | None = None, live: DataFrame | None = None) -> DataFrame:
+    """The issues that the manifest names, or those of it in ``live``. Their dates prune the folders that are read."""
     numbers = _numbers(spark, path)
     schema = T.StructType(ISSUE.fields + _DAYS.fields)
     if not numbers:
         return dimension(spark, [], schema).drop("version")
     data = spark.read.schema(schema).parquet(f"{path}/data").alias("data")
-    live = manifest(spark, path, number).alias("live")
+    live = (manifest(spark, path, number) if live is None else live).alias("live")
     same = (
         (F.col("data.version") == F.col("live.version"))
         & (F.col("data.date") == F.col("live.date"))

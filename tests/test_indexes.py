@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_versions import frame, issue
 
 from broadsheet.operators import dedupe, gramindex, searchindex, views
@@ -75,3 +76,35 @@ def test_expiry_takes_derived_rows_along(spark, tmp_path):
     assert len(list((tmp_path / gramindex.NAME).iterdir())) == 1
     assert searchindex.search_items(spark, path, "echo").count() == 0  # sources are null: no text
     assert [r.date for r in searchindex.search_issues(spark, path, "2024-01").collect()] == ["2024-01-19"]
+
+
+@pytest.mark.parametrize("block, letters", [(3, 1 << 20), (1 << 16, 50)])
+def test_search_over_small_blocks_equals_the_scan(spark, tmp_path, monkeypatch, block, letters):
+    monkeypatch.setattr(searchindex, "BLOCK", block)
+    monkeypatch.setattr(searchindex, "LETTERS", letters)
+    path, pick = str(tmp_path), random.Random(6)
+    some = lambda: [title(pick, 20) + " 𝒳y𝒳" for _ in range(pick.randrange(1, 9))] + [None, ""]
+    for days in (("05", "06", "07"), ("06", "08")):
+        issues = frame(spark, *(issue(f"2024-01-{d}", s, *some()) for d in days for s in (None, "late")))
+        named = F.transform("items", lambda i: i.withField("source", F.lit("Src")))
+        versions.commit_issues(issues.withColumn("items", named), path)
+    whole = versions.read_committed(spark, path)
+    for phrase in ("bravo", "ha br", "src", "𝒳Y𝒳 s", "2024-01-06 late", "echo src"):
+        key = lambda rows, *c: sorted(str([r[k] for k in c]) for r in rows.collect())
+        got, want = searchindex.search_issues(spark, path, phrase), views.search_issues(whole, phrase)
+        assert key(got, "date", "slot", "items") == key(want, "date", "slot", "items")
+        got, want = searchindex.search_items(spark, path, phrase), views.search_items(whole, phrase)
+        assert key(got, "date", "slot", "pos", "title") == key(want, "date", "slot", "pos", "title")
+        assert want.count() or phrase not in ("bravo", "src")
+
+
+def test_an_index_has_no_row_for_a_run_of_a_text(spark, tmp_path):
+    path = str(tmp_path)
+    issues = frame(spark, *(issue(f"2024-01-{d:02}", None, *[f"alpha bravo charlie {k:02}" for k in range(40)]) for d in range(1, 21)))
+    versions.commit_issues(issues.withColumn("items", F.transform("items", lambda i: i.withField("source", F.lit("src")))), path)
+    searchindex.extend(spark, path)
+    # 800 items and 20 issues have about 25 runs each; before, each run of each was a row.
+    derived = [p for p in tmp_path.iterdir() if p.name.startswith(("issue_", "item_")) and not p.name.endswith("-staged")]
+    assert len(derived) == 2
+    assert sum(spark.read.parquet(str(p)).count() for p in derived) < 3000
+    assert searchindex.search_items(spark, path, "charlie 07 s").count() == 20
