@@ -20,7 +20,7 @@ from broadsheet.session import dimension, materialize
 #: Default Dice threshold; 0 turns the title comparison off.
 TITLE_SIMILARITY = 0.2
 
-#: Gram meetings one batch may cause before its key range is halved.
+#: Gram meetings that the matching pairs of one batch may cause before its key range is halved.
 WORK_BUDGET = 2e10
 
 #: Rows and edges of a component that one group walks.
@@ -333,10 +333,11 @@ def survivors(
 ) -> DataFrame:
     """The kept items' (trust, id, title_key, numbers, node) in trust order semantics.
 
-    Trust ranges are processed in order. A range whose title comparison would exceed the
+    Trust ranges are processed in order. A range whose matching titles would exceed the
     budget is halved, so a family of near-copies meets only its first survivors instead of
     itself (the prefix rounds of Blelloch, Fineman and Shun 2012). Later ranges first lose
-    whatever conflicts with earlier survivors.
+    whatever conflicts with earlier survivors. Titles that do not match are compared in any
+    case, so for them a range is not halved.
     """
     collapsed = materialize(_collapse_copies(items), "collapsed")
     own = F.when(F.col("title_key") == "", F.col("id")).otherwise(F.lit(""))

@@ -180,3 +180,44 @@ def test_only_titles_of_the_same_numbers_count_as_meetings(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"id{k}", f"some longer title {k}") for k in range(60)], "trust long, id string, title string")
     facts = dedupe.with_title_facts(df)
     assert dedupe.survivors(facts, 0.2, work_budget=1000).count() == 60
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.9])
+def test_only_titles_near_in_size_meet(spark, monkeypatch, tmp_path, threshold):
+    matches, log = neardup._matches, str(tmp_path / "units")
+
+    def counted(left, right, letters, *rest):
+        lengths = sorted(map(len, letters))
+        with open(log, "a") as f:
+            f.write(f"{lengths[0]} {lengths[-1]}\n")
+        return matches(left, right, letters, *rest)
+
+    monkeypatch.setattr(neardup, "_matches", counted)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "GRAMS", 400)
+    rnd = random.Random(3)
+    some = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(60)]
+    words = lambda n: " ".join(rnd.sample(some, n))
+    titles = [words(3) for _ in range(30)] + [words(40) for _ in range(30)]
+    titles += [t[:-1] + "z" for t in titles[::4]]
+    rows = [(i, t, "") for i, t in enumerate(titles)]
+    nodes = neardup.title_nodes(spark.createDataFrame(rows, "node long, title_key string, numbers string"))
+    want = {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if near(titles[i], titles[j], threshold)}
+    assert sorted(map(tuple, neardup.matching_pairs(nodes, None, threshold).select("a_node", "b_node").collect())) == sorted(want) and want
+    found = neardup.matching_pairs(nodes.where("node % 2 = 0"), nodes.where("node % 2 = 1"), threshold)
+    assert {tuple(sorted((r.a_node, r.b_node))) for r in found.collect()} == {p for p in want if (p[0] + p[1]) % 2}
+    # Of 15 and of 200 letters: before, blocks were dealt by hash and held both.
+    units = [tuple(map(int, line.split())) for line in open(log)]
+    assert any(low > 100 for low, _ in units) and (threshold < 0.5 or all(high < 100 for low, high in units if low < 100))
+
+
+def test_titles_that_do_not_match_halve_no_range(spark, monkeypatch):
+    compared, whole = [], dedupe.matching_pairs
+    monkeypatch.setattr(dedupe, "matching_pairs", lambda *given: compared.append(1) or whole(*given))
+    rnd = random.Random(8)
+    words = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(18))
+    rows = [(k, f"id{k}", f"daily {words()}") for k in range(60)]
+    facts = dedupe.with_title_facts(spark.createDataFrame(rows, "trust long, id string, title string"))
+    assert dedupe.survivors(facts, 0.5, work_budget=100).count() == 60
+    # Before, the shared grams of "daily" were taken for work, and each half was compared with those before it.
+    assert len(compared) == 1
